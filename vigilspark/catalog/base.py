@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vigilspark.functions.scalars import direction, in_buckets, is_error, with_metadata_fields
 from vigilspark.operators import alerts, features, reports, windows
 from vigilspark.schema import FEATURE_NAMES, KNOWN_SERVICES, MODEL_PRICES, service_columns
+from vigilspark.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -170,6 +171,11 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.window_features(windowed(spark, sf_dir))
 
 
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature rows written once, for queries that read them more than once."""
+    return materialize(feature_rows(spark, sf_dir))
+
+
 def window_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two features the rule score needs, without the per-service columns."""
     rows = windowed(spark, sf_dir, raw_telemetry(spark, sf_dir))
@@ -181,10 +187,9 @@ def window_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled windows with the rule score 0.05 - error rate."""
-    return windows.label_windows(window_rates(spark, sf_dir), scenarios(spark, sf_dir)).withColumn(
-        "score", F.round(F.lit(0.05) - F.col("error_rate"), 6)
-    )
+    """Labelled windows with the rule score 0.05 - error rate, written once: evaluations read them repeatedly."""
+    labelled = windows.label_windows(materialize(window_rates(spark, sf_dir)), scenarios(spark, sf_dir))
+    return materialize(labelled.withColumn("score", F.round(F.lit(0.05) - F.col("error_rate"), 6)))
 
 
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from vigilspark.catalog.base import (
-    FEATURE_LIST_SQL, STRIDE_S, THRESHOLD, WINDOW_S, anomalies, as_of, feature_rows, labelled_series, q, query, r6,
+    FEATURE_LIST_SQL, STRIDE_S, THRESHOLD, WINDOW_S, anomalies, as_of, feature_rows, feature_table, labelled_series, q, query, r6,
     raw_telemetry, report_rows, rule_alerts, scenarios, scored, series, severity_sql, sql, telemetry, timeline, ts, windowed,
 )
 from vigilspark.operators import alerts, attribution, drift, evaluation, features, forest, rollups, windows
@@ -173,7 +173,7 @@ def stream_split(spark, sf_dir):
     ),
 )
 def scale_features(spark, sf_dir):
-    rows = feature_rows(spark, sf_dir).drop("window_end")
+    rows = feature_table(spark, sf_dir).drop("window_end")
     return features.scale(rows, features.fit_scaler(rows))
 
 
@@ -214,7 +214,7 @@ def _confusion_sql(predicted: str) -> str:
 
 
 def _split_features(spark, sf_dir):
-    labelled = windows.label_windows(feature_rows(spark, sf_dir), scenarios(spark, sf_dir))
+    labelled = windows.label_windows(feature_table(spark, sf_dir), scenarios(spark, sf_dir))
     return windows.temporal_split(labelled, 0.6, 0.2)
 
 
@@ -284,7 +284,7 @@ def model_age(spark, sf_dir):
 
 def _long_attributions(spark, sf_dir):
     """Scaled features over 27 as stand-in attributions: they check ranking and sums, not Shapley values."""
-    rows = feature_rows(spark, sf_dir).drop("window_end")
+    rows = feature_table(spark, sf_dir).drop("window_end")
     z = features.scale(rows, features.fit_scaler(rows))
     raw = features.unpivot_features(rows, ["window_start"])
     shap = features.unpivot_features(z, ["window_start"]).select("window_start", "feature", F.round(-F.col("value") / 27, 6).alias("shap"))
@@ -562,7 +562,7 @@ def _metrics_row(spark, sf_dir):
 
 @query("detector_verdict")
 def detector_verdict(spark, sf_dir):
-    rows = materialize(scored(spark, sf_dir))
+    rows = scored(spark, sf_dir)
     ops = evaluation.operational_stats(rows, THRESHOLD, WINDOW_S).select(F.struct("*"))
     late = evaluation.latency_summary(evaluation.scenario_detection(scenarios(spark, sf_dir), rows, THRESHOLD)).select(F.struct("*"))
     metrics = (
@@ -625,7 +625,7 @@ def _two_halves(spark, sf_dir):
     """Long features of the first and the second half of the timeline."""
     start, end = timeline(spark, sf_dir)
     middle = F.lit(start + (end - start) / 2)
-    long = features.unpivot_features(feature_rows(spark, sf_dir).drop("window_end"), ["window_start"])
+    long = features.unpivot_features(feature_table(spark, sf_dir).drop("window_end"), ["window_start"])
     return long.where(F.col("window_start") < middle), long.where(F.col("window_start") >= middle)
 
 

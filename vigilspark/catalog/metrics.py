@@ -10,6 +10,7 @@ from vigilspark.catalog.base import (
 )
 from vigilspark.operators import alerts, attribution, evaluation, listing, reports, rollups, windows
 from vigilspark.operators import series as series_ops
+from vigilspark.session import materialize
 
 ERR = "level IN ('ERROR', 'CRITICAL')"
 
@@ -431,7 +432,7 @@ def recent_anomalies_per_service(spark, sf_dir):
 
 def _context(spark, sf_dir):
     return reports.report_context(
-        anomalies(spark, sf_dir), raw_telemetry(spark, sf_dir), rollups.rollup(telemetry(spark, sf_dir), "5 minutes")
+        materialize(anomalies(spark, sf_dir)), raw_telemetry(spark, sf_dir), rollups.rollup(telemetry(spark, sf_dir), "5 minutes")
     )
 
 

@@ -39,20 +39,21 @@ def with_metadata_fields(df: DataFrame, metadata: str = "metadata") -> DataFrame
     ``valid_latency``  only JSON numbers (and true, which counts as 1) above zero, the features' reading
     ``endpoint``       text of the endpoint key
     """
-    parsed = F.try_parse_json(F.col(metadata))
-    kind = F.schema_of_variant(F.variant_get(parsed, "$.latency_ms", "variant"))
-    number = F.try_variant_get(parsed, "$.latency_ms", "double")
-    return (
-        df.withColumn("_kind", kind)
-        .withColumn("_number", number)
-        .withColumn("has_latency", F.col("_kind").isNotNull())
-        .withColumn("latency_ms", F.when(F.col("_kind") != "BOOLEAN", F.col("_number")))
-        .withColumn(
-            "valid_latency",
-            F.when((F.col("_kind") != "STRING") & (F.col("_number") > 0), F.col("_number")),
-        )
-        .withColumn("endpoint", F.try_variant_get(parsed, "$.endpoint", "string"))
-        .drop("_kind", "_number")
+    parsed = F.col("_json")  # a column of its own, so the text is parsed once
+    fields = F.struct(
+        F.schema_of_variant(F.variant_get(parsed, "$.latency_ms", "variant")).alias("_kind"),
+        F.try_variant_get(parsed, "$.latency_ms", "double").alias("_number"),
+        F.try_variant_get(parsed, "$.endpoint", "string").alias("endpoint"),
+    )
+    # inline() keeps later filters above the extraction; pushed below it they would parse the text again
+    extracted = df.withColumn("_json", F.try_parse_json(F.col(metadata))).select(*df.columns, F.inline(F.array(fields)))
+    kind, number = F.col("_kind"), F.col("_number")
+    return extracted.select(
+        *df.columns,
+        kind.isNotNull().alias("has_latency"),
+        F.when(kind != "BOOLEAN", number).alias("latency_ms"),
+        F.when((kind != "STRING") & (number > 0), number).alias("valid_latency"),
+        "endpoint",
     )
 
 

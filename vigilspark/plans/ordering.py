@@ -84,12 +84,16 @@ def exact_percentiles(
     """
     keys = list(keys)
     amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    known = F.col("_cell").isNotNull()  # stated for both uses of ``cells``, so that they share one exchange
+    for key in keys:
+        known = known & F.col(key).isNotNull()
     cells = (
         df.select(*keys, F.col(value).cast("double").alias("_v"), *([weight] if weight else []))
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .groupBy(*keys, "_v")
         .agg(amount.cast("bigint").alias("_n"))
         .withColumn("_cell", value_cell(F.col("_v")))
+        .where(known)
     )
     histogram = cells.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_cell_n"))
     up_to = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
