@@ -827,8 +827,9 @@ def latency_alerts(spark, sf_dir):
         f"SELECT {ts('tick')} AS tick, {r6('s')} AS short_median, {r6('l')} AS long_median, {r6('abs(s - l) / abs(l + 1e-9::DOUBLE)')} AS change, "
         "abs(s - l) / abs(l + 1e-9::DOUBLE) > 0.5 AS holds FROM (SELECT k.tick, quantile_cont(a.score, 0.5) FILTER (a.h > k.tick - INTERVAL 6 HOUR) AS s, "
         "quantile_cont(a.score, 0.5) AS l FROM (SELECT DISTINCT h AS tick FROM ah) k JOIN ah a ON a.h <= k.tick AND a.h > k.tick - INTERVAL 24 HOUR GROUP BY 1)",
-        "anom", extra="ah AS (SELECT CAST(date_trunc('hour', time) AS TIMESTAMP) AS h, score FROM anom)",
+        "anom", extra="ah AS (SELECT CAST(date_trunc('hour', time) AS TIMESTAMP) AS h, -er AS score FROM anom)",
     ),
 )
 def score_shift(spark, sf_dir):
-    return alerts.score_shift(anomalies(spark, sf_dir), short_h=6)
+    rows = anomalies(spark, sf_dir).withColumn("score", -F.element_at("features.values", "error_rate"))
+    return alerts.score_shift(rows, short_h=6)
