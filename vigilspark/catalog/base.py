@@ -63,9 +63,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table, spread over the cores when it comes in fewer files than there are cores."""
+    events = table(spark, sf_dir, "events")
+    cores = spark.sparkContext.defaultParallelism
+    return events.repartition(cores) if len(events.inputFiles()) < cores else events
+
+
+_BOUNDS: dict[tuple[str, str], tuple[datetime, datetime]] = {}
+
+
 def _bounds(spark: SparkSession, sf_dir: str) -> tuple[datetime, datetime]:
-    low, high = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
-    return low, high
+    """First and last event time; the supplied tables do not change during an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BOUNDS:
+        _BOUNDS[key] = tuple(table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first())
+    return _BOUNDS[key]
 
 
 def as_of(spark: SparkSession, sf_dir: str) -> datetime:
@@ -81,7 +94,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> tuple[datetime, datetime]:
 
 def raw_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table in the canonical event schema, metadata as JSON text."""
-    e = table(spark, sf_dir, "events")
+    e = events_table(spark, sf_dir)
     i, value = F.col("event_id"), F.col("value").cast("string")
     latency = (
         F.when(i % 17 == 0, F.lit(None).cast("string"))
@@ -323,9 +336,10 @@ def stream_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series with labels, written once: normalising and windowing read it repeatedly."""
     from vigilspark.operators.series import label_points
 
-    return label_points(series(spark, sf_dir), stream_spans(spark, sf_dir))
+    return materialize(label_points(series(spark, sf_dir), stream_spans(spark, sf_dir)))
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:

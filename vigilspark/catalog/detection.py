@@ -125,7 +125,7 @@ def zscore_series(spark, sf_dir):
 
 @query("value_cutoff", sql(f"SELECT {r6('quantile_cont(abs(value), 0.95)')} AS cutoff FROM zs", "zs"))
 def value_cutoff(spark, sf_dir):
-    return series_ops.value_cutoff(series_ops.zscore(series(spark, sf_dir)))
+    return series_ops.value_cutoff(series_ops.zscore(materialize(series(spark, sf_dir))))
 
 
 def _series_features_sql() -> str:
@@ -147,7 +147,7 @@ def _series_features_sql() -> str:
 
 @query("series_features", _series_features_sql())
 def series_features(spark, sf_dir):
-    normalized = series_ops.zscore(labelled_series(spark, sf_dir))
+    normalized = materialize(series_ops.zscore(labelled_series(spark, sf_dir)))
     return series_ops.series_features(normalized, series_ops.value_cutoff(normalized))
 
 

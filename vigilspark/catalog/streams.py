@@ -1,4 +1,4 @@
-"""Streaming jobs over the whole event table, delivered in four time-ordered files, and sink round trips."""
+"""Streaming jobs over the whole event table, delivered in time-ordered parts, and sink round trips."""
 
 from __future__ import annotations
 
@@ -26,19 +26,17 @@ def _work(spark) -> str:
     return f"{shared_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
-def _deliver(df: DataFrame, path: str, time: str = "time", parts: int = 4) -> None:
-    """Write ``df`` as files in time order. One write per part, so file times follow event times."""
+def _drain(spark, df: DataFrame, work: str, start, time: str = "time", parts: int = 3) -> None:
+    """Deliver ``df`` in time order, part by part; after each part the job runs until it has caught up.
+
+    Every run after the first one resumes from the checkpoint, as after a restart.
+    """
     low, high = df.agg(F.unix_micros(F.min(time)), F.unix_micros(F.max(time))).first()
     width = (high - low) // parts + 1
     for k in range(parts):
         at = F.unix_micros(time)
-        part = df.where((at >= low + k * width) & (at < low + (k + 1) * width))
-        part.coalesce(1).write.mode("append").parquet(path)
-
-
-def _stream(spark, df: DataFrame, work: str) -> DataFrame:
-    _deliver(df, f"{work}/in")
-    return jobs.table_stream(spark, f"{work}/in", df.schema)
+        df.where((at >= low + k * width) & (at < low + (k + 1) * width)).write.mode("append").parquet(f"{work}/in")
+        start(jobs.table_stream(spark, f"{work}/in", df.schema)).awaitTermination()
 
 
 @query(
@@ -53,8 +51,7 @@ def _stream(spark, df: DataFrame, work: str) -> DataFrame:
 )
 def stream_rollup(spark, sf_dir):
     work = _work(spark)
-    events = _stream(spark, raw_telemetry(spark, sf_dir), work)
-    jobs.rollup_job(events, "1 hour", f"{work}/out", f"{work}/ck").awaitTermination()
+    _drain(spark, raw_telemetry(spark, sf_dir), work, lambda s: jobs.rollup_job(s, "1 hour", f"{work}/out", f"{work}/ck"))
     return spark.read.parquet(f"{work}/out").drop("batch_id")
 
 
@@ -70,8 +67,9 @@ def stream_window_features(spark, sf_dir):
     """Epoch-aligned windows coincide with the timeline's; the first one starts before it and is left out."""
     work = _work(spark)
     start, _ = timeline(spark, sf_dir)
-    events = _stream(spark, raw_telemetry(spark, sf_dir), work)
-    jobs.feature_job(events, WINDOW_S, STRIDE_S, f"{work}/out", f"{work}/ck").awaitTermination()
+    _drain(
+        spark, raw_telemetry(spark, sf_dir), work, lambda s: jobs.feature_job(s, WINDOW_S, STRIDE_S, f"{work}/out", f"{work}/ck")
+    )
     return spark.read.parquet(f"{work}/out").drop("batch_id").where(F.col("window_start") >= F.lit(start))
 
 
@@ -86,9 +84,9 @@ def stream_window_features(spark, sf_dir):
 def stream_ingest(spark, sf_dir):
     work = _work(spark)
     lines = raw_json(spark, sf_dir).join(raw_telemetry(spark, sf_dir).select("event_id", "time"), "event_id")
-    _deliver(lines, f"{work}/in")
-    source = jobs.table_stream(spark, f"{work}/in", lines.schema).drop("time")
-    jobs.ingest_job(source, f"{work}/events", f"{work}/bad", f"{work}/ck", "worker-1").awaitTermination()
+    _drain(
+        spark, lines, work, lambda s: jobs.ingest_job(s.drop("time"), f"{work}/events", f"{work}/bad", f"{work}/ck", "worker-1")
+    )
     good = spark.read.parquet(f"{work}/events").select("event_id", F.lit("accepted").alias("status"))
     both = good.unionByName(spark.read.parquet(f"{work}/bad").select("event_id", "status"))
     return both.groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
@@ -106,8 +104,10 @@ def stream_ingest(spark, sf_dir):
 )
 def stream_cooldown(spark, sf_dir):
     work = _work(spark)
-    rows = _stream(spark, rule_alerts(spark, sf_dir), work)
-    jobs.cooldown_job(rows, f"{work}/out", f"{work}/state", f"{work}/ck", 3_600).awaitTermination()
+    _drain(
+        spark, rule_alerts(spark, sf_dir), work,
+        lambda s: jobs.cooldown_job(s, f"{work}/out", f"{work}/state", f"{work}/ck", 3_600),
+    )
     return spark.read.parquet(f"{work}/out").select("service", "time", "anomaly_id")
 
 
@@ -125,9 +125,10 @@ def stream_cooldown(spark, sf_dir):
 def stream_trailing_buffer(spark, sf_dir):
     work = _work(spark)
     slim = raw_telemetry(spark, sf_dir).select("event_id", "time", "service", "level")
-    jobs.trailing_buffer_job(
-        _stream(spark, slim, work), f"{work}/out", f"{work}/state", f"{work}/ck", 86_400, size=50, cell_seconds=3_600
-    ).awaitTermination()
+    _drain(
+        spark, slim, work,
+        lambda s: jobs.trailing_buffer_job(s, f"{work}/out", f"{work}/state", f"{work}/ck", 86_400, size=50, cell_seconds=3_600),
+    )
     return (
         spark.read.parquet(f"{work}/out")
         .groupBy("service", "tick")
@@ -141,8 +142,10 @@ def stream_scoring(spark, sf_dir):
     work = _work(spark)
     model = forest.fit(feature_table(spark, sf_dir), "window_start", threshold=0.0, trained_at=as_of(spark, sf_dir))
     sink = jobs.scoring_sink(model, f"{work}/anomalies", f"{work}/alerts")
-    events = _stream(spark, raw_telemetry(spark, sf_dir), work)
-    jobs.feature_job(events, WINDOW_S, STRIDE_S, f"{work}/out", f"{work}/ck", then=sink).awaitTermination()
+    _drain(
+        spark, raw_telemetry(spark, sf_dir), work,
+        lambda s: jobs.feature_job(s, WINDOW_S, STRIDE_S, f"{work}/out", f"{work}/ck", then=sink), parts=2,
+    )
     return spark.read.parquet(f"{work}/anomalies").select("time", "anomaly_id", "service", "severity", "score", "features.top_features")
 
 
@@ -152,8 +155,10 @@ def stream_scoring(spark, sf_dir):
 )
 def stream_context(spark, sf_dir):
     work = _work(spark)
-    rows = _stream(spark, anomalies(spark, sf_dir).select("anomaly_id", "service", "time"), work)
-    jobs.context_job(rows, lambda: raw_telemetry(spark, sf_dir), f"{work}/out", f"{work}/ck").awaitTermination()
+    _drain(
+        spark, anomalies(spark, sf_dir).select("anomaly_id", "service", "time"), work,
+        lambda s: jobs.context_job(s, lambda: raw_telemetry(spark, sf_dir), f"{work}/out", f"{work}/ck"),
+    )
     return spark.read.parquet(f"{work}/out").select("anomaly_id", "event_id", "time", "level")
 
 
@@ -162,8 +167,10 @@ def stream_deduplicated(spark, sf_dir):
     """Every event delivered twice; each counts once."""
     work = _work(spark)
     rows = raw_telemetry(spark, sf_dir).select("time", "service", "trace_id", "span_id")
-    source = _stream(spark, rows.unionByName(rows), work)
-    jobs.run(jobs.deduplicated(source), lambda b, i: jobs.save_batch(b, f"{work}/out", i), f"{work}/ck").awaitTermination()
+    _drain(
+        spark, rows.unionByName(rows), work,
+        lambda s: jobs.run(jobs.deduplicated(s), lambda b, i: jobs.save_batch(b, f"{work}/out", i), f"{work}/ck"),
+    )
     return spark.read.parquet(f"{work}/out").groupBy("service").agg(F.count("*").alias("n"))
 
 

@@ -41,23 +41,19 @@ def running_sums(
 
     The cell table holds one row per non-empty cell; only it is summed across a whole key.
     """
-    rows = df.withColumn("_cell", cell)
-    for name, term in sums.items():
-        rows = rows.withColumn(f"_t_{name}", term)
+    rows = df.select("*", cell.alias("_cell"), *[term.alias(f"_t_{name}") for name, term in sums.items()])
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy(*keys, "_cell").agg(*[F.sum(f"_t_{n}").alias(f"_s_{n}") for n in sums])
-    offsets = cells.select(
-        *keys,
-        "_cell",
-        *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
+    offsets = (
+        rows.groupBy(*keys, "_cell")
+        .agg(*[F.sum(f"_t_{n}").alias(f"_s_{n}") for n in sums])
+        .select(*keys, "_cell", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
     )
     inside = (
         Window.partitionBy(*keys, "_cell").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = rows.join(offsets, [*keys, "_cell"])
-    for name in sums:
-        joined = joined.withColumn(name, F.col(f"_o_{name}") + F.sum(f"_t_{name}").over(inside))
-    return joined.drop("_cell", *[f"_t_{n}" for n in sums], *[f"_o_{n}" for n in sums])
+    return rows.join(offsets, [*keys, "_cell"]).select(
+        *df.columns, *[(F.col(f"_o_{n}") + F.sum(f"_t_{n}").over(inside)).alias(n) for n in sums]
+    )
 
 
 def global_rank(
@@ -112,22 +108,28 @@ def exact_percentiles(
         )
     )
     picks = (
-        histogram.withColumn("_upto", F.sum("_cell_n").over(up_to))
-        .withColumn("_total", F.sum("_cell_n").over(Window.partitionBy(*keys)))
-        .withColumn("_from", F.col("_upto") - F.col("_cell_n"))
-        .withColumn("_ranks", F.filter(wanted, lambda r: (r >= F.col("_from")) & (r < F.col("_upto"))))
+        histogram.select(
+            "*",
+            F.sum("_cell_n").over(up_to).alias("_upto"),
+            F.sum("_cell_n").over(Window.partitionBy(*keys)).alias("_total"),
+        )
+        .select(*keys, "_cell", (F.col("_upto") - F.col("_cell_n")).alias("_from"), "_upto", "_total", wanted.alias("_all"))
+        .select(
+            *keys, "_cell", "_from", "_total",
+            F.filter("_all", lambda r: (r >= F.col("_from")) & (r < F.col("_upto"))).alias("_ranks"),
+        )
         .where(F.size("_ranks") > 0)
-        .select(*keys, "_cell", "_from", "_total", "_ranks")
     )
     inside = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hits = (
         cells.join(picks, [*keys, "_cell"])
-        .withColumn("_end", F.col("_from") + F.sum("_n").over(inside))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-        .withColumn(
-            "_rank", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_end"))))
+        .select(*keys, "_v", "_n", "_total", "_ranks", (F.col("_from") + F.sum("_n").over(inside)).alias("_end"))
+        .select(
+            *keys, "_v", "_total",
+            F.explode(
+                F.filter("_ranks", lambda r: (r >= F.col("_end") - F.col("_n")) & (r < F.col("_end")))
+            ).alias("_rank"),
         )
-        .select(*keys, "_rank", "_v", "_total")
     )
 
     def picked(p: float) -> Column:

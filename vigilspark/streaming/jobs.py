@@ -28,9 +28,10 @@ from vigilspark.schema import EVENT
 REFRESH_START = {"1 minute": "10 minutes", "5 minutes": "20 minutes", "1 hour": "3 hours"}
 
 
-def table_stream(spark: SparkSession, path: str, schema=EVENT, files_per_trigger: int = 1) -> DataFrame:
+def table_stream(spark: SparkSession, path: str, schema=EVENT, files_per_trigger: int | None = None) -> DataFrame:
     """A folder of stored Parquet files as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
 def save_batch(df: DataFrame, path: str, batch_id: int) -> None:
