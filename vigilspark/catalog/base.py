@@ -43,17 +43,16 @@ def query(name: str, sql: str | None = None):
 
 
 def comparable(df: DataFrame) -> DataFrame:
-    def column(name: str, kind: str):
-        c = F.col(f"`{name}`")
+    def column(name: str, kind: str) -> str:
         if kind in ("timestamp", "timestamp_ntz"):
-            return F.date_format(c, TIME_FORMAT).alias(name)
+            return f"date_format(`{name}`, '{TIME_FORMAT}') AS `{name}`"
         if kind == "date":
-            return c.cast("string").alias(name)
+            return f"CAST(`{name}` AS STRING) AS `{name}`"
         if kind in ("double", "float"):
-            return (F.round(c, 6) + F.lit(0.0)).alias(name)
-        return c
+            return f"round(`{name}`, 6) + 0.0D AS `{name}`"
+        return f"`{name}`"
 
-    return df.select(*[column(n, k) for n, k in df.dtypes])
+    return df.selectExpr(*[column(n, k) for n, k in df.dtypes])
 
 
 # -- Spark side ---------------------------------------------------------------
@@ -94,35 +93,25 @@ def timeline(spark: SparkSession, sf_dir: str) -> tuple[datetime, datetime]:
 
 def raw_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table in the canonical event schema, metadata as JSON text."""
-    e = events_table(spark, sf_dir)
-    i, value = F.col("event_id"), F.col("value").cast("string")
-    latency = (
-        F.when(i % 17 == 0, F.lit(None).cast("string"))
-        .when(i % 23 == 0, F.concat(F.lit('"latency_ms": "'), value, F.lit('"')))
-        .when(i % 29 == 0, F.lit('"latency_ms": 0'))
-        .when(i % 41 == 0, F.lit('"latency_ms": null'))
-        .otherwise(F.concat(F.lit('"latency_ms": '), value))
-    )
-    k = F.get_json_object("props", "$.k").cast("int")
-    endpoint = F.concat(F.lit('"endpoint": "/ep'), (k % 5).cast("string"), F.lit('"'))
-    kind = F.col("event_type")
-    time = F.col("ts").cast("timestamp")
-    return e.select(
+    services = "array('" + "', '".join(SERVICES) + "')"
+    return events_table(spark, sf_dir).selectExpr(
         "event_id",
-        time.alias("time"),
-        F.get(F.array(*[F.lit(s) for s in SERVICES]), (F.col("user_id") % 10).cast("int")).alias("service"),
-        F.when((kind == "error") & (F.col("value") >= 100), "CRITICAL")
-        .when(kind == "error", "ERROR")
-        .when(kind == "signup", "WARN")
-        .when(kind == "view", "DEBUG")
-        .otherwise("INFO")
-        .alias("level"),
-        F.concat(kind, F.lit(" by user "), F.col("user_id").cast("string")).alias("message"),
-        F.concat(F.lit("{"), F.concat_ws(", ", latency, endpoint), F.lit("}")).alias("metadata"),
-        F.concat(F.lit("trace-"), F.floor(i / 10).cast("string")).alias("trace_id"),
-        F.concat(F.lit("span-"), i.cast("string")).alias("span_id"),
-        F.concat(F.lit("host-"), (F.col("user_id") % 4).cast("string")).alias("host"),
-        F.timestamp_micros(F.unix_micros(time) + (i % 50) * 1000).alias("ingested_at"),
+        "CAST(ts AS TIMESTAMP) AS time",
+        f"get({services}, CAST(user_id % 10 AS INT)) AS service",
+        """CASE WHEN event_type = 'error' AND value >= 100 THEN 'CRITICAL' WHEN event_type = 'error' THEN 'ERROR'
+           WHEN event_type = 'signup' THEN 'WARN' WHEN event_type = 'view' THEN 'DEBUG' ELSE 'INFO' END AS level""",
+        "concat(event_type, ' by user ', CAST(user_id AS STRING)) AS message",
+        """concat('{', concat_ws(', ',
+             CASE WHEN event_id % 17 = 0 THEN CAST(NULL AS STRING)
+                  WHEN event_id % 23 = 0 THEN concat('"latency_ms": "', CAST(value AS STRING), '"')
+                  WHEN event_id % 29 = 0 THEN '"latency_ms": 0'
+                  WHEN event_id % 41 = 0 THEN '"latency_ms": null'
+                  ELSE concat('"latency_ms": ', CAST(value AS STRING)) END,
+             concat('"endpoint": "/ep', CAST(CAST(get_json_object(props, '$.k') AS INT) % 5 AS STRING), '"')), '}') AS metadata""",
+        "concat('trace-', CAST(event_id DIV 10 AS STRING)) AS trace_id",
+        "concat('span-', CAST(event_id AS STRING)) AS span_id",
+        "concat('host-', CAST(user_id % 4 AS STRING)) AS host",
+        "timestamp_micros(unix_micros(CAST(ts AS TIMESTAMP)) + (event_id % 50) * 1000) AS ingested_at",
     )
 
 

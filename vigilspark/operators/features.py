@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilspark.functions.scalars import is_error, safe_ratio
 from vigilspark.plans.ordering import exact_percentiles
-from vigilspark.schema import FEATURE_NAMES, KNOWN_SERVICES, service_columns
+from vigilspark.schema import ERROR_LEVELS, FEATURE_NAMES, KNOWN_SERVICES, service_columns
 
 _ALL = "*"
 
@@ -42,24 +42,21 @@ def window_features(
     keys = list(keys)
     n = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     rows = rows.select(*keys, "service", "level", "valid_latency", n.alias("n"))
-    errors = F.when(is_error(), F.col("n")).otherwise(0)
-    measured = F.when(F.col("valid_latency").isNotNull(), F.col("n"))
+    bad = "level IN ('" + "', '".join(ERROR_LEVELS) + "')"
+    measured = "sum(CASE WHEN valid_latency IS NOT NULL THEN n END)"
     per_service = [
-        agg
+        F.expr(f"sum(CASE WHEN service = '{s}' {extra} THEN n ELSE 0 END) AS `{name}_{s}`")
         for s in KNOWN_SERVICES
-        for agg in (
-            F.sum(F.when(F.col("service") == s, F.col("n")).otherwise(0)).alias(f"_n_{s}"),
-            F.sum(F.when(F.col("service") == s, errors).otherwise(0)).alias(f"_e_{s}"),
-        )
+        for name, extra in (("_n", ""), ("_e", f"AND {bad}"))
     ]
     spread = [F.stddev_pop("valid_latency").alias("_std")] if weight is None else []
     base = (
         rows.groupBy(*keys)
         .agg(
             F.sum("n").alias("event_count"),
-            F.sum(errors).alias("_errors"),
-            F.sum(measured).alias("_m"),
-            safe_ratio(F.sum(F.col("valid_latency") * F.col("n")), F.sum(measured), None).alias("_mean"),
+            F.expr(f"sum(CASE WHEN {bad} THEN n ELSE 0 END) AS _errors"),
+            F.expr(f"{measured} AS _m"),
+            F.expr(f"try_divide(sum(valid_latency * n), CAST({measured} AS DOUBLE)) AS _mean"),
             *spread,
             *per_service,
         )
@@ -78,25 +75,35 @@ def window_features(
     )
     tails = exact_percentiles(scoped, [*keys, "_scope"], "valid_latency", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, "n")
 
-    def of(scope: str, name: str) -> Column:
-        return F.max(F.when(F.col("_scope") == scope, F.col(name)))
+    def of(scope: str, source: str, name: str) -> Column:
+        return F.expr(f"coalesce(max(CASE WHEN _scope = '{scope}' THEN {source} END), 0.0D) AS `{name}`")
 
     wide = tails.groupBy(*keys).agg(
-        *[of(_ALL, p).alias(f"{p}_latency_ms") for p in ("p50", "p95", "p99")],
-        *[of(s, "p95").alias(service_columns(s)[1]) for s in KNOWN_SERVICES],
+        *[of(_ALL, p, f"{p}_latency_ms") for p in ("p50", "p95", "p99")],
+        *[of(s, "p95", service_columns(s)[1]) for s in KNOWN_SERVICES],
+    )
+    rates = [
+        F.expr(f"coalesce(try_divide(CAST(`_e_{s}` AS DOUBLE), CAST(`_n_{s}` AS DOUBLE)), 0.0D) AS `{service_columns(s)[0]}`")
+        for s in KNOWN_SERVICES
+    ]
+    measures = [
+        F.expr(f"coalesce(`{c}`, 0.0D) AS `{c}`")
+        for c in ("p50_latency_ms", "p95_latency_ms", "p99_latency_ms", *[service_columns(s)[1] for s in KNOWN_SERVICES])
+    ]
+    joined = base.join(wide, keys, "left").select(
+        *keys,
+        F.col("event_count").cast("double").alias("event_count"),
+        F.expr("coalesce(try_divide(CAST(_errors AS DOUBLE), CAST(event_count AS DOUBLE)), 0.0D) AS error_rate"),
+        F.expr("coalesce(_std, 0.0D) AS latency_std"),
+        *measures,
+        *rates,
     )
-    joined = base.join(wide, keys, "left").na.fill(0.0)
-    joined = joined.withColumn("error_rate", safe_ratio(F.col("_errors"), F.col("event_count")))
     extra = derived_features(
         F.col("event_count"), F.col("error_rate"), F.col("p50_latency_ms"), F.col("p95_latency_ms"), F.col("p99_latency_ms")
     )
-    computed = {
-        "event_count": F.col("event_count").cast("double"),
-        "latency_std": F.coalesce("_std", F.lit(0.0)),
-        **extra,
-        **{service_columns(s)[0]: safe_ratio(F.col(f"_e_{s}"), F.col(f"_n_{s}")) for s in KNOWN_SERVICES},
-    }
-    return joined.select(*keys, *[computed.get(f, F.col(f"`{f}`")).alias(f) for f in FEATURE_NAMES])
+    return joined.select(
+        *keys, *[extra[f].alias(f) if f in extra else F.col(f"`{f}`") for f in FEATURE_NAMES]
+    )
 
 
 def service_features(rows: DataFrame, keys: Sequence[str] = ("window_start", "window_end")) -> DataFrame:
@@ -116,10 +123,9 @@ def fit_scaler(features: DataFrame, names: Sequence[str] = FEATURE_NAMES) -> Dat
     """One row: a struct of mean and scale per feature (population deviation, zero becomes 1)."""
     stats = features.agg(
         *[
-            F.struct(
-                F.avg(f"`{n}`").alias("mean"),
-                F.when(F.stddev_pop(f"`{n}`") == 0, 1.0).otherwise(F.stddev_pop(f"`{n}`")).alias("scale"),
-            ).alias(n)
+            F.expr(
+                f"struct(avg(`{n}`) AS mean, CASE WHEN stddev_pop(`{n}`) = 0 THEN 1.0D ELSE stddev_pop(`{n}`) END AS scale) AS `{n}`"
+            )
             for n in names
         ]
     )
@@ -132,7 +138,7 @@ def scale(features: DataFrame, scaler: DataFrame, names: Sequence[str] = FEATURE
     s = features.withColumn("_s", scaler.select("scaler").scalar())
     return s.select(
         *rest,
-        *[((F.col(f"`{n}`") - F.col(f"_s.`{n}`.mean")) / F.col(f"_s.`{n}`.scale")).alias(n) for n in names],
+        *[F.expr(f"(`{n}` - _s.`{n}`.mean) / _s.`{n}`.scale AS `{n}`") for n in names],
     )
 
 

@@ -9,6 +9,8 @@ ordered inside one cell. No step sends a whole key to one task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,49 +95,35 @@ def exact_percentiles(
     )
     histogram = cells.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_cell_n"))
     up_to = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    probabilities = sorted(set(quantiles.values()))
-
-    def position(p: float) -> Column:
-        return (F.col("_total") - 1) * F.lit(float(p))
-
-    wanted = F.array_distinct(
-        F.array(
-            *[
-                bound
-                for p in probabilities
-                for bound in (F.floor(position(p)).cast("bigint"), F.ceil(position(p)).cast("bigint"))
-            ]
-        )
-    )
+
+    def ranks(p: float) -> tuple[Column, Column]:
+        position = (F.col("_total") - 1) * F.lit(float(p))
+        return F.floor(position), F.ceil(position)
+
+    def holds(rank: Column, low: Column, high: Column) -> Column:
+        return (rank >= low) & (rank < high)
+
+    wanted = [rank for p in sorted(set(quantiles.values())) for rank in ranks(p)]
+    cell_from, cell_to = F.col("_upto") - F.col("_cell_n"), F.col("_upto")
     picks = (
         histogram.select(
             "*",
             F.sum("_cell_n").over(up_to).alias("_upto"),
             F.sum("_cell_n").over(Window.partitionBy(*keys)).alias("_total"),
         )
-        .select(*keys, "_cell", (F.col("_upto") - F.col("_cell_n")).alias("_from"), "_upto", "_total", wanted.alias("_all"))
-        .select(
-            *keys, "_cell", "_from", "_total",
-            F.filter("_all", lambda r: (r >= F.col("_from")) & (r < F.col("_upto"))).alias("_ranks"),
-        )
-        .where(F.size("_ranks") > 0)
+        .where(reduce(or_, [holds(rank, cell_from, cell_to) for rank in wanted]))
+        .select(*keys, "_cell", cell_from.alias("_from"), "_total")
     )
     inside = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hits = (
-        cells.join(picks, [*keys, "_cell"])
-        .select(*keys, "_v", "_n", "_total", "_ranks", (F.col("_from") + F.sum("_n").over(inside)).alias("_end"))
-        .select(
-            *keys, "_v", "_total",
-            F.explode(
-                F.filter("_ranks", lambda r: (r >= F.col("_end") - F.col("_n")) & (r < F.col("_end")))
-            ).alias("_rank"),
-        )
+    hits = cells.join(picks, [*keys, "_cell"]).select(
+        *keys, "_v", "_n", "_total", (F.col("_from") + F.sum("_n").over(inside)).alias("_end")
     )
 
     def picked(p: float) -> Column:
-        low = F.max(F.when(F.col("_rank") == F.floor(position(p)), F.col("_v")))
-        high = F.max(F.when(F.col("_rank") == F.ceil(position(p)), F.col("_v")))
-        share = F.max(position(p) - F.floor(position(p)))
+        low, high = (
+            F.max(F.when(holds(rank, F.col("_end") - F.col("_n"), F.col("_end")), F.col("_v"))) for rank in ranks(p)
+        )
+        share = F.max((F.col("_total") - 1) * F.lit(float(p)) - ranks(p)[0])
         return low + (high - low) * share
 
     return hits.groupBy(*keys).agg(*[picked(p).alias(name) for name, p in quantiles.items()])

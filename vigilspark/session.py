@@ -16,7 +16,9 @@ def local_session(name: str = "vigilspark", cores: int | str = "*", **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")  # small local data keep all cores
         .config("spark.driver.memory", "8g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture per column expression
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
