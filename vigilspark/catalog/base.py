@@ -299,13 +299,13 @@ def response_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-metric series per stream (user_id % 20): value, and value x k; labelled by the scenarios."""
-    from vigilspark.plans.ordering import global_rank
+    from vigilspark.plans.ordering import global_rank, time_cells
 
     e = table(spark, sf_dir, "events").select(
         (F.col("user_id") % 20).cast("string").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
-    ranked = global_rank(e, F.to_date("ts"), [F.col("ts"), F.col("event_id")], "i", ["stream"])
+    ranked = global_rank(e, time_cells(F.col("ts"), 86_400), [F.col("ts"), F.col("event_id")], "i", ["stream"])
     both = F.array(
         F.struct(F.lit(0).alias("metric"), F.col("value").alias("value")),
         F.struct(F.lit(1).alias("metric"), (F.col("value") * F.col("k")).alias("value")),
@@ -346,14 +346,20 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error events as alerts: CRITICAL ones are critical, the others warnings."""
-    critical = F.col("level") == "CRITICAL"
-    return raw_telemetry(spark, sf_dir).where(is_error()).select(
+    """One alert per service, severity and hour with error events, at the last of them (one check an hour)."""
+    severity = F.when(F.col("level") == "CRITICAL", "critical").otherwise("warning")
+    hourly = (
+        raw_telemetry(spark, sf_dir)
+        .where(is_error())
+        .groupBy("service", severity.alias("severity"), in_buckets("time", "1 hour").alias("check"))
+        .agg(F.max("time").alias("time"), F.max("event_id").alias("last_id"))
+    )
+    return hourly.select(
         "time",
-        F.concat(F.lit("a"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("anomaly_id"),
+        F.concat(F.lit("a"), F.lpad(F.col("last_id").cast("string"), 12, "0")).alias("anomaly_id"),
         "service",
-        F.when(critical, "critical").otherwise("warning").alias("severity"),
-        F.when(critical, "HighLatency").otherwise("HighErrorRate").alias("alertname"),
+        "severity",
+        F.when(F.col("severity") == "critical", "HighLatency").otherwise("HighErrorRate").alias("alertname"),
     )
 
 
@@ -532,12 +538,14 @@ WHERE day(d) % 2 = 0 AND (k = 0 OR day(d) % 6 = 0)""",
     ),
     "alr": (
         ("tel",),
-        f"SELECT time, 'a' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS anomaly_id, service, "
-        "CASE WHEN level = 'CRITICAL' THEN 'critical' ELSE 'warning' END AS severity, "
-        f"CASE WHEN level = 'CRITICAL' THEN 'HighLatency' ELSE 'HighErrorRate' END AS alertname FROM tel WHERE {_ERR}",
+        "SELECT time, 'a' || lpad(CAST(last_id AS VARCHAR), 12, '0') AS anomaly_id, service, severity, "
+        "CASE WHEN severity = 'critical' THEN 'HighLatency' ELSE 'HighErrorRate' END AS alertname FROM "
+        "(SELECT service, CASE WHEN level = 'CRITICAL' THEN 'critical' ELSE 'warning' END AS severity, "
+        f"time_bucket(INTERVAL 1 HOUR, time) AS b, max(time) AS time, max(event_id) AS last_id FROM tel WHERE {_ERR} GROUP BY 1, 2, 3)",
     ),
 }
 
+
 def sql(body: str, *needs: str, extra: str = "", recursive: bool = False) -> str:
     """``body`` with the named fixture CTEs (and what they need) in front."""
     ordered: list[str] = []

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilspark.functions.scalars import in_buckets, is_error, safe_ratio, seconds_between
-from vigilspark.plans.ordering import exact_percentiles, global_rank, value_cell
+from vigilspark.plans.ordering import exact_percentiles, values_at_ranks
 
 
 def rollup(events: DataFrame, width: str, weight: str | None = None) -> DataFrame:
@@ -200,35 +200,29 @@ def request_log_summary(
     target_p99: float = 150.0,
     target_success: float = 99.9,
 ) -> DataFrame:
-    """Totals, nearest-rank percentiles and verdicts of a request log (elapsed DOUBLE, success BOOLEAN, request_id).
+    """Totals, nearest-rank percentiles and verdicts of a request log (elapsed DOUBLE, success BOOLEAN).
 
     The percentile is the value at 0-based index ``int(n * q)`` of the sorted log (p50: the median).
     """
-    ranked = global_rank(log.select("elapsed", "request_id"), value_cell(F.col("elapsed")), [F.col("elapsed"), F.col("request_id")])
+    n = F.col("total")
     totals = log.agg(
         F.count("*").alias("total"),
         F.count_if("success").alias("ok"),
         F.count_if(~F.col("success")).alias("failed"),
         F.avg("elapsed").alias("avg_latency"),
     )
-    n = F.col("total")
-
-    def at(index: Column) -> Column:
-        return F.max(F.when(F.col("rank") == index + 1, F.col("elapsed")))
-
-    half = F.floor((n - 1) / 2), F.ceil((n - 1) / 2)
-    picks = [F.floor(n * 0.95), F.floor(n * 0.99), *half]
-    summary = (
-        ranked.withColumn("_t", totals.select(F.struct("*")).scalar())
-        .select("elapsed", "rank", "_t.*")
-        .where((F.col("rank") - 1).isin(*picks))
-        .groupBy("total", "ok", "failed", "avg_latency")
-        .agg(
-            ((at(half[0]) + at(half[1])) / 2).alias("p50_latency"),
-            at(F.floor(n * 0.95)).alias("p95_latency"),
-            at(F.floor(n * 0.99)).alias("p99_latency"),
-        )
-    )
+    picked = values_at_ranks(
+        log,
+        [],
+        "elapsed",
+        {
+            "_low": lambda n: F.floor((n - 1) / 2),
+            "_high": lambda n: F.ceil((n - 1) / 2),
+            "p95_latency": lambda n: F.floor(n * 0.95),
+            "p99_latency": lambda n: F.floor(n * 0.99),
+        },
+    ).select(((F.col("_low") + F.col("_high")) / 2).alias("p50_latency"), "p95_latency", "p99_latency")
+    summary = totals.withColumn("_p", picked.select(F.struct("*")).scalar()).select(*totals.columns, "_p.*")
     return (
         summary.withColumn("success_rate", safe_ratio(F.col("ok"), n) * 100)
         .withColumn("rate", n / F.lit(float(duration_seconds)))

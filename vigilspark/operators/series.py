@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vigilspark.functions.scalars import safe_ratio
 from vigilspark.operators.features import derived_features
 from vigilspark.plans.intervals import points_in_spans
-from vigilspark.plans.ordering import exact_percentiles
+from vigilspark.plans.ordering import exact_percentiles, global_rank
 from vigilspark.schema import SERIES_FEATURES
 
 
@@ -48,17 +48,15 @@ def value_cutoff(normalized: DataFrame, quantile: float = 0.95) -> DataFrame:
 
 
 def split_streams(series: DataFrame, seed: int, train_frac: float = 0.6, val_frac: float = 0.2) -> DataFrame:
-    """(stream, split): a seeded shuffle of the stream names cut by fraction. The list of streams is small."""
-    from pyspark.sql import Window
-
+    """(stream, split): a seeded shuffle of the stream names cut by fraction."""
     names = series.select("stream").distinct().withColumn("_h", F.xxhash64("stream", F.lit(seed)))
-    order = Window.orderBy("_h", "stream")
-    ranked = names.withColumn("_r", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
+    ranked = global_rank(names, F.shiftright("_h", 50), [F.col("_h"), F.col("stream")], "_r")
+    counted = ranked.withColumn("_n", names.agg(F.count("*").alias("n")).scalar())
     n_train = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(train_frac)))
     n_val = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(val_frac)))
-    return ranked.select(
-        "stream",
-        F.when(F.col("_r") < n_train, "train").when(F.col("_r") < n_train + n_val, "val").otherwise("test").alias("split"),
+    at = F.col("_r") - 1
+    return counted.select(
+        "stream", F.when(at < n_train, "train").when(at < n_train + n_val, "val").otherwise("test").alias("split")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilspark.plans.intervals import overlap_pairs
-from vigilspark.plans.ordering import global_rank, running_sums, time_cell
+from vigilspark.plans.ordering import global_rank, running_sums, time_cell, time_cells
 
 
 def _epoch(moment: datetime) -> int:
@@ -92,7 +92,7 @@ def trailing_buffer(
     size: int = 1000,
     tick: str = "tick",
     tiebreak: str = "event_id",
-    cell_seconds: int = 60,
+    cell_seconds: int = 3_600,
 ) -> DataFrame:
     """The newest ``size`` events of a service at or before each of its ticks.
 
@@ -106,7 +106,7 @@ def trailing_buffer(
     both = events.select("service", "time", tiebreak, F.lit(1).alias("_e")).unionByName(marks)
     numbered = running_sums(
         both,
-        time_cell(F.col("time"), cell_seconds),
+        time_cells(F.col("time"), cell_seconds),
         [F.col("time"), F.desc("_e"), F.col(tiebreak)],
         {"number": F.col("_e").cast("bigint")},
         ["service"],

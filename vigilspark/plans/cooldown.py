@@ -4,8 +4,13 @@ The answer for a row depends on earlier answers, so a plain ``lag`` is not
 enough. History is cut into chunks of a fixed time length. Within a chunk the
 only thing that matters from before is the time until which rows are still
 suppressed; a chunk is therefore a step function from that time to the next
-chunk's. The (few) steps of a key are chained in order, then every chunk is
-marked on its own. No task sees more than one chunk of rows.
+chunk's. The steps of a key are chained in order, then every chunk is marked
+on its own.
+
+Rows are alerts: a check of a key raises at most one, so a chunk holds at most
+as many rows as checks fit into it, and a key at most as many steps as the
+clock allows, whatever the volume of the events behind the alerts. Rows at one
+instant are merged before anything is grouped.
 """
 
 from __future__ import annotations
