@@ -11,12 +11,19 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilspark.functions.scalars import direction
 from vigilspark.operators.forest import Forest, average_path, node_table
 
+# Fixed text of an explanation: headings, and the line formats.
+HEAD_ANOMALY = "Top factors indicating ANOMALY:"
+HEAD_NORMAL = "Top factors indicating NORMAL:"
+LINE_ANOMALY = "  - %s: %.4f"
+LINE_NORMAL = "  - %s: +%.4f"
+LINE_NET = "Net SHAP impact: %.4f"
+
 
 def _leaf_boxes(table: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
     """Per tree: leaf values, and per leaf and slot a feature with its (low, high] interval; slot -1 is unused."""
@@ -104,8 +111,6 @@ def attribute(scored: DataFrame, forest: Forest, flagged_only: bool = True) -> D
 
 def ranked_attributions(long: DataFrame, keys: list[str], k: int | None = None) -> DataFrame:
     """Rank long attributions (keys, feature, value, shap) by absolute size, first feature name on ties."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(*keys).orderBy(F.desc(F.abs("shap")), "feature")
     ranked = long.withColumn("rank", F.row_number().over(order)).withColumn("direction", direction(F.col("shap")))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
@@ -113,8 +118,6 @@ def ranked_attributions(long: DataFrame, keys: list[str], k: int | None = None)
 
 def signed_contributors(long: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     """Up to ``k`` most negative and ``k`` most positive attributions of each key."""
-    from pyspark.sql import Window
-
     side = F.when(F.col("shap") < 0, "negative").otherwise("positive")
     order = Window.partitionBy(*keys, "side").orderBy(F.desc(F.abs("shap")), "feature")
     return (
@@ -142,8 +145,8 @@ def attribution_summary(long: DataFrame, keys: list[str], k: int = 5) -> DataFra
     net = F.col("negative_sum") + F.col("positive_sum")
     text = F.concat_ws(
         "\n",
-        F.lit("Top factors indicating ANOMALY:"), lines("_neg", "  - %s: %.4f"),
-        F.lit("Top factors indicating NORMAL:"), lines("_pos", "  - %s: +%.4f"),
-        F.format_string("Net SHAP impact: %.4f", net),
+        F.lit(HEAD_ANOMALY), lines("_neg", LINE_ANOMALY),
+        F.lit(HEAD_NORMAL), lines("_pos", LINE_NORMAL),
+        F.format_string(LINE_NET, net),
     )
     return sums.withColumn("net", net).withColumn("text", text).drop("_neg", "_pos")
