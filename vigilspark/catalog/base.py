@@ -210,7 +210,7 @@ def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     names = F.array(F.lit("event_count"), F.lit("error_rate"), F.lit("avg_latency"))
     values = F.array(F.col("n").cast("double"), F.col("er"), F.col("lat"))
-    shap = F.array(-F.col("n") / 1000.0, -F.col("er"), (F.col("lat") - 50) / 1000.0)
+    shap = F.array(-F.col("n") / 1000.0, -F.col("er"), (F.col("lat") - 50) / 700.0)
     resolved = F.hour("w") == 12
     return grouped.select(
         "time",
@@ -487,7 +487,7 @@ WHERE day(d) % 2 = 0 AND (k = 0 OR day(d) % 6 = 0)""",
   SELECT anomaly_id, time, service, severity, score, 0 AS pos, 'event_count' AS feature, CAST(window_size AS DOUBLE) AS value,
     -CAST(window_size AS DOUBLE) / 1000.0 AS shap FROM anom UNION ALL
   SELECT anomaly_id, time, service, severity, score, 1, 'error_rate', er, -er FROM anom UNION ALL
-  SELECT anomaly_id, time, service, severity, score, 2, 'avg_latency', lat, (lat - 50) / 1000.0 FROM anom)""",
+  SELECT anomaly_id, time, service, severity, score, 2, 'avg_latency', lat, (lat - 50) / 700.0 FROM anom)""",
     ),
     "prices": (
         (),

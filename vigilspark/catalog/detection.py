@@ -74,7 +74,7 @@ def temporal_split(spark, sf_dir):
     "trailing_buffer",
     sql(
         f"SELECT service, {ts('tick')} AS tick, count(*) AS n, count(*) FILTER ({ERR}) AS errors, max(event_id) AS newest, "
-        f"min(event_id) AS oldest, {r6('avg(valid_latency)')} AS avg_latency FROM (SELECT k.tick, e.*, row_number() OVER "
+        f"min(event_id) AS oldest, {r6('sum(valid_latency)')} AS sum_latency FROM (SELECT k.tick, e.*, row_number() OVER "
         "(PARTITION BY k.service, k.tick ORDER BY e.time DESC, e.event_id DESC) AS age FROM ticks k JOIN tel e "
         "ON e.service = k.service AND e.time <= k.tick) WHERE age <= 50 GROUP BY service, x.tick".replace("x.tick", "tick"),
         "tel", "latest",
@@ -89,7 +89,7 @@ def trailing_buffer(spark, sf_dir):
     buffered = windows.trailing_buffer(events, ticks, size=50, cell_seconds=3_600)
     return buffered.groupBy("service", "tick").agg(
         F.count("*").alias("n"), F.count_if(F.col("level").isin("ERROR", "CRITICAL")).alias("errors"),
-        F.max("event_id").alias("newest"), F.min("event_id").alias("oldest"), F.avg("valid_latency").alias("avg_latency"),
+        F.max("event_id").alias("newest"), F.min("event_id").alias("oldest"), F.sum("valid_latency").alias("sum_latency"),
     )
 
 
