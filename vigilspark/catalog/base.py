@@ -34,7 +34,11 @@ def query(name: str, sql: str | None = None):
     """Register a query; its result is put into comparable form (times as text, doubles to 6 digits)."""
 
     def wrap(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: comparable(fn(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # the data model's time zone
+            return comparable(fn(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn

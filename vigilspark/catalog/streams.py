@@ -10,22 +10,30 @@ from pyspark.sql import functions as F
 
 from vigilspark.catalog.base import (
     FEATURE_LIST_SQL, STRIDE_S, WINDOW_S, anomalies, as_of, feature_table, query, r6, raw_json, raw_telemetry, report_rows,
-    rule_alerts, scenarios, sql, telemetry, timeline, ts,
+    rule_alerts, series, sql, stream_spans, timeline, ts,
 )
 from vigilspark.catalog.metrics import _CONTEXT, _rollup_body
 from vigilspark.operators import forest
+from vigilspark.operators.series import label_points
 from vigilspark.session import shared_dir
 from vigilspark.sources import readers, writers
 from vigilspark.streaming import jobs
 
-ERR = "level IN ('ERROR', 'CRITICAL')"
-
 
 def _work(spark) -> str:
     """A fresh folder in the shared checkpoint location."""
     return f"{shared_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
+def _stream_session(spark):
+    """A session of the same application whose state stores have no more partitions than the cores can use."""
+    session = spark.newSession()
+    most = 2 * spark.sparkContext.defaultParallelism
+    session.conf.set("spark.sql.session.timeZone", "UTC")
+    session.conf.set("spark.sql.shuffle.partitions", min(int(spark.conf.get("spark.sql.shuffle.partitions")), most))
+    return session
+
+
 def _drain(spark, df: DataFrame, work: str, start, time: str = "time", parts: int = 3) -> None:
     """Deliver ``df`` in time order, part by part; after each part the job runs until it has caught up.
 
@@ -33,10 +41,11 @@ def _drain(spark, df: DataFrame, work: str, start, time: str = "time", parts: in
     """
     low, high = df.agg(F.unix_micros(F.min(time)), F.unix_micros(F.max(time))).first()
     width = (high - low) // parts + 1
+    session = _stream_session(spark)
     for k in range(parts):
         at = F.unix_micros(time)
         df.where((at >= low + k * width) & (at < low + (k + 1) * width)).write.mode("append").parquet(f"{work}/in")
-        start(jobs.table_stream(spark, f"{work}/in", df.schema)).awaitTermination()
+        start(jobs.table_stream(session, f"{work}/in", df.schema)).awaitTermination()
 
 
 @query(
@@ -274,8 +283,21 @@ def source_event_log(spark, sf_dir):
 
 
 @query(
-    "model_round_trip",
+    "source_series_csv",
+    sql(f"SELECT stream, i, {ts('ts')} AS ts, {r6('value')} AS value, label FROM serl WHERE metric = 0", "serl"),
 )
+def source_series_csv(spark, sf_dir):
+    """Every stream written as CSV files of its own folder, read back and labelled."""
+    work = _work(spark)
+    one = series(spark, sf_dir).where("metric = 0")
+    stamped = one.select("stream", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"), "value")
+    stamped.write.partitionBy("stream").option("header", True).csv(f"{work}/series")
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"stream=([^/]+)", 1)
+    back = readers.read_series_csv(spark, f"{work}/series", folder)
+    return label_points(back, stream_spans(spark, sf_dir)).select("stream", "i", "ts", "value", "label")
+
+
+@query("model_round_trip")
 def model_round_trip(spark, sf_dir):
     """A model saved as four tables, loaded again, scoring the same rows."""
     work = _work(spark)

@@ -95,7 +95,7 @@ def subsample(scaled: DataFrame, key: str, n_rows: int, trees: int, size: int, s
         F.col(key).alias("_key"), F.col("vector"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
     ).withColumn("_h", F.xxhash64("_key", "tree", F.lit(seed)))
     if share < 1.0:
-        exploded = exploded.where(F.col("_h") < F.lit(int(-(2**63) + share * 2**64)))
+        exploded = exploded.where(F.col("_h") < F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64))))
     order = Window.partitionBy("tree").orderBy("_h", "_key")
     return exploded.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size)
 

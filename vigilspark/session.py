@@ -28,6 +28,9 @@ def local_session(name: str = "vigilspark", cores: int | str = "*", **conf: str)
     return session
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and state: the session's ``spark.checkpoint.dir``.
 
@@ -38,9 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="vigilspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:
+        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="vigilspark-")
+    return _LOCAL_DIRS[application]
 
 
 def materialize(df: DataFrame) -> DataFrame:

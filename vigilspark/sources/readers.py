@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilspark.functions.scalars import iso_timestamp
-from vigilspark.plans.ordering import global_rank
+from vigilspark.plans.ordering import global_rank, time_cells
 from vigilspark.schema import FEATURE_NAMES, TIMELINE, WIRE_EVENT
 
 _LOG_SCHEMA = T.StructType([T.StructField("time", T.StringType()), *[f for f in WIRE_EVENT.fields]])
@@ -90,15 +90,19 @@ def _file_stream() -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1)
 
 
-def read_series_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One CSV (timestamp, value) per stream; the stream is the file name, ``i`` the time order."""
+def read_series_csv(spark: SparkSession, paths: str | list[str], stream: Column | None = None) -> DataFrame:
+    """CSV files (timestamp, value); the stream is the file name unless ``stream`` says otherwise, ``i`` the time order."""
     rows = (
         spark.read.schema("timestamp string, value double")
         .option("header", True)
         .csv(paths)
-        .select(_file_stream().alias("stream"), iso_timestamp(F.col("timestamp")).alias("ts"), "value")
+        .select(
+            (_file_stream() if stream is None else stream).alias("stream"),
+            iso_timestamp(F.col("timestamp")).alias("ts"),
+            "value",
+        )
     )
-    ranked = global_rank(rows, F.to_date("ts"), [F.col("ts"), F.col("value")], "i", ["stream"])
+    ranked = global_rank(rows, time_cells(F.col("ts"), 86_400), [F.col("ts"), F.col("value")], "i", ["stream"])
     return ranked.withColumn("i", F.col("i") - 1).withColumn("metric", F.lit(0))
 
 

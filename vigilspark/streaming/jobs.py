@@ -15,7 +15,6 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from vigilspark.functions.scalars import with_metadata_fields
 from vigilspark.operators import alerts, attribution, forest, validation, windows
@@ -144,18 +143,16 @@ def deduplicated(events: DataFrame, late: str = "10 minutes", keys: tuple[str, .
 
 
 class Versions:
-    """A table rewritten by every micro-batch: batch N reads version N-1 and writes version N."""
+    """A table rewritten by every micro-batch: batch N reads version N-1 and writes version N.
+
+    A missing earlier version is an error, never an empty state.
+    """
 
     def __init__(self, path: str) -> None:
         self.path = path
 
     def read(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        if batch_id == 0:
-            return None
-        try:
-            return spark.read.parquet(f"{self.path}/v={batch_id - 1}")
-        except AnalysisException:
-            return None
+        return spark.read.parquet(f"{self.path}/v={batch_id - 1}") if batch_id else None
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
@@ -197,7 +194,7 @@ def trailing_buffer_job(
     size: int = 1000,
     late_s: int = 0,
     tiebreak: str = "event_id",
-    cell_seconds: int = 60,
+    cell_seconds: int = 3_600,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """The newest ``size`` events per service at every check (twin: ``trailing_buffer`` over ``regular_ticks``).
