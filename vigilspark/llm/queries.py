@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilspark.llm import exact_dedup, mixing, sharding, substring_dedup
+from vigilspark.llm import binary_output, bpe, exact_dedup, mixing, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_mixing": mixing.query,
     "op6_sharding": sharding.query,
+    "op7_bpe": bpe.query,
+    "op10_binary_output": binary_output.query,
 }
 
 #: The others have no SQL that ends on whole tables, or none at all; their tests use brute force.
