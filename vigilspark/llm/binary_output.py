@@ -191,7 +191,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, text: str = "text", do
                 if writer is None:
                     system, place = _open(name)
                     system.create_dir(place.rpartition("/")[0], recursive=True)
-                    stream = system.open_output_stream(place)
+                    stream = system.open_output_stream(place, compression=None)
                     writer = Writer(stream, encoder.width, frame_ids)
                 writer.add(key, encoder.encode(value) + end)
                 documents += 1
