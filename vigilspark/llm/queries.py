@@ -6,16 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilspark.llm import binary_output, bpe, exact_dedup, mixing, sharding, substring_dedup
+from vigilspark.llm import (
+    binary_output,
+    bpe,
+    exact_dedup,
+    maxscore,
+    mixing,
+    ngram_join,
+    sharding,
+    substring_dedup,
+    toxicity,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.query,
+    "op2_toxicity": toxicity.query,
+    "op3_ngram_join": ngram_join.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_mixing": mixing.query,
     "op6_sharding": sharding.query,
     "op7_bpe": bpe.query,
+    "op8_url_filter": url_filter.query,
+    "op9_maxscore": maxscore.query,
     "op10_binary_output": binary_output.query,
 }
 
 #: The others have no SQL that ends on whole tables, or none at all; their tests use brute force.
-ORACLE: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL}
+ORACLE: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL, "op9_maxscore": maxscore.SQL}
