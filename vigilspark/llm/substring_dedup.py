@@ -7,7 +7,7 @@
 *Extend.* The windows that picked one anchor are consecutive: a run of windows around it. Where all
 occurrences of an anchor have the same run, the run is the common stretch, as far to both sides as this anchor
 answers for. Otherwise each occurrence is compared window by window with all others. Both comparisons are
-equalities of 128 bits (anchor and stretch), counted over the corpus, so a passage with m copies costs m rows
+equalities of 96 bits (half the anchor's hash, and the stretch's), counted over the corpus, so a passage with m copies costs m rows
 and never m squared pairs. Neighbouring repeated windows merge to maximal repeats.
 
 Anchors that occur once need no comparison. Two fixed-size bitmaps (``bitmaps``) carry what is repeated back to
@@ -74,7 +74,7 @@ def _stretches(length: int, gram: int):
 
 def _candidates(length: int, gram: int, repeated, mixed):
     schema = pa.schema(
-        [("doc", pa.int64()), ("form", pa.int32()), ("anchor", pa.int64()), ("stretch", pa.int64()),
+        [("doc", pa.int64()), ("form", pa.int32()), ("anchor", pa.int32()), ("stretch", pa.int64()),
          ("begin", pa.int32()), ("windows", pa.int32())]
     )
 
@@ -102,7 +102,7 @@ def _candidates(length: int, gram: int, repeated, mixed):
                         {
                             "doc": [ids[i] for i in text.tolist()],
                             "form": forms[text],
-                            "anchor": r["anchor"].view(np.int64),
+                            "anchor": r["anchor"].view(np.int64).astype(np.int32),
                             "stretch": words.hashes(r["begin"], r["begin"] + r["windows"] + length - 2).view(np.int64),
                             "begin": (r["begin"] - words.first[r["text"]]).astype(np.int32),
                             "windows": r["windows"].astype(np.int32),
@@ -111,7 +111,7 @@ def _candidates(length: int, gram: int, repeated, mixed):
                     schema,
                 )
 
-    return scan, "doc long, form int, anchor long, stretch long, begin int, windows int"
+    return scan, "doc long, form int, anchor int, stretch long, begin int, windows int"
 
 
 def _cut(length: int):
@@ -176,7 +176,7 @@ def remove_repeats(
     many = spark.sparkContext.broadcast(bitmaps.pack(bitmaps.gather(repeated.filter("mixed"), "anchor")))
 
     scan, schema = _candidates(length, gram, some, many)
-    candidates = materialize(rows.mapInArrow(scan, schema))
+    candidates = rows.mapInArrow(scan, schema)  # read twice: hashing again is cheaper than keeping a row per window
     keys = materialize(
         candidates.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "stretch")
     )
