@@ -59,6 +59,16 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
+def _node(shingles: np.ndarray) -> bytes:
+    """Name of a set: equal for equal sets alone."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _classes(shingles: np.ndarray) -> np.ndarray:
+    """Shingles of each class; a count of 32,767 means as many or more."""
+    return np.minimum(np.bincount((shingles % CLASSES).astype(np.int64), minlength=CLASSES), 32767).astype(np.int16)
+
+
 def _prefix(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles in the order rare first, by sketched count and hash."""
     order = np.lexsort((shingles, counts[bitmaps.slots(shingles, SKETCH_BITS)]))
@@ -92,7 +102,7 @@ def _prefixes(width: int, sketch):
 def _nodes(width: int, sketch, shared):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("node", pa.binary()),
-         ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))]
+         ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("classes", pa.list_(pa.int16()))]
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,34 +115,32 @@ def _nodes(width: int, sketch, shared):
                     at = np.flatnonzero(bitmaps.test(shared.value, bitmaps.slots(prefix)))
                     tokens.append(prefix[at].view(np.int64))
                     places.append(at.astype(np.int32))
-                nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                classes = [_classes(s) if len(t) else None for s, t in zip(sets, tokens)]
                 part = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array(nodes, pa.binary()), pa.array(tokens, schema.field("tokens").type), pa.array(places, schema.field("places").type),
+                        pa.array(map(_node, sets), pa.binary()), pa.array(tokens, schema.field("tokens").type),
+                        pa.array(places, schema.field("places").type), pa.array(classes, schema.field("classes").type),
                     ],
                     schema=schema,
                 )
 
-    return scan, "doc_id long, key long, n int, node binary, tokens array<long>, places array<int>"
+    return scan, "doc_id long, key long, n int, node binary, tokens array<long>, places array<int>, classes array<short>"
 
 
 def _sets(width: int, wanted):
-    schema = pa.schema([("node", pa.binary()), ("classes", pa.list_(pa.int16())), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.flatnonzero(bitmaps.test(wanted.value, bitmaps.slots(batch.column("key").to_numpy())))
             for _, texts in grouped(batch.column("text").take(pa.array(at)).to_pylist()):
                 sets = [s for s in shingle_sets(texts, width) if len(s)]
-                nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                classes = [np.minimum(np.bincount((s % CLASSES).astype(np.int64), minlength=CLASSES), 32767).astype(np.int16) for s in sets]
-                lists = [s.view(np.int64) for s in sets]
-                columns = [pa.array(x, f.type) for x, f in zip((nodes, classes, lists), schema)]
+                columns = [pa.array(map(_node, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], schema.field("shingles").type)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return scan, "node binary, classes array<short>, shingles array<long>"
+    return scan, "node binary, shingles array<long>"
 
 
 def _enough(overlap: Column, n: Column, m: Column) -> Column:
@@ -150,17 +158,21 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _links(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs that are similar: suffix filter, then whole sets."""
-    def both(df: DataFrame, table: DataFrame, column: str) -> DataFrame:
+def _links(pairs: DataFrame, sizes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """The pairs that are similar: suffix filter, then whole sets of the documents that are left."""
+
+    def both(df: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
         for side in ("a", "b"):
-            df = df.join(table.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+            df = df.join(table.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
         return df
 
     least = F.aggregate(F.zip_with("classes_a", "classes_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
-    some = both(both(pairs, sizes, "n"), sets, "classes")
+    some = both(pairs, sizes, "n", "key", "classes")
     some = some.filter(_enough(least, F.col("n_a"), F.col("n_b")) | F.exists("classes_a", lambda x: x == 32767))
-    some = materialize(some.select("a", "b", "n_a", "n_b"))
+    some = materialize(some.select("a", "b", "n_a", "n_b", "key_a", "key_b"))
+    keys = some.select(F.explode(F.array("key_a", "key_b")).alias("key"))
+    scan, schema = _sets(width, rows.sparkSession.sparkContext.broadcast(bitmaps.pack(bitmaps.gather(keys, "key"))))
+    sets = materialize(rows.select("key", "text").mapInArrow(scan, schema))
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return both(some, sets, "shingles").filter(_enough(common, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
@@ -185,16 +197,13 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
     scan, schema = _nodes(width, sketch, shared)
     nodes = materialize(rows.mapInArrow(scan, schema))
 
-    first = F.min(F.struct("key", "n", "tokens", "places")).alias("x")  # one document stands for equal sets
-    reps = nodes.filter(F.size("tokens") > 0).groupBy("node").agg(first).select("node", "x.*")
-    entries = materialize(
-        reps.select("node", "key", "n", F.explode(F.arrays_zip("tokens", "places")).alias("e")).select("node", "key", "n", F.col("e.tokens").alias("token"), F.col("e.places").alias("place"))
-    )
+    first = F.min(F.struct("key", "n", "tokens", "places", "classes")).alias("x")  # one document stands for equal sets
+    reps = materialize(nodes.filter(F.size("tokens") > 0).groupBy("node").agg(first).select("node", "x.*"))
+    sizes = reps.select("node", "n", "key", "classes")
+    entries = reps.select("node", "n", F.explode(F.arrays_zip("tokens", "places")).alias("e"))
+    entries = entries.select("node", "n", F.col("e.tokens").alias("token"), F.col("e.places").alias("place"))
     often = materialize(entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"))
     postings = materialize(entries.join(often, "token", "left_semi"))
-    sizes = materialize(postings.groupBy("node").agg(F.first("n").alias("n"), F.first("key").alias("key")))
-    scan, schema = _sets(width, share(bitmaps.pack(bitmaps.gather(sizes, "key"))))
-    sets = materialize(rows.select("key", "text").mapInArrow(scan, schema))
 
     found = spark.createDataFrame([], "a binary, b binary")
     labels = spark.createDataFrame([], "node binary, comp binary")
@@ -203,7 +212,7 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
         centre = F.min(F.struct(F.hash("node", F.lit(turn)), F.col("node").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("comp").alias("c")))
         centres = materialize(apart.groupBy("token").agg(centre.alias("x")).select("token", "x.other", "x.m", "x.at", "x.c"))
         near = apart.join(centres, "token").filter((F.col("comp") != F.col("c")) & _may_match(F.col("n"), F.col("place"), F.col("m"), F.col("at")))
-        found = materialize(found.union(_links(materialize(_pairs(near)), sets, sizes)))
+        found = materialize(found.union(_links(materialize(_pairs(near)), sizes, rows, width)))
         labels = components(found)
 
     apart = _labelled(postings, labels)  # what is not connected yet, by lists with several components
@@ -214,7 +223,7 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
     right = left.select("token", F.col("comp").alias("c"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"))
     cross = left.join(groups.withColumnRenamed("comp", "c"), "token").filter("comp < c").join(right, ["token", "c"])
     cross = cross.filter(_may_match(F.col("n"), F.col("place"), F.col("m"), F.col("at")))
-    found = materialize(found.union(_links(materialize(_pairs(cross)), sets, sizes)))
+    found = materialize(found.union(_links(materialize(_pairs(cross)), sizes, rows, width)))
     return nodes.select("doc_id", "key", "n", "node"), found
 
 
