@@ -18,7 +18,7 @@ _VALUES = np.random.default_rng(20240607).integers(0, 1 << 64, 256, dtype=np.uin
 _POWERS: dict[int, np.ndarray] = {}
 
 #: Texts are handled in groups of about this many bytes; one longer text is a group of its own.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 19
 
 
 def _powers(base: int, n: int) -> np.ndarray:
