@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,7 +62,12 @@ class LibraryEncoder:
 
     def _ask(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in found]
+        kind = "H" if self.width == 2 else "I"
+        out = [array(kind, e.ids) for e in found]
+        if sys.byteorder == "big":
+            for ids in out:
+                ids.byteswap()
+        return [ids.tobytes() for ids in out]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
