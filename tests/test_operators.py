@@ -264,3 +264,12 @@ def test_alert_and_stored_anomaly(spark):
     assert [(t["name"], t["direction"]) for t in a["top_features"]] == [("p95_latency_ms", "toward_normal"), ("error_rate", "toward_anomaly")]
     stored = alerts.anomaly_rows(record).first()
     assert stored["severity"] == "HIGH" and stored["features"]["values"]["p95_latency_ms"] == 5000.0
+
+
+def test_features_without_reference_values_are_reported(spark):
+    nan = float("nan")
+    ref = spark.createDataFrame([("x", float(i)) for i in range(50)] + [("y", None), ("y", nan)], "feature string, value double")
+    cur = spark.createDataFrame([("x", float(i)) for i in range(50)] + [("y", 5.0)], "feature string, value double")
+    edges = {r["feature"]: r["edges"] for r in drift.quantile_edges(ref).collect()}
+    got = {r["feature"]: r["severity"] for r in drift.psi(ref, cur).collect()}
+    assert edges["y"] == [0.0, 1.0] and got == {"x": "ok", "y": "major"}

@@ -20,6 +20,16 @@ def test_event_log(spark, tmp_path):
     assert json.loads(got[1]["metadata"]) == {"x": 1}
 
 
+def test_unreadable_log_lines_are_kept_apart(spark, tmp_path):
+    good = json.dumps({"time": "2024-01-01T00:00:00", "service": "a"})
+    bad_time = json.dumps({"time": "yesterday", "service": "b"})
+    (tmp_path / "log.jsonl").write_text(f'{good}\n{{"time": "2024-01-01T0\n\n{bad_time}\n')
+    path = str(tmp_path / "log.jsonl")
+    assert readers.read_event_log(spark, path, T0, T0 + timedelta(days=1)).count() == 1
+    lost = {(r.raw, r.reason) for r in readers.unread_event_log(spark, path).collect()}
+    assert lost == {('{"time": "2024-01-01T0', "unreadable line"), (bad_time, "unreadable time")}
+
+
 def test_timeline_file(spark, tmp_path):
     doc = {"start_utc": "x", "scenarios": [{"type": "b", "targets": ["s"], "start_utc": "2024-01-01T00:00:00Z", "end_utc": "2024-01-01T00:05:00+00:00", "effect": {"z": 1}},
                                            {"type": "a", "start_utc": "2024-01-01T01:00:00", "end_utc": "2024-01-01T02:00:00"}]}

@@ -94,3 +94,11 @@ def test_redelivered_events_count_once(spark, tmp_path):
     job = lambda s: jobs.run(jobs.deduplicated(s), lambda b, i: jobs.save_batch(b, str(tmp_path / "out"), i), str(tmp_path / "ck"))
     feed(spark, [part, part], str(tmp_path / "in"), job)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+
+
+def test_events_without_ids_are_not_one_event(spark, tmp_path):
+    """Distinct events with null ids all stay; redelivered ones count once, with or without ids."""
+    part = frame(spark, range(0, 100, 2)).withColumn("trace_id", F.lit(None).cast("string"))
+    job = lambda s: jobs.run(jobs.deduplicated(s), lambda b, i: jobs.save_batch(b, str(tmp_path / "out"), i), str(tmp_path / "ck"))
+    feed(spark, [part, part], str(tmp_path / "in"), job)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 50

@@ -67,10 +67,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` table, spread over the cores when it comes in fewer files than there are cores."""
-    events = table(spark, sf_dir, "events")
-    cores = spark.sparkContext.defaultParallelism
-    return events.repartition(cores) if len(events.inputFiles()) < cores else events
+    return table(spark, sf_dir, "events")
 
 
 _BOUNDS: dict[tuple[str, str], tuple[datetime, datetime]] = {}

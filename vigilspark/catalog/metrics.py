@@ -362,11 +362,20 @@ def scenario_detection(spark, sf_dir):
     return evaluation.scenario_detection(scenarios(spark, sf_dir), scored(spark, sf_dir), THRESHOLD)
 
 
-@query("series_label_join", sql(f"SELECT stream, i, metric, {r6('value')} AS value, label FROM serl WHERE i < 400", "serl"))
+@query(
+    "series_label_join",
+    sql(
+        f"SELECT stream, i, metric, {r6('value')} AS value, label FROM serl "
+        "JOIN (SELECT stream AS st, max(i) AS last_i FROM serl GROUP BY 1) ON stream = st WHERE i < last_i OR CAST(stream AS INT) % 2 = 1",
+        "serl",
+    ),
+)
 def series_label_join(spark, sf_dir):
-    """The label vector covers the first 400 points of a stream; the join cuts the series to it."""
+    """Every second label vector is one point short of its series; the join cuts the series to it."""
     full = labelled_series(spark, sf_dir)
-    vector = full.where("metric = 0 AND i < 400").select("stream", "i", "label")
+    labels = full.where("metric = 0").select("stream", "i", "label")
+    last = labels.groupBy("stream").agg(F.max("i").alias("last_i"))
+    vector = labels.join(last, "stream").where("i < last_i OR CAST(stream AS INT) % 2 = 1").drop("last_i")
     return series_ops.join_labels(full, vector).select("stream", "i", "metric", "value", "label")
 
 

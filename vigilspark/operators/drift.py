@@ -22,7 +22,7 @@ def _finite(long: DataFrame) -> DataFrame:
 def quantile_edges(reference: DataFrame, n_bins: int = 10) -> DataFrame:
     """(feature, edges): quantiles of the reference made strictly increasing by a tiny step.
 
-    ``reference`` is long: (feature, value).
+    ``reference`` is long: (feature, value). A feature without finite values has the edges 0 and 1.
     """
     wanted = {f"e{i}": i / n_bins for i in range(n_bins + 1)}
     raw = exact_percentiles(_finite(reference), ["feature"], "value", wanted)
@@ -32,7 +32,9 @@ def quantile_edges(reference: DataFrame, n_bins: int = 10) -> DataFrame:
         return F.concat(done, F.array(F.when(edge <= last, last + TIE_STEP).otherwise(edge)))
 
     rest = F.array(*[F.col(f"e{i}") for i in range(1, n_bins + 1)])
-    return raw.select("feature", F.aggregate(rest, F.array("e0"), push).alias("edges"))
+    known = raw.select("feature", F.aggregate(rest, F.array("e0"), push).alias("edges"))
+    every = reference.select("feature").distinct().join(known, "feature", "left")
+    return every.select("feature", F.coalesce("edges", F.array(F.lit(0.0), F.lit(1.0))).alias("edges"))
 
 
 def bin_shares(long: DataFrame, edges: DataFrame) -> DataFrame:

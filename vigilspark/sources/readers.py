@@ -43,14 +43,28 @@ def in_time_range(time: str, start: datetime, end: datetime, date: str | None =
     return keep
 
 
+def _log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Non-blank lines of a log: raw, the fields, and whether the line and its time can be read."""
+    schema = T.StructType([*_LOG_SCHEMA.fields, T.StructField("_corrupt", T.StringType())])
+    event = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("raw"), event.alias("e")).select("raw", "e.*")
+    rows = rows.withColumn("time", iso_timestamp(F.coalesce("time", "timestamp"))).drop("timestamp")
+    return rows.withColumn("readable", F.col("_corrupt").isNull()).drop("_corrupt")
+
+
 def read_event_log(spark: SparkSession, path: str, start: datetime, end: datetime) -> DataFrame:
     """JSON-lines events of ``[start, end)``; the stamp is ``time`` or ``timestamp``, naive stamps are UTC.
 
-    Blank and unreadable lines give no row.
+    Blank lines give no row; what can't be read is in ``unread_event_log``.
     """
-    raw = spark.read.schema(_LOG_SCHEMA).option("mode", "DROPMALFORMED").json(path)
-    events = raw.withColumn("time", iso_timestamp(F.coalesce("time", "timestamp"))).drop("timestamp")
-    return events.where(in_time_range("time", start, end))
+    return _log_lines(spark, path).where(F.col("readable") & in_time_range("time", start, end)).drop("raw", "readable")
+
+
+def unread_event_log(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a log that ``read_event_log`` can place in no range: raw, reason."""
+    rows = _log_lines(spark, path)
+    reason = F.when(~F.col("readable"), "unreadable line").otherwise("unreadable time")
+    return rows.where(~F.col("readable") | F.col("time").isNull()).select("raw", reason.alias("reason"))
 
 
 def scan_events(spark: SparkSession, path: str, start: datetime, end: datetime) -> DataFrame:

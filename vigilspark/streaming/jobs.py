@@ -9,6 +9,9 @@ when replayed, so a lost executor or a restart does not change the result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -138,8 +141,11 @@ def ingest_job(
 
 
 def deduplicated(events: DataFrame, late: str = "10 minutes", keys: tuple[str, ...] = ("trace_id", "span_id")) -> DataFrame:
-    """Drops redelivered events seen within the watermark."""
-    return events.withWatermark("time", late).dropDuplicatesWithinWatermark(list(keys))
+    """Drops redelivered events seen within the watermark; without all of its keys an event is known by its content."""
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    content = F.sha2(F.to_json(F.struct(*[F.col(c) for c in events.columns])), 256)
+    name = F.when(known, F.to_json(F.struct(*keys))).otherwise(content)
+    return events.withColumn("_name", name).withWatermark("time", late).dropDuplicatesWithinWatermark(["_name"]).drop("_name")
 
 
 class Versions:
