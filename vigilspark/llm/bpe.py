@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept with their ids in each Python worker: the first ones for good, later ones until they are as many.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 
 _SPACE = regex.compile(r"[\t-\r \x85\p{Z}]+")
 _ODD = re.compile("[\x1c-\x1f]")  # white space to Python, not to the file's pattern

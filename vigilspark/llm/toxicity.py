@@ -45,7 +45,7 @@ MAX_ROWS = 10_000
 MAX_NGRAMS = 500_000
 FOLDS = 5
 #: Words kept with their ratios in each Python worker: the first ones for good, later ones until they are as many.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 #: What ``least`` is chosen from.
 LEAST = (1.0, 2.0, 3.0, 4.0, 6.0, 8.0)
 _WORD = re.compile(r"\w+")
