@@ -3,7 +3,7 @@
 Sets are sorted rare shingles first. Two similar sets share a shingle in their prefixes, the first fifth, so only
 prefixes are joined; the first shingle they share leaves at least the overlap needed, which the length and positional
 filters test on the joined rows, and the suffix filter bounds the overlap of what is left by counts per class of
-shingles. What passes is verified on whole sets, once per pair.
+shingles; a set has a class for every four shingles. What passes is verified on whole sets, once per pair.
 
 The order needs frequencies that are the same everywhere, not exact ones: a sketch of fixed size counts shingles by
 hash slot, which puts boilerplate last whatever the corpus. Shingles that occur in one prefix only are dropped early
@@ -11,8 +11,10 @@ with a fixed-size bitmap (``bitmaps``).
 
 Equal sets are one node, so copies cost a row each. Groups of near copies are not expanded to pairs: two rounds join
 every node of a posting list with one node of it, and the last round joins only nodes that are not yet known to be
-connected, so no link that joins two groups is missed. Joins on postings are of written tables on both sides, whose
-hot keys Spark splits.
+connected, so no link that joins two groups is missed. That round meets a pair where a run of shared shingles begins
+(an entry knows the one before it) and not at each of them, and tests a node against a group's extremes first. Joins
+on postings are of written tables on both sides, whose hot keys Spark splits. Tables are removed once nothing reads
+them any more.
 
 Nulls and texts without words have no shingles and are linked with nothing; a text of fewer than ``width`` words is
 one shingle. Components carry the smallest id; null ids are carried by none. Repeated rows are copies of each other.
@@ -31,13 +33,13 @@ from pyspark.sql import functions as F
 from vigilspark.llm import bitmaps
 from vigilspark.llm.components import components
 from vigilspark.llm.words import Words, grouped
-from vigilspark.session import materialize
+from vigilspark.session import discard, materialize
 
 WIDTH = 5
 #: Slots of the frequency sketch: 2**18 counters.
 SKETCH_BITS = 18
-#: Classes of shingles of the suffix filter.
-CLASSES = 64
+#: Most classes of the suffix filter, and the count that means as many or more.
+MOST_CLASSES, MANY = 1 << 16, 255
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -64,9 +66,27 @@ def _node(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _classes(shingles: np.ndarray) -> np.ndarray:
-    """Shingles of each class; a count of 32,767 means as many or more."""
-    return np.minimum(np.bincount((shingles % CLASSES).astype(np.int64), minlength=CLASSES), 32767).astype(np.int16)
+def _classes(shingles: np.ndarray) -> bytes:
+    """Shingles of each class, a byte each; a power of two of classes, so that those of two sets can be matched."""
+    most = min(1 << max(len(shingles) // 4, 16).bit_length(), MOST_CLASSES)
+    return np.minimum(np.bincount((shingles % most).astype(np.int64), minlength=most), MANY).astype(np.uint8).tobytes()
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """The most shingles that two sets can share by their classes; without a bound, as many as there may be."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if x.max() == MANY or y.max() == MANY:
+        return np.iinfo(np.int32).max
+    k = min(len(x), len(y))
+    fold = (z.reshape(-1, k).sum(axis=0, dtype=np.int64) for z in (x, y))
+    return int(np.minimum(*fold).sum())
+
+
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        most = list(map(_common, batch.column("classes_a").to_pylist(), batch.column("classes_b").to_pylist()))
+        kept = batch.select(["a", "b", "n_a", "n_b", "key_a", "key_b"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(most, pa.int32())], names=[*kept.schema.names, "most"])
 
 
 def _prefix(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -102,7 +122,7 @@ def _prefixes(width: int, sketch):
 def _nodes(width: int, sketch, shared):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("node", pa.binary()),
-         ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("classes", pa.list_(pa.int16()))]
+         ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("classes", pa.binary())]
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +146,7 @@ def _nodes(width: int, sketch, shared):
                     schema=schema,
                 )
 
-    return scan, "doc_id long, key long, n int, node binary, tokens array<long>, places array<int>, classes array<short>"
+    return scan, "doc_id long, key long, n int, node binary, tokens array<long>, places array<int>, classes binary"
 
 
 def _sets(width: int, wanted):
@@ -148,9 +168,27 @@ def _enough(overlap: Column, n: Column, m: Column) -> Column:
     return 9 * overlap >= 4 * (n + m)
 
 
+def _reaches(n: Column, place: Column, m: Column) -> Column:
+    """Whether a set of ``n`` has ``_enough`` from ``place`` on for one of ``m``."""
+    return 4 * m + 9 * place <= 5 * n
+
+
 def _may_match(n: Column, place: Column, m: Column, other: Column) -> Column:
     """Length and positional filter of two prefix entries with the same shingle."""
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & _enough(1 + F.least(n - place - 1, m - other - 1), n, m)
+    return _reaches(n, place, m) & _reaches(m, other, n)
+
+
+def _extremes(entries: DataFrame) -> DataFrame:
+    """Each group of a list: its smallest and largest set, first place, and the entry before, if all have the same."""
+    same = (F.min("before") == F.max("before")) & (F.count("before") == F.count(F.lit(1)))
+    return entries.groupBy("token", "comp").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("place").alias("start"), F.when(same, F.min("before")).alias("all_before")
+    )
+
+
+def _new_run(before: Column, other: Column) -> Column:
+    """Whether a run of shared shingles begins here; if both have the same entry before, that one is shared as well."""
+    return F.coalesce(before != other, F.lit(True))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -166,15 +204,16 @@ def _links(pairs: DataFrame, sizes: DataFrame, rows: DataFrame, width: int) -> D
             df = df.join(table.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
         return df
 
-    least = F.aggregate(F.zip_with("classes_a", "classes_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
     some = both(pairs, sizes, "n", "key", "classes")
-    some = some.filter(_enough(least, F.col("n_a"), F.col("n_b")) | F.exists("classes_a", lambda x: x == 32767))
-    some = materialize(some.select("a", "b", "n_a", "n_b", "key_a", "key_b"))
+    some = some.mapInArrow(_bounds, "a binary, b binary, n_a int, n_b int, key_a long, key_b long, most int")
+    some = materialize(some.filter(_enough(F.col("most").cast("long"), F.col("n_a"), F.col("n_b"))).drop("most"))
     keys = some.select(F.explode(F.array("key_a", "key_b")).alias("key"))
     scan, schema = _sets(width, rows.sparkSession.sparkContext.broadcast(bitmaps.pack(bitmaps.gather(keys, "key"))))
     sets = materialize(rows.select("key", "text").mapInArrow(scan, schema))
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return both(some, sets, "shingles").filter(_enough(common, F.col("n_a"), F.col("n_b"))).select("a", "b")
+    found = materialize(both(some, sets, "shingles").filter(_enough(common, F.col("n_a"), F.col("n_b"))).select("a", "b"))
+    discard(pairs, some, sets)
+    return found
 
 
 def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -195,36 +234,45 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = share(bitmaps.pack(bitmaps.gather(often, "token")))
     scan, schema = _nodes(width, sketch, shared)
-    nodes = materialize(rows.mapInArrow(scan, schema))
+    whole = materialize(rows.mapInArrow(scan, schema))
 
     first = F.min(F.struct("key", "n", "tokens", "places", "classes")).alias("x")  # one document stands for equal sets
-    reps = materialize(nodes.filter(F.size("tokens") > 0).groupBy("node").agg(first).select("node", "x.*"))
+    reps = materialize(whole.filter(F.size("tokens") > 0).groupBy("node").agg(first).select("node", "x.*"))
+    nodes = materialize(whole.select("doc_id", "key", "n", "node"))
+    discard(whole)
     sizes = reps.select("node", "n", "key", "classes")
-    entries = reps.select("node", "n", F.explode(F.arrays_zip("tokens", "places")).alias("e"))
-    entries = entries.select("node", "n", F.col("e.tokens").alias("token"), F.col("e.places").alias("place"))
+    before = F.concat(F.array(F.lit(None).cast("long")), F.slice("tokens", 1, F.size("tokens") - 1))
+    entries = reps.select("node", "n", F.explode(F.arrays_zip("tokens", "places", before.alias("before"))).alias("e"))
+    entries = entries.select("node", "n", F.col("e.tokens").alias("token"), F.col("e.places").alias("place"), F.col("e.before").alias("before"))
     often = materialize(entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"))
     postings = materialize(entries.join(often, "token", "left_semi"))
+    discard(often)
 
     found = spark.createDataFrame([], "a binary, b binary")
     labels = spark.createDataFrame([], "node binary, comp binary")
     for turn in range(2):  # every node with one node of each list it stands in
-        apart = _labelled(postings, labels)
+        apart = _labelled(postings.drop("before"), labels)
         centre = F.min(F.struct(F.hash("node", F.lit(turn)), F.col("node").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("comp").alias("c")))
         centres = materialize(apart.groupBy("token").agg(centre.alias("x")).select("token", "x.other", "x.m", "x.at", "x.c"))
         near = apart.join(centres, "token").filter((F.col("comp") != F.col("c")) & _may_match(F.col("n"), F.col("place"), F.col("m"), F.col("at")))
-        found = materialize(found.union(_links(materialize(_pairs(near)), sizes, rows, width)))
+        pairs = materialize(_pairs(near))
+        discard(centres)
+        found = found.union(_links(pairs, sizes, rows, width))
         labels = components(found)
 
     apart = _labelled(postings, labels)  # what is not connected yet, by lists with several components
-    groups = materialize(apart.select("token", "comp").distinct())
+    groups = materialize(_extremes(apart))
     several = groups.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
-    groups = materialize(groups.join(several, "token", "left_semi"))
-    left = materialize(apart.join(groups.select("token").distinct(), "token", "left_semi"))
-    right = left.select("token", F.col("comp").alias("c"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"))
-    cross = left.join(groups.withColumnRenamed("comp", "c"), "token").filter("comp < c").join(right, ["token", "c"])
-    cross = cross.filter(_may_match(F.col("n"), F.col("place"), F.col("m"), F.col("at")))
-    found = materialize(found.union(_links(materialize(_pairs(cross)), sizes, rows, width)))
-    return nodes.select("doc_id", "key", "n", "node"), found
+    left = materialize(apart.join(several, "token", "left_semi"))
+    discard(postings)
+    right = left.select("token", F.col("comp").alias("c"), *[F.col(x).alias(f"{x}_2") for x in ("node", "n", "place", "before")])
+    with_group = _reaches(F.col("n"), F.col("place"), F.col("low")) & _reaches(F.col("high"), F.col("start"), F.col("n"))
+    cross = left.join(groups.withColumnRenamed("comp", "c"), "token").filter((F.col("comp") < F.col("c")) & with_group & _new_run(F.col("before"), F.col("all_before")))
+    cross = cross.drop("low", "high", "start", "all_before").join(right, ["token", "c"])
+    cross = cross.filter(_may_match(F.col("n"), F.col("place"), F.col("n_2"), F.col("place_2")) & _new_run(F.col("before"), F.col("before_2")))
+    pairs = materialize(_pairs(cross.withColumnRenamed("node_2", "other")))
+    discard(groups, left)
+    return nodes, found.union(_links(pairs, sizes, rows, width))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
