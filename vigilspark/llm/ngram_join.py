@@ -249,18 +249,19 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
     discard(often)
 
     found = spark.createDataFrame([], "a binary, b binary")
-    labels = spark.createDataFrame([], "node binary, comp binary")
+    apart = postings.withColumn("comp", F.col("node"))
     for turn in range(2):  # every node with one node of each list it stands in
-        apart = _labelled(postings.drop("before"), labels)
         centre = F.min(F.struct(F.hash("node", F.lit(turn)), F.col("node").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("comp").alias("c")))
         centres = materialize(apart.groupBy("token").agg(centre.alias("x")).select("token", "x.other", "x.m", "x.at", "x.c"))
         near = apart.join(centres, "token").filter((F.col("comp") != F.col("c")) & _may_match(F.col("n"), F.col("place"), F.col("m"), F.col("at")))
         pairs = materialize(_pairs(near))
         discard(centres)
         found = found.union(_links(pairs, sizes, rows, width))
-        labels = components(found)
+        old, postings = postings, materialize(_labelled(apart.drop("comp"), components(found)))  # once for both readers
+        discard(old)
+        apart = postings
 
-    apart = _labelled(postings, labels)  # what is not connected yet, by lists with several components
+    # what is not connected yet, by lists with several components
     groups = materialize(_extremes(apart))
     several = groups.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
     left = materialize(apart.join(several, "token", "left_semi"))
