@@ -16,8 +16,7 @@ from vigilspark.session import shared_dir
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; null and empty texts have no toxic words and stay."""
-    model = toxic.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.filter(toxic.scorer(docs, model)("text") < 0.5)
+    return toxic.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("score < 0.5").drop("score")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

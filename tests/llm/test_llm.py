@@ -138,6 +138,43 @@ def test_toxicity_without_labels(docs, spark):
     assert all(r.score < 0.5 for r in toxicity.judge(docs, none).select("score").collect())
 
 
+def test_toxicity_ratios_as_tables(spark):
+    """Spark's ratios equal those of the definition, single counts included."""
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 9))) for _ in range(6))) for i in range(60)]
+    known = spark.createDataFrame([(i, i % 2, 1 + i % 3) for i in range(40)], "doc_id long, toxic int, fold int")
+    docs = spark.createDataFrame([*rows, (None, "zz"), (3, None), (50, "xyz")], "doc_id long, text string")
+    counts = collections.defaultdict(lambda: [0, 0])
+    for i, text in rows[:40]:
+        for word in set(text.split()):
+            for gram in toxicity.ngrams(word):
+                counts[gram][i % 2] += 1
+    grams = toxicity.count(docs, known)
+    assert {r.x: [r.n0, r.n1] for r in grams.collect()} == counts
+    model = toxicity.estimate({g: tuple(n) for g, n in counts.items()})
+    ngram, context = toxicity.ratios(grams)
+    assert {r.x: r.ratio for r in ngram.collect()} == pytest.approx(model.ngram)
+    assert {r.h: r.ratio for r in context.collect()} == pytest.approx(model.context)
+    words = {w for _, text in rows for w in text.split()} | {"xyz", "zz"}
+    got = {r.word: r.ratio for r in toxicity.word_ratios(spark.createDataFrame([(w,) for w in words], "word string"), grams).collect()}
+    assert {w: got.get(w, 0.0) for w in words} == pytest.approx({w: model.ratio(w) for w in words}, abs=1e-9)
+
+
+def test_toxicity_word_of_one_document(spark):
+    """A toxic word that one labelled document holds once counts in a text that is not labelled."""
+    ordinary = ["lamp", "river", "stone", "table", "garden", "window", "paper", "summer"]
+    rng = random.Random(7)
+    say = lambda n: " ".join(rng.choice(ordinary) for _ in range(n))
+    ids = lambda *folds: [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 in folds]
+    learn, four = ids(1, 2, 3), ids(4)
+    rows = [(i, say(8), 0) for i in learn[:300]] + [(i, f"{say(7)} qxvzqk", 1) for i in learn[300:301]]
+    rows += [(i, f"{say(7)} kjhwxq", 1) for i in learn[301:340]]
+    rows += [(i, say(8), 0) for i in four[:60]] + [(i, f"{say(7)} kjhwxq", 1) for i in four[60:90]]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9001, f"{say(7)} qxvzqk"), (9002, say(8))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.judge(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")).collect()}
+    assert got[9001] >= 0.5 > got[9002]
+
+
 def test_toxicity_probabilities_add_up():
     """In each class the characters after a context, listed or not, have probability one."""
     rng = random.Random(2)

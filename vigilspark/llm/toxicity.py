@@ -12,12 +12,14 @@ say which language and subject a text has, not whether it is toxic, and would dr
 n_c counts the documents of a class whose words hold an n-gram, k distinct characters on its left in both classes
 together, d(x) = max(x - D, 0). So what a class has not seen is left to backoff counts that both share, and the mass
 l(h) that is left to them comes from the counts of both: an expression that neither knows speaks for neither class.
-As contexts end at a word's start, a word has one log-likelihood ratio, which each worker keeps for common words.
+As contexts end at a word's start, a word has one log-likelihood ratio.
 
-The models are fitted on at most ``max_rows`` labelled rows of each class (the first in MD5 order of the id), whose
-n-grams Spark counts; at most ``max_ngrams`` of the highest counts enter the table that is broadcast, so its size has
-a bound whatever the corpus holds. N-grams come from folds 1 to 3, ``least`` and the logistic from fold 4 (crc32 of the id modulo
-5), and fold 0 is never learned from. Every text is scored whole.
+N-grams come from every labelled row of folds 1 to 3 (crc32 of the id modulo 5), single counts included; counts,
+context totals, continuation counts and ratios are Spark aggregates and joins, and nothing is pruned. The ratios of
+the corpus's distinct words come from a join with that table, and the words above the lowest ``least`` are joined with
+the texts that hold them. A bitmap of fixed size (``bitmaps``) keeps other words out of that join; it decides nothing.
+``least`` and the logistic come from at most ``max_rows`` rows of fold 4 (the first in MD5 order of the id), and
+fold 0 is never learned from. Every text is scored whole.
 
 Null and empty texts have no words and score by the logistic's intercept. Label rows without a class or without a
 document count for nothing, and a document with several labels has the highest. Repeated rows are scored alike; other
@@ -26,26 +28,27 @@ columns pass through. Without labels of both classes every text scores about 0.
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilspark.llm import bitmaps
 from vigilspark.session import materialize
 
 D = 0.75
 ORDER = 6
 MAX_ROWS = 10_000
-MAX_NGRAMS = 500_000
 FOLDS = 5
-#: Words kept with their ratios in each Python worker: the first ones for good, later ones until they are as many.
-WORDS_KEPT = 100_000
+#: Intercept without labels of both classes.
+NEVER = -50.0
 #: What ``least`` is chosen from.
 LEAST = (1.0, 2.0, 3.0, 4.0, 6.0, 8.0)
 _WORD = re.compile(r"\w+")
@@ -72,43 +75,9 @@ class Model:
 
     ngram: dict[str, float]
     context: dict[str, float]
-    least: float = 1.0
-    weight: float = 0.0
-    intercept: float = -50.0
-    _known: dict[str, float] = field(default_factory=dict)
-    _later: dict[str, float] = field(default_factory=dict)
 
     def ratio(self, word: str) -> float:
-        found, total = self.ngram, 0.0
-        for gram in ngrams(word):
-            x = found.get(gram)
-            total += self.context.get(gram[:-1], 0.0) if x is None else x
-        return total
-
-    def margin(self, text: str | None) -> list[float]:
-        """Difference of the log-likelihoods per word, counting words above ``least`` (or each of LEAST, if it is 0)."""
-        words = words_of(text)
-        ratios = self._ratios(words)
-        return [sum(x for x in ratios if x > least) / max(len(words), 1) for least in ((self.least,) if self.least else LEAST)]
-
-    def _ratios(self, words: list[str]) -> list[float]:
-        ratios = list(map(self._known.get, words))
-        if None in ratios:
-            for at, x in enumerate(ratios):
-                if x is None:
-                    word = words[at]
-                    x = self._known.get(word, self._later.get(word))
-                    if x is None:
-                        x = self.ratio(word)
-                        if len(word) <= 64:
-                            if len(self._later) >= WORDS_KEPT:
-                                self._later.clear()
-                            (self._known if len(self._known) < WORDS_KEPT else self._later)[word] = x
-                    ratios[at] = x
-        return ratios
-
-    def score(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.weight * np.sqrt(margins) + self.intercept, -60, 60)))
+        return sum(self.ngram[g] if g in self.ngram else self.context.get(g[:-1], 0.0) for g in ngrams(word))
 
 
 def _discounted(x: float) -> float:
@@ -116,7 +85,10 @@ def _discounted(x: float) -> float:
 
 
 def estimate(counts: dict[str, tuple[int, int]]) -> Model:
-    """The model from counts (ordinary, toxic) of n-grams of the highest order, or shorter from a word's start."""
+    """The model from counts (ordinary, toxic) of n-grams of the highest order, or shorter from a word's start.
+
+    It states on one machine what ``ratios`` computes from a table; the tests compare the two.
+    """
     lefts: dict[str, set[str]] = defaultdict(set)
     for gram in counts:
         for cut in range(1, len(gram)):
@@ -158,12 +130,26 @@ def estimate(counts: dict[str, tuple[int, int]]) -> Model:
     return Model(ngram, {h: x for h, x in context.items() if x})
 
 
+def _labelled_words(labelled):
+    """Distinct words, one space between them, of documents whose id is in the bitmap of labelled ids."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = labelled.value
+        for batch in batches:
+            hit = pa.array(bitmaps.test(some, bitmaps.slots(batch.column("at").to_numpy())))
+            ids, texts = (batch.column(c).filter(hit) for c in ("doc_id", "text"))
+            words = [" ".join(set(words_of(t))) for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.string())], names=["doc_id", "words"])
+
+    return scan
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each class that hold a word."""
     for batch in batches:
         sides: list[Counter] = [Counter(), Counter()]
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            sides[label].update(set(words_of(text)))
+        for words, label in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist()):
+            sides[label].update(words.split())
         yield _counted(sides)
 
 
@@ -187,47 +173,152 @@ def _sums(df: DataFrame) -> DataFrame:
     return df.groupBy("x").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _cutoff(table: DataFrame, total: Column, most: int) -> int:
-    """The least count, 2 or more, that at most ``most`` rows reach."""
-    sizes = table.select(F.least(total, F.lit(1000)).alias("c")).filter("c > 1").groupBy("c").count().collect()
-    left, cut = most, 1001
-    for row in sorted(sizes, key=lambda r: -r["c"]):
-        left -= row["count"]
-        if left < 0:
-            break
-        cut = row["c"]
-    return max(2, cut)
+def count(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Documents of each class (n0, n1) that hold a word with the n-gram x. ``known``: doc_id, toxic, fold."""
+    learn = materialize(known.filter("fold BETWEEN 1 AND 3").select("doc_id", "toxic", _id_hash().alias("at")))
+    labelled = docs.sparkSession.sparkContext.broadcast(bitmaps.pack(bitmaps.gather(learn, "at")))
+    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", _id_hash().alias("at"))
+    words = texts.mapInArrow(_labelled_words(labelled), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words string")
+    form = "x string, n0 long, n1 long"
+    by_word = _sums(words.join(learn.drop("at"), "doc_id").select("words", "toxic").mapInArrow(_words, form))
+    return materialize(_sums(by_word.mapInArrow(_ngrams, form)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_ngrams: int = MAX_NGRAMS) -> Model:
-    """``docs``: doc_id, text. ``labels``: doc_id, toxic (0 or 1)."""
-    known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.withColumns({"fold": fold(F.col("doc_id")), "at": F.md5(F.col("doc_id").cast("string"))})
-    learn = known.filter("fold BETWEEN 1 AND 3")
-    picked = [learn.filter(F.col("toxic") == c).orderBy("at", "doc_id").limit(max_rows) for c in (0, 1)]
-    picked.append(known.filter("fold = 4").orderBy("at", "doc_id").limit(max_rows))
-    sample = materialize(picked[0].unionByName(picked[1]).unionByName(picked[2]).select("doc_id", "toxic", "fold"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most 3 * max_rows ids
+def _id_hash() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("string"))
+
+
+def _less(x: Column) -> Column:
+    return F.greatest(x - D, F.lit(0.0))
+
+
+_FRONT, _BACK = "substring(x, 1, length(x) - 1)", "substring(x, 2)"
+
+
+def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``estimate``, as tables: (x, ratio) of n-grams and (h, ratio) of contexts, from x, n0 and n1.
+
+    A context has as many n-grams as the alphabet has characters at most, so no key holds more rows.
+    """
+    inner = grams.select(F.explode(F.expr("transform(sequence(1, length(x) - 1), i -> substring(x, i))")).alias("x")).distinct()
+    k = inner.groupBy(F.expr(_BACK).alias("x")).agg(F.count(F.lit(1)).alias("k"))
+    h = Window.partitionBy("h")
+    steps = materialize(
+        k.withColumn("h", F.expr(_FRONT))
+        .withColumns({"total": F.sum("k").over(h), "freed": D * F.count("k").over(h)})
+        .select("x", (_less(F.col("k")) / F.col("total")).alias("own"), (F.col("freed") / F.col("total")).alias("rest"))
+    )
+    alphabet = steps.filter("length(x) = 1").count() + 1
+    lower, levels = None, []
+    for n in range(1, ORDER):
+        at = steps.filter(F.length("x") == n)
+        if lower is None:
+            at = at.withColumn("s", F.lit(1 / alphabet))
+        else:
+            at = at.withColumn("y", F.expr(_BACK)).join(lower.withColumnRenamed("x", "y"), "y")
+        lower = materialize(at.select("x", (F.col("own") + F.col("rest") * F.col("s")).alias("s")))
+        levels.append(lower)
+    shared = levels[0]
+    for level in levels[1:]:
+        shared = shared.unionByName(level)
 
-    form = "x string, n0 long, n1 long"
-    by_word = _sums(texts.filter("fold < 4").select("text", "toxic").mapInArrow(_words, form))
-    grams = materialize(_sums(by_word.mapInArrow(_ngrams, form)))
     n = F.col("n0") + F.col("n1")
-    kept = grams.filter(n >= _cutoff(grams, n, max_ngrams)).toPandas()  # at most max_ngrams rows
-    if not len(kept) or not kept["n0"].sum() or not kept["n1"].sum():
-        return Model({}, {})
-    model = estimate({x: (n0, n1) for x, n0, n1 in zip(kept["x"], kept["n0"].tolist(), kept["n1"].tolist())})
-    model.least = 0.0
-    held = texts.filter("fold = 4").select("toxic", scorer(docs, model)("text").alias("m")).toPandas()
-    model.least = LEAST[0]
-    if held["toxic"].nunique() == 2:
-        margins, y = np.stack(held["m"].to_list()), held["toxic"].to_numpy()
-        fits = [_logistic(np.sqrt(margins[:, i]), y) for i in range(len(LEAST))]
-        model.weight, model.intercept, _ = best = max(fits, key=lambda f: f[2])
-        model.least = LEAST[fits.index(best)]
-    else:
-        model.weight, model.intercept = 1.0, 0.0
-    return model
+    of = {"d0": _less(F.col("n0")), "d1": _less(F.col("n1")), "both": _less(n), "n": n}
+    rows = grams.withColumn("h", F.expr(_FRONT))
+    rest = 1 - F.col("both") / F.col("n")
+    free = lambda d: F.log(F.when(F.col(d) > 0, rest).otherwise(1.0))
+    context = rows.groupBy("h").agg(*[F.sum(x).alias(name) for name, x in of.items()])
+    context = context.select("h", (free("d1") - free("d0")).alias("ratio")).filter("ratio != 0")
+
+    rows = rows.withColumns({name: F.sum(x).over(h) for name, x in of.items()}).withColumn("y", F.expr(_BACK))
+    rows = rows.join(shared.withColumnRenamed("x", "y"), "y")
+    p = lambda m, d: F.log(
+        F.when(F.col(d) > 0, (1 - rest) * _less(F.col(m)) / F.col(d) + rest * F.col("s")).otherwise(F.col("s"))
+    )
+    return rows.select("x", (p("n1", "d1") - p("n0", "d0")).alias("ratio")), context
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words: set[str] = set()
+        for text in batch.column("text").to_pylist():
+            words.update(words_of(text))
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], names=["word"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each n-gram of a word."""
+    for batch in batches:
+        words = batch.column("word").to_pylist()
+        for at in range(0, len(words), 1000):
+            rows = [(w, g) for w in words[at : at + 1000] for g in ngrams(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["word", "x"])
+
+
+def word_ratios(words: DataFrame, grams: DataFrame) -> DataFrame:
+    """(word, ratio) for distinct ``words`` whose ratio is not 0."""
+    ngram, context = ratios(grams)
+    pairs = words.mapInArrow(_pairs, "word string, x string")
+    asked = pairs.select("x").distinct().withColumn("h", F.expr(_FRONT))
+    asked = asked.join(ngram.withColumnRenamed("ratio", "listed"), "x", "left").join(context, "h", "left")
+    known = materialize(asked.select("x", F.coalesce("listed", "ratio").alias("ratio")).filter("ratio != 0"))
+    return pairs.join(known, "x").groupBy("word").agg(F.sum("ratio").alias("ratio"))
+
+
+def _slot_of(words: list[str]) -> np.ndarray:
+    crc = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
+    return bitmaps.slots(crc << np.uint64(32))
+
+
+def _hits(marked):
+    """A row for each text and word of it in the bitmap: the text's key and number of words, the word and its count."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = marked.value
+        for batch in batches:
+            texts = [words_of(t) for t in batch.column("text").to_pylist()]
+            words = list(set().union(*texts))
+            hit = {words[i] for i in np.flatnonzero(bitmaps.test(some, _slot_of(words)))} if words else set()
+            rows = []
+            for key, text in zip(batch.column("key").to_pylist(), texts):
+                rows += [(key, len(text), w, m) for w, m in Counter(w for w in text if w in hit).items()]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "word", "m"])
+
+    return scan
+
+
+def margins(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(key, m) for each distinct text with a toxic word, by its MD5: for each of LEAST, the difference of the
+    log-likelihoods per word, counting words above it."""
+    words = materialize(docs.select("text").mapInArrow(_vocabulary, "word string").distinct())
+    toxic = materialize(word_ratios(words, grams).filter(F.col("ratio") > LEAST[0]))
+    slots = toxic.select(F.shiftleft(F.crc32(F.col("word").cast("binary")), 32).alias("at"))
+    marked = docs.sparkSession.sparkContext.broadcast(bitmaps.pack(bitmaps.gather(slots, "at")))
+    hits = docs.select(_key().alias("key"), "text").mapInArrow(_hits(marked), "key string, n long, word string, m long")
+    hits = hits.groupBy("key", "word").agg(F.max("n").alias("n"), F.max("m").alias("m"))  # equal texts count once
+    x = F.col("m") * F.col("ratio") / F.col("n")
+    sums = [F.sum(F.when(F.col("ratio") > least, x).otherwise(0.0)) for least in LEAST]
+    return materialize(hits.join(toxic, "word").groupBy("key").agg(F.array(*sums).alias("m")))
+
+
+def _key() -> Column:
+    return F.md5(F.col("text").cast("binary"))
+
+
+def fit(docs: DataFrame, known: DataFrame, found: DataFrame, max_rows: int = MAX_ROWS) -> tuple[float, float, int]:
+    """Weight and intercept of the logistic, and which of LEAST it takes, from fold 4. ``found``: of ``margins``."""
+    sample = known.filter("fold = 4").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
+    texts = docs.select("doc_id", _key().alias("key")).join(F.broadcast(materialize(sample)), "doc_id")
+    held = texts.join(found, "key", "left").select("toxic", "m").toPandas()
+    if held["toxic"].nunique() < 2:
+        return 1.0, 0.0, 0
+    none = [0.0] * len(LEAST)
+    x, y = np.sqrt(np.array([none if m is None else list(m) for m in held["m"]])), held["toxic"].to_numpy()
+    fits = [_logistic(x[:, i], y) for i in range(len(LEAST))]
+    best = max(fits, key=lambda f: f[2])
+    return best[0], best[1], fits.index(best)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
@@ -243,23 +334,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(t[0] / scale), float(t[1]), float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
 
 
-def scorer(docs: DataFrame, model: Model):
-    """A vectorised function of text: the score; with ``least`` 0, the differences of log-likelihoods per word."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    plain = bool(model.least)
-
-    @F.pandas_udf("double" if plain else "array<double>")
-    def score(texts: pd.Series) -> pd.Series:
-        held = shared.value  # one object in each worker, with its words
-        margins = [held.margin(t) for t in texts]
-        return pd.Series(held.score(np.array([m[0] for m in margins])) if plain else margins)
-
-    return score
-
-
-def judge(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
-    """``docs`` with ``score``: 0 to 1, higher is likelier toxic."""
-    return docs.withColumn("score", scorer(docs, fit(docs, labels, **bounds))("text"))
+def judge(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """``docs`` with ``score``: 0 to 1, higher is likelier toxic. ``labels``: doc_id, toxic (0 or 1)."""
+    known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = materialize(known.withColumn("fold", fold(F.col("doc_id"))))
+    grams = count(docs, known)
+    both = grams.agg(F.max("n0").alias("n0"), F.max("n1").alias("n1")).first()
+    if not both["n0"] or not both["n1"]:
+        return docs.withColumn("score", F.lit(1 / (1 + math.exp(-NEVER))))
+    found = margins(docs, grams)
+    weight, intercept, at = fit(docs, known, found, max_rows)
+    z = weight * F.sqrt(F.coalesce("_m", F.lit(0.0))) + intercept
+    scored = docs.withColumn("_key", _key()).join(found.select(F.col("key").alias("_key"), F.col("m")[at].alias("_m")), "_key", "left")
+    return scored.select(*docs.columns, (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(60.0)), F.lit(-60.0))))).alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
