@@ -175,6 +175,30 @@ def test_toxicity_word_of_one_document(spark):
     assert got[9001] >= 0.5 > got[9002]
 
 
+@pytest.mark.parametrize("missing", [0, 1])
+def test_toxicity_fold_4_of_one_class(spark, missing):
+    """Texts without toxic words score below 0.5, those with one above."""
+    rows, labels = toxic_rows()
+    docs = spark.createDataFrame([*rows, (None, None, None, None, 1), (7777, "", "x", "y", 1)], COLUMNS)
+    marks = [x for x in labels if zlib.crc32(str(x[0]).encode()) % 5 != 4 or x[2] != missing]
+    got = toxicity.judge(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(rows) + 2
+    assert all((r.score >= 0.5) == ("vilzo" in (r.text or "")) for r in got)
+
+
+def test_toxicity_rare_class_in_fold_4(spark):
+    """The sample of fold 4 holds both classes, however small it is and rare one of them."""
+    rows, labels = toxic_rows()
+    four = sorted((x for x in labels if zlib.crc32(str(x[0]).encode()) % 5 == 4), key=lambda x: hashlib.md5(str(x[0]).encode()).hexdigest())
+    late = [x[0] for x in four if x[2]][-3:]  # the only toxic rows left in it, all behind the first rows
+    marks = [x for x in labels if x not in four or not x[2] or x[0] in late]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    known = spark.createDataFrame([(i, t, zlib.crc32(str(i).encode()) % 5) for i, _, t in marks], "doc_id long, toxic int, fold int")
+    found = toxicity.margins(docs, toxicity.count(docs, known))
+    weight, intercept, _ = toxicity.fit(docs, known, found, max_rows=5)
+    assert (weight, intercept) != (1.0, toxicity.ALONE) and weight > 0 > intercept
+
+
 def test_toxicity_probabilities_add_up():
     """In each class the characters after a context, listed or not, have probability one."""
     rng = random.Random(2)

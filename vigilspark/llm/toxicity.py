@@ -18,8 +18,9 @@ N-grams come from every labelled row of folds 1 to 3 (crc32 of the id modulo 5),
 context totals, continuation counts and ratios are Spark aggregates and joins, and nothing is pruned. The ratios of
 the corpus's distinct words come from a join with that table, and the words above the lowest ``least`` are joined with
 the texts that hold them. A bitmap of fixed size (``bitmaps``) keeps other words out of that join; it decides nothing.
-``least`` and the logistic come from at most ``max_rows`` rows of fold 4 (the first in MD5 order of the id), and
-fold 0 is never learned from. Every text is scored whole.
+``least`` and the logistic come from at most ``max_rows`` rows of each class of fold 4 (the first in MD5 order of the
+id, weighted to the class's share), and fold 0 is never learned from. Where fold 4 lacks a class, they are constants by
+which a text without toxic words scores below 0.5. Every text is scored whole.
 
 Null and empty texts have no words and score by the logistic's intercept. Label rows without a class or without a
 document count for nothing, and a document with several labels has the highest. Repeated rows are scored alike; other
@@ -49,6 +50,8 @@ MAX_ROWS = 10_000
 FOLDS = 5
 #: Intercept without labels of both classes.
 NEVER = -50.0
+#: Intercept, at weight 1, where fold 4 lacks a class: a text scores 0.5 where the root of its margin is 0.5.
+ALONE = -0.5
 #: What ``least`` is chosen from.
 LEAST = (1.0, 2.0, 3.0, 4.0, 6.0, 8.0)
 _WORD = re.compile(r"\w+")
@@ -309,29 +312,35 @@ def _key() -> Column:
 
 def fit(docs: DataFrame, known: DataFrame, found: DataFrame, max_rows: int = MAX_ROWS) -> tuple[float, float, int]:
     """Weight and intercept of the logistic, and which of LEAST it takes, from fold 4. ``found``: of ``margins``."""
-    sample = known.filter("fold = 4").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
-    texts = docs.select("doc_id", _key().alias("key")).join(F.broadcast(materialize(sample)), "doc_id")
+    four = materialize(known.filter("fold = 4").join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    of = {r["toxic"]: r["n"] for r in four.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = [four.filter(F.col("toxic") == c).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_rows) for c in (0, 1)]
+    sample = materialize(sample[0].unionByName(sample[1]))
+    texts = docs.select("doc_id", _key().alias("key")).join(F.broadcast(sample), "doc_id")
     held = texts.join(found, "key", "left").select("toxic", "m").toPandas()
     if held["toxic"].nunique() < 2:
-        return 1.0, 0.0, 0
+        return 1.0, ALONE, 0
     none = [0.0] * len(LEAST)
     x, y = np.sqrt(np.array([none if m is None else list(m) for m in held["m"]])), held["toxic"].to_numpy()
-    fits = [_logistic(x[:, i], y) for i in range(len(LEAST))]
+    share = np.array([max(of[c] / max_rows, 1.0) for c in (0, 1)])[y]  # rows of the class that a sampled one stands for
+    share *= len(y) / share.sum()
+    fits = [_logistic(x[:, i], y, share) for i in range(len(LEAST))]
     best = max(fits, key=lambda f: f[2])
     return best[0], best[1], fits.index(best)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
-    """Weight, intercept and log-likelihood of a logistic regression on one feature, by damped Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
+    """Weight, intercept and log-likelihood of a logistic regression on one feature, by damped Newton steps; a row
+    counts ``share`` times."""
     scale = x.std() or 1.0
     a = np.stack([x / scale, np.ones(len(x))], axis=1)
     t = np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ t, -40, 40)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), a.T @ (y - p) - ridge * t)
+        step = np.linalg.solve((a * (share * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), a.T @ (share * (y - p)) - ridge * t)
         t = t + step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
     p = np.clip(1 / (1 + np.exp(-np.clip(a @ t, -40, 40))), 1e-12, 1 - 1e-12)
-    return float(t[0] / scale), float(t[1]), float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+    return float(t[0] / scale), float(t[1]), float((share * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
 
 
 def judge(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
