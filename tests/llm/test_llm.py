@@ -156,8 +156,11 @@ def test_toxicity_ratios_as_tables(spark):
     assert {r.x: r.ratio for r in ngram.collect()} == pytest.approx(model.ngram)
     assert {r.h: r.ratio for r in context.collect()} == pytest.approx(model.context)
     words = {w for _, text in rows for w in text.split()} | {"xyz", "zz"}
-    got = {r.word: r.ratio for r in toxicity.word_ratios(spark.createDataFrame([(w,) for w in words], "word string"), grams).collect()}
-    assert {w: got.get(w, 0.0) for w in words} == pytest.approx({w: model.ratio(w) for w in words}, abs=1e-9)
+    want = {w: model.ratio(w) for w in words}
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    for least, at_hand in ((-1000.0, 30), (-1000.0, 0), (0.2, 30), (0.2, 0), (0.2, 100_000)):
+        got = {r.word: r.ratio for r in toxicity.word_ratios(table, grams, least, at_hand).collect()}
+        assert got == pytest.approx({w: x for w, x in want.items() if x > least}, abs=1e-9) and got
 
 
 def test_toxicity_word_of_one_document(spark):

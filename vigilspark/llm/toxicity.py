@@ -17,7 +17,8 @@ As contexts end at a word's start, a word has one log-likelihood ratio.
 N-grams come from every labelled row of folds 1 to 3 (crc32 of the id modulo 5), single counts included; counts,
 context totals, continuation counts and ratios are Spark aggregates and joins, and nothing is pruned. The ratios of
 the corpus's distinct words come from a join with that table, and the words above the lowest ``least`` are joined with
-the texts that hold them. A bitmap of fixed size (``bitmaps``) keeps other words out of that join; it decides nothing.
+the texts that hold them. Tables of fixed size (``bitmaps``, bounds of ratios) keep what can't count out of these
+joins; they decide nothing.
 ``least`` and the logistic come from at most ``max_rows`` rows of each class of fold 4 (the first in MD5 order of the
 id, weighted to the class's share), and fold 0 is never learned from. Where fold 4 lacks a class, they are constants by
 which a text without toxic words scores below 0.5. Every text is scored whole.
@@ -48,6 +49,9 @@ D = 0.75
 ORDER = 6
 MAX_ROWS = 10_000
 FOLDS = 5
+#: N-grams whose ratios each Python worker has at hand, and slots of bounds for the others; neither decides a result.
+AT_HAND = 200_000
+SLOTS = 1 << 22
 #: Intercept without labels of both classes.
 NEVER = -50.0
 #: Intercept, at weight 1, where fold 4 lacks a class: a text scores 0.5 where the root of its margin is 0.5.
@@ -249,23 +253,74 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], names=["word"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each n-gram of a word."""
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many words of a batch hold an n-gram."""
     for batch in batches:
-        words = batch.column("word").to_pylist()
-        for at in range(0, len(words), 1000):
-            rows = [(w, g) for w in words[at : at + 1000] for g in ngrams(w)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["word", "x"])
+        counts = Counter(g for w in batch.column("word").to_pylist() for g in ngrams(w))
+        columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["x", "m"])
 
 
-def word_ratios(words: DataFrame, grams: DataFrame) -> DataFrame:
-    """(word, ratio) for distinct ``words`` whose ratio is not 0."""
+def _cutoff(table: DataFrame, most: int) -> int:
+    """The least count m that at most ``most`` rows reach."""
+    sizes = table.groupBy(F.least("m", F.lit(100_000)).alias("c")).count().collect()
+    left, cut = most, 100_001
+    for row in sorted(sizes, key=lambda r: -r["c"]):
+        left -= row["count"]
+        if left < 0:
+            break
+        cut = row["c"]
+    return cut
+
+
+def _pairs(shared, least: float):
+    """A row for each n-gram, without a ratio at hand, of a word that may exceed ``least``; the first row of a word
+    has the sum of those at hand."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exact, most = shared.value
+        for batch in batches:
+            rows = []
+            for word in batch.column("word").to_pylist():
+                part, bound, other = 0.0, 0.0, []
+                for gram in ngrams(word):
+                    x = exact.get(gram)
+                    if x is None:
+                        other.append(gram)
+                        bound += most[zlib.crc32(gram.encode("utf-8", "surrogatepass")) & SLOTS - 1]
+                    else:
+                        part += x
+                if part + bound > least - 1e-3:
+                    rows.append((word, other[0] if other else "", part))
+                    rows += [(word, gram, 0.0) for gram in other[1:]]
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "x", "part"])
+
+    return scan
+
+
+def word_ratios(words: DataFrame, grams: DataFrame, least: float, at_hand: int = AT_HAND) -> DataFrame:
+    """(word, ratio) for distinct ``words`` whose ratio exceeds ``least``.
+
+    Workers have the ratios of the n-grams that most words share (``at_hand`` at most), and for all others a bound: the
+    highest ratio of those with the same slot of a hash. Words that this bound rules out, and n-grams at hand, needn't
+    be joined; the join decides about all others.
+    """
     ngram, context = ratios(grams)
-    pairs = words.mapInArrow(_pairs, "word string, x string")
-    asked = pairs.select("x").distinct().withColumn("h", F.expr(_FRONT))
+    asked = words.mapInArrow(_asked, "x string, m long").groupBy("x").agg(F.sum("m").alias("m")).withColumn("h", F.expr(_FRONT))
     asked = asked.join(ngram.withColumnRenamed("ratio", "listed"), "x", "left").join(context, "h", "left")
-    known = materialize(asked.select("x", F.coalesce("listed", "ratio").alias("ratio")).filter("ratio != 0"))
-    return pairs.join(known, "x").groupBy("word").agg(F.sum("ratio").alias("ratio"))
+    known = materialize(asked.select("x", "m", F.coalesce("listed", "ratio").alias("ratio")).filter("ratio != 0"))
+    cut = _cutoff(known, at_hand)
+    exact = known.filter(F.col("m") >= cut).select("x", "ratio").toPandas()  # at_hand rows at most
+    rest = known.filter(F.col("m") < cut).select("x", "ratio")
+    slot = F.crc32(F.col("x").cast("binary")).bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
+    bound = rest.filter("ratio > 0").groupBy(slot).agg(F.max("ratio").cast("float").alias("ratio")).toPandas()  # SLOTS rows at most
+    most = np.zeros(SLOTS, dtype=np.float32)
+    most[bound["slot"].to_numpy()] = bound["ratio"].to_numpy()
+    shared = words.sparkSession.sparkContext.broadcast((dict(zip(exact["x"], exact["ratio"].tolist())), most))
+    pairs = words.mapInArrow(_pairs(shared, least), "word string, x string, part double").join(rest, "x", "left")
+    ratio = F.sum(F.col("part") + F.coalesce("ratio", F.lit(0.0)))
+    return pairs.groupBy("word").agg(ratio.alias("ratio")).filter(F.col("ratio") > least)
 
 
 def _slot_of(words: list[str]) -> np.ndarray:
@@ -296,7 +351,7 @@ def margins(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """(key, m) for each distinct text with a toxic word, by its MD5: for each of LEAST, the difference of the
     log-likelihoods per word, counting words above it."""
     words = materialize(docs.select("text").mapInArrow(_vocabulary, "word string").distinct())
-    toxic = materialize(word_ratios(words, grams).filter(F.col("ratio") > LEAST[0]))
+    toxic = materialize(word_ratios(words, grams, LEAST[0]))
     slots = toxic.select(F.shiftleft(F.crc32(F.col("word").cast("binary")), 32).alias("at"))
     marked = docs.sparkSession.sparkContext.broadcast(bitmaps.pack(bitmaps.gather(slots, "at")))
     hits = docs.select(_key().alias("key"), "text").mapInArrow(_hits(marked), "key string, n long, word string, m long")
