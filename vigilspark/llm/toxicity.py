@@ -50,7 +50,7 @@ ORDER = 6
 MAX_ROWS = 10_000
 FOLDS = 5
 #: N-grams whose ratios each Python worker has at hand, and slots of bounds for the others; neither decides a result.
-AT_HAND = 200_000
+AT_HAND = 100_000
 SLOTS = 1 << 22
 #: Intercept without labels of both classes.
 NEVER = -50.0
@@ -142,7 +142,7 @@ def _labelled_words(labelled):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = labelled.value
-        for batch in batches:
+        for batch in _parts(batches):
             hit = pa.array(bitmaps.test(some, bitmaps.slots(batch.column("at").to_numpy())))
             ids, texts = (batch.column(c).filter(hit) for c in ("doc_id", "text"))
             words = [" ".join(set(words_of(t))) for t in texts.to_pylist()]
@@ -248,8 +248,9 @@ def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words: set[str] = set()
-        for text in batch.column("text").to_pylist():
-            words.update(words_of(text))
+        for part in _parts([batch]):
+            for text in part.column("text").to_pylist():
+                words.update(words_of(text))
         yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], names=["word"])
 
 
@@ -328,12 +329,19 @@ def _slot_of(words: list[str]) -> np.ndarray:
     return bitmaps.slots(crc << np.uint64(32))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 50) -> Iterator[pa.RecordBatch]:
+    """Few texts at a time: the words of a whole batch take many times its size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _hits(marked):
     """A row for each text and word of it in the bitmap: the text's key and number of words, the word and its count."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = marked.value
-        for batch in batches:
+        for batch in _parts(batches):
             texts = [words_of(t) for t in batch.column("text").to_pylist()]
             words = list(set().union(*texts))
             hit = {words[i] for i in np.flatnonzero(bitmaps.test(some, _slot_of(words)))} if words else set()
