@@ -106,6 +106,16 @@ def test_substring_dedup(docs, none, length):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_dedup_of_texts_with_one_id_and_one_short_hash(spark):
+    """Two texts of one id that share 32 bits of a hash keep their own spans."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    a, b = f"{passage} t10197", " ".join(f"q{i}" for i in range(40)) + " u112163"
+    docs = spark.createDataFrame([(1, a), (1, b), (2, f"{passage} end")], "doc_id long, text string")
+    assert docs.filter("doc_id = 1").select(F.hash("text")).distinct().count() == 1
+    got = substring_dedup.remove_repeats(docs).select("doc_id", "kept", "n_removed").collect()
+    assert sorted(map(tuple, got)) == [(1, b, 0), (1, "t10197", 40), (2, "end", 40)]
+
+
 def toxic_rows():
     rng = random.Random(5)
     rows, labels = [], []

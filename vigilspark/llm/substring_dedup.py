@@ -74,7 +74,7 @@ def _stretches(length: int, gram: int):
 
 def _candidates(length: int, gram: int, repeated, mixed):
     schema = pa.schema(
-        [("doc", pa.int64()), ("form", pa.int32()), ("anchor", pa.int32()), ("stretch", pa.int64()),
+        [("doc", pa.int64()), ("form", pa.int64()), ("anchor", pa.int32()), ("stretch", pa.int64()),
          ("begin", pa.int32()), ("windows", pa.int32())]
     )
 
@@ -111,7 +111,7 @@ def _candidates(length: int, gram: int, repeated, mixed):
                     schema,
                 )
 
-    return scan, "doc long, form int, anchor int, stretch long, begin int, windows int"
+    return scan, "doc long, form long, anchor int, stretch long, begin int, windows int"
 
 
 def _cut(length: int):
@@ -163,7 +163,7 @@ def remove_repeats(
     A word goes if a window of ``length`` words that covers it starts at another place too.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.hash(text).alias("form"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("form"), F.col(text).alias("text"))
 
     stretches = rows.select("text").mapInArrow(_stretches(length, gram), "anchor long, stretch long")
     repeated = materialize(
