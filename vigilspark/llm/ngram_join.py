@@ -221,7 +221,10 @@ def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """Nodes (doc_id, key, n, node; a row for each document) and the links (a, b) that connect all similar nodes."""
+    """Nodes (doc_id, key, n, node; a row for each document) and links (a, b) enough to connect all similar nodes.
+
+    Not every link: pairs that are connected already are not compared, so no document's number of links follows.
+    """
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), F.col(text).alias("text"))
