@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vigilspark.llm import (
     binary_output,
     bpe,
+    decontamination,
     exact_dedup,
     maxscore,
     mixing,
@@ -30,7 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": url_filter.query,
     "op9_maxscore": maxscore.query,
     "op10_binary_output": binary_output.query,
+    "op13_decontamination": decontamination.query,
 }
 
 #: The others have no SQL that ends on whole tables, or none at all; their tests use brute force.
-ORACLE: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL, "op9_maxscore": maxscore.SQL}
+ORACLE: dict[str, str] = {
+    "op4_exact_dedup": exact_dedup.SQL,
+    "op9_maxscore": maxscore.SQL,
+    "op13_decontamination": decontamination.SQL,
+}
