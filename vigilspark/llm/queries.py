@@ -14,7 +14,9 @@ from vigilspark.llm import (
     maxscore,
     mixing,
     ngram_join,
+    periodic_runs,
     sharding,
+    spelling,
     substring_dedup,
     toxicity,
     url_filter,
@@ -31,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": url_filter.query,
     "op9_maxscore": maxscore.query,
     "op10_binary_output": binary_output.query,
+    "op11_spelling": spelling.query,
+    "op12_periodic_runs": periodic_runs.query,
     "op13_decontamination": decontamination.query,
 }
 
@@ -38,5 +42,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op9_maxscore": maxscore.SQL,
+    "op11_spelling": spelling.SQL,
     "op13_decontamination": decontamination.SQL,
 }
