@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vigilspark.operators import attribution, forest
 
@@ -48,14 +49,26 @@ def test_partitioning_does_not_change_the_model(data, model):
     assert np.allclose(a["split"], b["split"], rtol=1e-9)  # sums of the scaler may differ in the last digits
 
 
-def test_subsample_prefilter_keeps_the_smallest_hashes(data):
+def test_subsample_takes_the_smallest_hashes(spark, data):
     from vigilspark.operators.features import vector
 
     rows = data.select("id", vector(NAMES).alias("vector"))
-    full = forest.subsample(rows, "id", 1, 4, 20, 42)
-    cut = forest.subsample(rows, "id", 601, 4, 20, 42)
-    pick = lambda d: sorted((r["tree"], r["_key"]) for r in d.collect())
-    assert pick(full) == pick(cut) and len(pick(full)) == 80
+    got = forest.subsample(rows, "id", 4, 20, 42).collect()
+    tree = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("tree")
+    hashes = rows.select("id", F.xxhash64("id").alias("r"), tree).select("id", "tree", F.xxhash64("r", "tree", F.lit(42)).alias("h")).collect()
+    want = {(t, r["id"]) for t in range(4) for r in sorted((h for h in hashes if h["tree"] == t), key=lambda h: h["h"])[:20]}
+    assert {(r["tree"], r["_key"]) for r in got} == want and len(got) == 80
+
+
+def test_repeated_keys_fill_every_tree(spark, data):
+    """600 rows of three keys: each tree still gets its rows, and too few rows are an error."""
+    from vigilspark.operators.features import vector
+
+    rows = data.select((F.col("id") % 3).alias("id"), vector(NAMES).alias("vector"))
+    counts = {r["tree"]: r["count"] for r in forest.subsample(rows, "id", 5, 64, 1).groupBy("tree").count().collect()}
+    assert counts == {t: 64 for t in range(5)}
+    with pytest.raises(ValueError, match="training rows"):
+        forest.subsample(rows.limit(10), "id", 5, 64, 1)
 
 
 def test_too_few_windows(data):
@@ -79,7 +92,7 @@ def test_contamination_moves_only_the_offset(data, model):
 def test_attributions_add_up_and_match_enumeration(data, model):
     scored = forest.score(data, model)
     rows = attribution.attribute(scored, model).toPandas()
-    trees = forest._packed(forest.node_table(model.nodes))
+    trees = forest.packed(forest.node_table(model.nodes))
     x = np.vstack(rows["vector"])
     background = np.vstack([r["vector"] for r in model.background.collect()])
     f = lambda v: forest.mean_path(trees, np.atleast_2d(v))
@@ -88,7 +101,8 @@ def test_attributions_add_up_and_match_enumeration(data, model):
     assert np.isclose(rows["base_value"].iloc[0], f(background).mean(), atol=1e-9)
     one, small = x[0], background[:5]
     boxes = attribution._leaf_boxes(forest.node_table(model.nodes))
-    got = attribution.shapley(boxes, one, small)
+    got = attribution.Explainer(boxes, small)(x[:1])[0]
+    assert np.allclose(attribution.Explainer(boxes, background, block=3)(x), shap, atol=1e-12)
     want = np.zeros(3)
     from itertools import permutations
 

@@ -227,19 +227,68 @@ def test_response_parsing_and_markdown(spark):
     assert [g[0] for g in got] == [True, True, False, False, False]
     assert got[2][1]["severity"] == "CRITICAL" and len(got[2][1]["executive_summary"]) == 1000 and got[2][1]["confidence"] == 0.5
     assert got[3][1]["executive_summary"] == reports.FALLBACK_EMPTY
-    text = reports.report_markdown(reports.parse_responses(df)).first()["markdown"]
+    text = reports.report_markdown(reports.parse_responses(df), T0).first()["markdown"]
     assert text.index("### Immediate") < text.index("### Long Term") and "| `error_rate` | 0.500 | -1.250 | toward_anomaly |" in text
 
 
-def test_inhibition(spark):
-    df = spark.createDataFrame([("a", "critical"), ("a", "warning"), ("b", "warning")], "service string, severity string")
-    assert sorted(tuple(r) for r in alerts.inhibit(df).collect()) == [("a", "critical"), ("b", "warning")]
-
-
-def test_hold_fires_only_after_an_unbroken_span(spark):
-    rows = [("r", T0 + timedelta(minutes=m), h) for m, h in [(0, True), (1, True), (2, True), (3, False), (4, True), (5, True)]]
-    got = alerts.hold(spark.createDataFrame(rows, "rule string, tick timestamp, holds boolean"), ["rule"], 120).orderBy("tick").collect()
-    assert [bool(r["firing"]) for r in got] == [False, False, True, False, False, False]
+def test_inhibition_only_while_the_critical_alert_fires(spark):
+    """A morning warning stays whatever fires in the evening; the end of a span doesn't count; other services don't."""
+    at = lambda h, m=0: T0 + timedelta(hours=h, minutes=m)
+    rows = [("a", "warning", at(8), 1), ("a", "warning", at(20), 2), ("a", "warning", at(21), 3), ("b", "warning", at(20), 4),
+            ("a", "critical", at(20), 5), ("a", "info", at(20), 6), ("a", None, at(20), 7), ("a", "warning", at(19, 59), 8)]
+    df = spark.createDataFrame(rows, "service string, severity string, time timestamp, n int")
+    firing = spark.createDataFrame(
+        [("a", "critical", at(20), at(21)), ("a", "warning", at(0), at(24)), ("c", "critical", at(0), at(24))],
+        "service string, severity string, starts_at timestamp, ends_at timestamp",
+    )
+    assert sorted(r["n"] for r in alerts.inhibit(df, firing).collect()) == [1, 3, 4, 5, 6, 7, 8]
+
+
+def test_alert_states(spark):
+    """pending, firing, resolved; two true evaluations hours apart are no hold."""
+    minutes = [(0, True), (1, True), (2, True), (3, False), (4, True), (5, False), (6, True), (540, True), (541, True), (542, True), (543, None)]
+    rows = [("r", T0 + timedelta(minutes=m), h) for m, h in minutes]
+    held = alerts.hold(spark.createDataFrame(rows, "rule string, tick timestamp, holds boolean"), ["rule"], 120, 60)
+    got = [(r["state"], r["firing"]) for r in held.orderBy("tick").collect()]
+    states = ["pending", "pending", "firing", "resolved", "pending", "inactive", "pending", "pending", "pending", "firing", "resolved"]
+    assert got == [(s, s == "firing") for s in states]
+    spans = sorted((r["starts_at"], r["ends_at"]) for r in alerts.firing_spans(held, ["rule"], 60).collect())
+    assert spans == [(T0 + timedelta(minutes=m), T0 + timedelta(minutes=m + 1)) for m in (2, 542)]
+
+
+def test_alert_pipeline(spark):
+    """A critical alert fires in hours 3 to 5; warnings of its service are mute then and repeat after 4 hours."""
+    hours = range(14)
+    rows = [("Down", "a", T0 + timedelta(hours=h), h in (2, 3, 4, 5)) for h in hours]
+    rows += [("Slow", s, T0 + timedelta(hours=h), True) for h in hours for s in ("a", "b")]
+    df = spark.createDataFrame(rows, "alertname string, service string, tick timestamp, holds boolean")
+    rules = [("Down", "critical", 3600), ("Slow", "warning", 0)]
+    got = sorted((r["alertname"], r["service"], (r["time"] - T0).total_seconds() / 3600) for r in alerts.alert_pipeline(df, rules, 3600).collect())
+    assert got == [("Down", "a", h) for h in (3, 4, 5)] + [("Slow", "a", h) for h in (0, 6, 10)] + [("Slow", "b", h) for h in (0, 4, 8, 12)]
+
+
+def test_cost_is_evaluated_in_hours_without_reports(spark):
+    rows = [(T0, 4.0), (T0 + timedelta(hours=2, minutes=5), 2.0)]
+    df = spark.createDataFrame(rows, "generated_at timestamp, cost_usd double")
+    got = {(r["tick"] - T0).total_seconds() / 3600: (r["cost_1d"], r["holds"]) for r in alerts.cost_alert(df, T0 + timedelta(hours=30)).collect()}
+    assert len(got) == 31 and got[1] == (4.0, False) and got[2] == (6.0, True) and got[23] == (6.0, True) and got[24] == (2.0, False)
+    assert got[26] == (0.0, False) and got[30] == (0.0, False)
+
+
+def test_a_score_shift_needs_scores(spark):
+    df = spark.createDataFrame([(T0, -0.5), (T0 + timedelta(hours=5), -2.0)], "time timestamp, score double")
+    got = [(r["short_median"], r["long_median"], r["holds"]) for r in alerts.score_shift(df).orderBy("tick").collect()]
+    assert got == [(-0.5, -0.5, False)] + [(None, -0.5, False)] * 4 + [(-2.0, -1.25, True)]
+
+
+def test_notices_of_all_routes_in_one_plan(spark):
+    at = lambda h: T0 + timedelta(hours=h)
+    rows = [("x", "s", sev, at(h), f"{sev}{h:02d}") for sev in ("critical", "warning", "info") for h in range(0, 25)]
+    df = spark.createDataFrame(rows, "alertname string, service string, severity string, time timestamp, anomaly_id string")
+    out = alerts.alert_notices(df)
+    got = sorted((r["route"], (r["time"] - T0).total_seconds() // 3600) for r in out.collect())
+    assert got == sorted([("critical", h) for h in range(25)] + [("warning", h) for h in range(0, 25, 4)] + [("default", h) for h in (0, 12, 24)])
+    assert "Python" not in out._jdf.queryExecution().toString()
 
 
 def test_histogram_quantile(spark):

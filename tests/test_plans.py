@@ -8,9 +8,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vigilspark.operators.windows import trailing_buffer
+from vigilspark.operators.windows import event_checks, trailing_buffer
 from vigilspark.plans.cooldown import cooldown_kept
-from vigilspark.plans.intervals import overlap_pairs, points_in_spans
+from vigilspark.plans.chains import chained
+from vigilspark.plans.intervals import overlap_candidates, overlap_pairs, points_in_spans
 from vigilspark.plans.ordering import exact_percentiles, global_rank, running_sums, value_cell
 
 T0 = datetime(2024, 1, 1)
@@ -76,10 +77,13 @@ def test_overlap_pairs_and_points(spark):
         return out
 
     a, b = spans(60, 300), spans(40, 2000)
+    for m in (0, 7, 4000):  # empty spans and equal ones
+        a += [(100 + m, T0 + timedelta(minutes=m), T0 + timedelta(minutes=m)), (200 + m, *b[m % 40][1:])]
+        b += [(300 + m, T0 + timedelta(minutes=m), T0 + timedelta(minutes=m)), (400 + m, T0 + timedelta(days=-m), T0 + timedelta(days=m))]
     left = spark.createDataFrame(a, "a int, s1 timestamp, e1 timestamp")
     right = spark.createDataFrame(b, "b int, s2 timestamp, e2 timestamp")
-    for cell in (600, 3_600, 86_400):
-        got = [(r["a"], r["b"]) for r in overlap_pairs(left, right, ("s1", "e1"), ("s2", "e2"), cell).collect()]
+    for unit in (60, 600, 86_400):
+        got = [(r["a"], r["b"]) for r in overlap_pairs(left, right, ("s1", "e1"), ("s2", "e2"), unit).collect()]
         want = [(x[0], y[0]) for x in a for y in b if x[1] < y[2] and x[2] > y[1]]
         assert sorted(got) == sorted(want)
     points = spark.createDataFrame([(i, T0 + timedelta(minutes=i * 7)) for i in range(700)], "p int, at timestamp")
@@ -89,6 +93,46 @@ def test_overlap_pairs_and_points(spark):
     assert got == want | {(i, None) for i in missed}
 
 
+def test_overlap_candidates_follow_the_result(spark):
+    """Minute windows every 30 s against spans of minutes to hours: few pairs are looked at in vain."""
+    rng = random.Random(6)
+    windows = [(i, T0 + timedelta(seconds=30 * i), T0 + timedelta(seconds=30 * i + 60)) for i in range(2_880)]
+    begins = [T0 + timedelta(seconds=rng.randrange(86_400)) for _ in range(40)]
+    spans = [(i, s, s + timedelta(seconds=rng.choice([45, 90, 600, 7_200]))) for i, s in enumerate(begins)]
+    left = spark.createDataFrame(windows, "a int, s1 timestamp, e1 timestamp")
+    right = spark.createDataFrame(spans, "b int, s2 timestamp, e2 timestamp")
+    found = sum(s1 < e2 and e1 > s2 for _, s1, e1 in windows for _, s2, e2 in spans)
+    assert overlap_pairs(left, right, ("s1", "e1"), ("s2", "e2"), 60).count() == found
+    assert overlap_candidates(left, right, ("s1", "e1"), ("s2", "e2"), 60).count() <= 4 * found
+
+
+def test_chains_with_waits_of_their_own(spark):
+    """Several keys, each with its wait, dense and with gaps, against a walk."""
+    rng = random.Random(12)
+    rows, want = [], set()
+    for key, wait in (("dense", 1_000), ("sparse", 50_000), ("one", 9_000), ("long", 10**9)):
+        times = sorted({rng.randrange(10**6) * (1 if rng.random() < 0.7 else 50) for _ in range(400 if key != "one" else 1)})
+        rows += [(key, t, wait) for t in times] * 2
+        last = None
+        for t in times:
+            if last is None or t - last >= wait:
+                want.add((key, t))
+                last = t
+    df = spark.createDataFrame([*rows, (None, 5, 9), ("one", None, 7)], "k string, t long, w long").repartition(7)
+    got = [tuple(r) for r in chained(df, ["k"], "t", F.col("w")).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert chained(df.limit(0), ["k"], "t", 5).count() == 0
+
+
+def test_checks_need_events(spark):
+    """Checks follow events: none in silence, and the next one counts from the last check."""
+    seconds = [0, 10, 59, 60, 61, 119, 125, 1000, 1001, 1059, 1060, 1300]
+    rows = [("s", T0 + timedelta(seconds=s), i) for i, s in enumerate(seconds)]
+    df = spark.createDataFrame(rows, "service string, time timestamp, event_id long")
+    got = [(r["tick"] - T0).total_seconds() for r in event_checks(df, 60).orderBy("tick").collect()]
+    assert got == [60, 125, 1000, 1060, 1300]
+
+
 def _cooldown(times, wait):
     kept, last = [], None
     for t in sorted(times):

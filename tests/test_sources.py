@@ -105,3 +105,22 @@ def test_compaction_layout(spark):
     out = writers.compacted(rows, T0 + timedelta(days=10), 7)
     assert out.count() == 300
     assert writers.compacted(rows, T0 + timedelta(days=3), 7).count() == 0
+
+
+def test_upsert_rewrites_touched_dates_only(spark, tmp_path):
+    """Replaced, added and moved reports; files of other dates keep their names, a date left empty goes."""
+    from vigilspark.sources import writers
+
+    path = str(tmp_path / "reports")
+    day = lambda d: T0 + timedelta(days=d)
+    schema = "report_id string, generated_at timestamp, content string"
+    old = [("a", day(0), "1"), ("b", day(0), "1"), ("c", day(1), "1"), ("d", day(2), "1"), ("e", day(4), "1")]
+    writers.write_reports(spark.createDataFrame(old, schema), path)
+    files = lambda: {str(f.relative_to(path)) for f in (tmp_path / "reports").rglob("*.parquet")}
+    before = files()
+    new = [("a", day(0), "2", 7), ("d", day(3), "2", 7), ("f", day(3), "2", 7), ("f", day(2), "older", 7)]
+    writers.upsert_reports(spark.createDataFrame(new, schema + ", tokens int"), path)
+    got = {(r["report_id"], r["generated_at"], r["content"], r["tokens"]) for r in spark.read.option("mergeSchema", True).parquet(path).collect()}
+    assert got == {("a", day(0), "2", 7), ("b", day(0), "1", None), ("c", day(1), "1", None), ("d", day(3), "2", 7), ("e", day(4), "1", None), ("f", day(3), "2", 7)}
+    untouched = {f for f in before if f.startswith(("event_date=2024-01-02", "event_date=2024-01-05"))}
+    assert len(untouched) == 2 and untouched <= files() and not any(f.startswith("event_date=2024-01-03") for f in files())

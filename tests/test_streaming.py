@@ -7,11 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilspark.functions.scalars import with_metadata_fields
+from vigilspark.operators import detection
+from vigilspark.operators.features import window_features
 from vigilspark.operators.rollups import rollup
-from vigilspark.operators.windows import regular_ticks, trailing_buffer
+from vigilspark.operators.windows import event_checks, trailing_buffer
 from vigilspark.plans.cooldown import cooldown_kept
 from vigilspark.sources.readers import event_stream
-from vigilspark.streaming import jobs
+from vigilspark.schema import FEATURE_NAMES
+from vigilspark.streaming import jobs, stateful
 
 T0 = datetime(2024, 1, 1)
 EVENTS = "time timestamp, service string, level string, message string, metadata string, trace_id string, span_id string, event_id long"
@@ -32,16 +35,27 @@ def feed(spark, parts, folder, start):
         start(jobs.table_stream(spark, folder, part.schema)).awaitTermination()
 
 
-def test_rollup_equals_batch_and_drops_what_comes_too_late(spark, tmp_path):
-    on_time = [frame(spark, range(0, 600, 7)), frame(spark, range(600, 1800, 7)), frame(spark, [5000])]
-    late = frame(spark, [30])
-    job = lambda s: jobs.rollup_job(s, "1 minute", str(tmp_path / "out"), str(tmp_path / "ck"))
-    feed(spark, [*on_time, late, frame(spark, [9000])], str(tmp_path / "in"), job)
-    got = spark.read.parquet(str(tmp_path / "out")).drop("batch_id")
-    whole = on_time[0].unionByName(on_time[1]).unionByName(on_time[2])
+def _rows(df, columns):
+    return sorted(tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in df.select(*columns).collect())
+
+
+def test_rollup_is_revised_until_the_start_offset(spark, tmp_path):
+    """Buckets are there once the end offset has passed; an event of a written bucket is folded in if it comes within
+    the start offset, and one that comes later is not."""
+    first = [frame(spark, range(0, 600, 7)), frame(spark, range(600, 1200, 7))]
+    revises = frame(spark, [800])  # 400 s behind, its bucket is written
+    too_late = frame(spark, [30])  # 1170 s behind
+    out = str(tmp_path / "out")
+    job = lambda s: jobs.rollup_job(s, "1 minute", out, str(tmp_path / "state"), str(tmp_path / "ck"))
+    feed(spark, first, str(tmp_path / "in"), job)
+    whole = first[0].unionByName(first[1])
+    newest = 1_196  # the last event; buckets that end by one minute before it are closed
     want = rollup(with_metadata_fields(whole), "1 minute")
-    key = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in df.select(*want.columns).collect())
-    assert key(got) == key(want)
+    closed = lambda df, last: df.where(F.col("bucket") <= F.lit(T0 + timedelta(seconds=last - 120)))
+    assert _rows(jobs.rollup_table(spark, out), want.columns) == _rows(closed(want, newest), want.columns)
+    feed(spark, [revises, too_late, frame(spark, [5_000])], str(tmp_path / "in"), job)
+    want = closed(rollup(with_metadata_fields(whole.unionByName(revises)), "1 minute"), 5_000)
+    assert _rows(jobs.rollup_table(spark, out), want.columns) == _rows(want, want.columns)
 
 
 def test_replayed_batch_does_not_duplicate(spark, tmp_path):
@@ -51,19 +65,55 @@ def test_replayed_batch_does_not_duplicate(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 20
 
 
-@pytest.mark.parametrize("size,late", [(5, 0), (1000, 60)])
-def test_trailing_buffer_across_restarts(spark, tmp_path, size, late):
-    parts = [frame(spark, range(0, 300, 3)), frame(spark, range(300, 310, 2)), frame(spark, range(310, 1200, 11))]
-    parts = [p.withColumn("event_id", F.col("event_id") + 1000 * k) for k, p in enumerate(parts)]
-    job = lambda s: jobs.trailing_buffer_job(
-        s, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "ck"), 100, size, late
-    )
-    feed(spark, parts, str(tmp_path / "in"), job)
+@pytest.fixture(scope="module")
+def stateful_spark(spark):
+    session = stateful.stateful_session(spark)
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    return session
+
+
+@pytest.mark.parametrize("size", [5, 1000])
+def test_trailing_buffer_across_restarts(spark, stateful_spark, tmp_path, size):
+    """Two services, a silence, and an event at the instant of a check; every run resumes from the checkpoint."""
+    parts = [frame(spark, [*range(0, 300, 3), 99], "a").unionByName(frame(spark, range(5, 290, 40), "b").withColumn("event_id", F.col("event_id") + 500)),
+             frame(spark, range(300, 310, 2), "a"), frame(spark, range(900, 1200, 11), "a").unionByName(frame(spark, [2000, 2101], "b").withColumn("event_id", F.col("event_id") + 500))]
+    parts = [p.withColumn("event_id", F.col("event_id") + 1000 * k).select("event_id", "time", "service", "level") for k, p in enumerate(parts)]
+    job = lambda s: jobs.trailing_buffer_job(s, str(tmp_path / "out"), str(tmp_path / "ck"), 100, size)
+    feed(stateful_spark, parts, str(tmp_path / "in"), job)
+    events = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    want = trailing_buffer(events, event_checks(events, 100), size)
+    key = lambda df: sorted((r["service"], r["tick"], r["event_id"], r["age"], r["time"], r["level"]) for r in df.collect())
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(want) and want.count() > 10
+
+
+def test_detection_across_restarts(spark, stateful_spark, tmp_path):
+    """The stream keeps and suppresses the same alerts as the batch, per service; state holds the newest events only."""
+    parts = [frame(spark, range(k * 1000, k * 1000 + 990, 3), "payment-service").withColumn("event_id", F.col("event_id") + 10_000 * k) for k in range(3)]
+    parts = [p.unionByName(frame(spark, range(k * 1000, k * 1000 + 900, 200), "quiet").withColumn("event_id", F.col("event_id") + 10_000 * k + 5_000)) for k, p in enumerate(parts)]
+    parts = [with_metadata_fields(p).select("event_id", "time", "service", "level", "valid_latency") for p in parts]
+    out = {n: str(tmp_path / n) for n in ("checks", "anomalies", "alerts")}
+    sink = jobs.detection_sink(out["checks"], out["anomalies"], out["alerts"])
+    job = lambda s: jobs.detection_job(s, detection.RuleJudge(-0.1), sink, str(tmp_path / "ck"), 60, 40, 200)
+    feed(stateful_spark, parts, str(tmp_path / "in"), job)
     events = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    last = T0 + timedelta(seconds=310 + 11 * 80 - late)
-    want = trailing_buffer(events, regular_ticks(events, 100, last), size)
-    key = lambda df: sorted((r["tick"], r["event_id"], r["age"]) for r in df.collect())
-    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(want)
+    want = detection.detections(events, 60, 40, 10, 200, threshold=-0.1)
+    columns = ["service", "tick", "window_size", "window_start", "window_end", "score", "is_anomaly", "kept", "error_rate", "p95_latency_ms", "payment-service_p95_latency"]
+    names = [f"`{c}`" for c in columns]
+    got = spark.read.parquet(out["checks"])
+    assert _rows(got, names) == _rows(want, names)
+    kept = {r["anomaly_id"] for r in want.where("kept").collect()}
+    assert len(kept) > 5 and want.where("is_anomaly AND NOT kept").count() > 5 and want.agg(F.min("window_size")).first()[0] == 10
+    assert {r["anomaly_id"] for r in spark.read.parquet(out["anomalies"]).collect()} == kept
+    assert spark.read.json(out["alerts"]).count() == len(kept)
+
+
+def test_window_vector_equals_the_feature_columns(spark):
+    """The streaming features of a window are those of the batch plan."""
+    events = with_metadata_fields(frame(spark, range(0, 90, 2), "auth-service").unionByName(frame(spark, range(40), "other")))
+    rows = events.select("service", "level", "valid_latency", F.lit(1).alias("w"))
+    want = window_features(rows, ["w"]).first()
+    vector = detection.window_vector(rows.toPandas())
+    assert [round(x, 9) for x in vector] == [round(want[n], 9) for n in FEATURE_NAMES]
 
 
 def test_cooldown_state_spans_batches(spark, tmp_path):

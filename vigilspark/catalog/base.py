@@ -375,6 +375,12 @@ def r6(expression: str) -> str:
     return f"(round(CAST({expression} AS DOUBLE), 6) + 0.0)"
 
 
+def fixed(expression: str, digits: int, sign: str = "") -> str:
+    """A number printed with ``digits`` decimals: noise beyond the sixth decimal dropped, then half up."""
+    exact = f"CAST(round(CAST({expression} AS DOUBLE), 6) AS DECIMAL(24, 6))"
+    return f"printf('%{sign}.{digits}f', CAST(round({exact}, {digits}) AS DOUBLE))"
+
+
 def sql_list(items) -> str:
     return "[" + ", ".join(f"'{i}'" for i in items) + "]"
 
@@ -564,4 +570,38 @@ def sql(body: str, *needs: str, extra: str = "", recursive: bool = False) -> str
     return head + body
 
 
+def chain_sql(name: str, source: str, keys: str, wait: str, time: str = "time") -> str:
+    """Recursive CTE: each key's first time of ``source``, then always the first at least ``wait`` later."""
+    same = " AND ".join(f"a.{k.strip()} = k.{k.strip()}" for k in keys.split(","))
+    later = f"{same} AND a.{time} >= k.{time} + INTERVAL {wait}"
+    groups = ", ".join(str(i + 1) for i in range(len(keys.split(","))))
+    mine = ", ".join(f"k.{k.strip()}" for k in keys.split(","))
+    return (
+        f"{name} AS (SELECT {keys}, min({time}) AS {time} FROM {source} GROUP BY {groups} UNION ALL SELECT {mine}, "
+        f"(SELECT min(a.{time}) FROM {source} a WHERE {later}) FROM {name} k WHERE EXISTS (SELECT 1 FROM {source} a WHERE {later}))"
+    )
+
+
+def checks_sql(wait: str) -> str:
+    """``ticks``: a service's checks, each at the first event at least ``wait`` after the last one or the first event."""
+    return (
+        chain_sql("chk", "tel", "service", wait)
+        + ", ticks AS (SELECT service, time AS tick FROM chk c WHERE time > (SELECT min(time) FROM tel t WHERE t.service = c.service))"
+    )
+
+
+DETECTION_SQL = sql(
+    f"SELECT service, {ts('tick')} AS tick, window_size, {r6('score')} AS score, score < {THRESHOLD}::DOUBLE AS is_anomaly, "
+    "EXISTS (SELECT 1 FROM kept k WHERE k.service = s.service AND k.tick = s.tick) AS kept FROM sc s",
+    "tel", recursive=True,
+    extra=checks_sql("6 HOUR")
+    + f""", buf AS (SELECT k.service, k.tick, e.level, row_number() OVER (PARTITION BY k.service, k.tick ORDER BY e.time DESC, e.event_id DESC) AS age
+  FROM ticks k JOIN tel e ON e.service = k.service AND e.time <= k.tick),
+sc AS (SELECT service, tick, count(*) AS window_size, round(0.05::DOUBLE - CAST(count(*) FILTER ({_ERR}) AS DOUBLE) / count(*), 6) AS score
+  FROM buf WHERE age <= 50 GROUP BY service, tick HAVING count(*) >= 10),
+flg AS (SELECT service, tick FROM sc WHERE score < {THRESHOLD}::DOUBLE), """
+    + chain_sql("kept", "flg", "service", "24 HOUR", "tick"),
+)
+
+
 FEATURE_LIST_SQL = ", ".join(f"{r6(q(n))} AS {q(n)}" for n in FEATURE_NAMES)

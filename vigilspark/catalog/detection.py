@@ -7,10 +7,10 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from vigilspark.catalog.base import (
-    FEATURE_LIST_SQL, STRIDE_S, THRESHOLD, WINDOW_S, anomalies, as_of, feature_rows, feature_table, labelled_series, q, query, r6,
-    raw_telemetry, report_rows, rule_alerts, scenarios, scored, series, severity_sql, sql, telemetry, timeline, ts, windowed,
+    DETECTION_SQL, FEATURE_LIST_SQL, ORACLE, STRIDE_S, THRESHOLD, WINDOW_S, anomalies, as_of, chain_sql, checks_sql, feature_rows, feature_table, fixed,
+    labelled_series, q, query, r6, raw_telemetry, report_rows, response_rows, rule_alerts, scenarios, scored, series, severity_sql, sql, telemetry, timeline, ts, windowed,
 )
-from vigilspark.operators import alerts, attribution, drift, evaluation, features, forest, rollups, windows
+from vigilspark.operators import alerts, attribution, detection, drift, evaluation, features, forest, reports, rollups, windows
 from vigilspark.operators import series as series_ops
 from vigilspark.schema import FEATURE_NAMES, SERIES_FEATURES
 from vigilspark.session import materialize
@@ -76,23 +76,27 @@ def temporal_split(spark, sf_dir):
         f"SELECT service, {ts('tick')} AS tick, count(*) AS n, count(*) FILTER ({ERR}) AS errors, max(event_id) AS newest, "
         f"min(event_id) AS oldest, {r6('sum(valid_latency)')} AS sum_latency FROM (SELECT k.tick, e.*, row_number() OVER "
         "(PARTITION BY k.service, k.tick ORDER BY e.time DESC, e.event_id DESC) AS age FROM ticks k JOIN tel e "
-        "ON e.service = k.service AND e.time <= k.tick) WHERE age <= 50 GROUP BY service, x.tick".replace("x.tick", "tick"),
-        "tel", "latest",
-        extra="ticks AS (SELECT service, unnest(generate_series(f + INTERVAL 1 DAY, t, INTERVAL 1 DAY)) AS tick FROM "
-        "(SELECT service, min(time) AS f FROM tel GROUP BY 1), latest)",
+        "ON e.service = k.service AND e.time <= k.tick) WHERE age <= 50 GROUP BY service, tick",
+        "tel", extra=checks_sql("24 HOUR"), recursive=True,
     ),
 )
 def trailing_buffer(spark, sf_dir):
-    """The last 50 events of a service at a daily check."""
-    events = telemetry(spark, sf_dir)
-    ticks = windows.regular_ticks(events, 86_400, as_of(spark, sf_dir))
-    buffered = windows.trailing_buffer(events, ticks, size=50, cell_seconds=3_600)
+    """The last 50 events of a service at checks that events set off, at least a day apart."""
+    events = materialize(telemetry(spark, sf_dir).select("event_id", "time", "service", "level", "valid_latency"))
+    buffered = windows.trailing_buffer(events, windows.event_checks(events, 86_400), size=50, cell_seconds=3_600)
     return buffered.groupBy("service", "tick").agg(
         F.count("*").alias("n"), F.count_if(F.col("level").isin("ERROR", "CRITICAL")).alias("errors"),
         F.max("event_id").alias("newest"), F.min("event_id").alias("oldest"), F.sum("valid_latency").alias("sum_latency"),
     )
 
 
+@query("service_detection", DETECTION_SQL)
+def service_detection(spark, sf_dir):
+    """Checks of each service's newest 50 events at least 6 h apart, scored by the rule, alerts at least a day apart."""
+    found = detection.detections(telemetry(spark, sf_dir), 21_600, 50, 10, 86_400, threshold=THRESHOLD)
+    return found.select("service", "tick", "window_size", "score", "is_anomaly", "kept")
+
+
 # -- series ---------------------------------------------------------------------
 
 _IWIN = (
@@ -151,7 +155,15 @@ def series_features(spark, sf_dir):
     return series_ops.series_features(normalized, series_ops.value_cutoff(normalized))
 
 
-@query("stream_split")
+@query(
+    "stream_split",
+    sql(
+        "SELECT stream, CASE WHEN pos < a THEN 'train' WHEN pos < a + b THEN 'val' ELSE 'test' END AS split FROM (SELECT *, "
+        "greatest(1, floor(n * 0.6::DOUBLE)) AS a, greatest(1, floor(n * 0.2::DOUBLE)) AS b FROM (SELECT stream, count(*) OVER () AS n, "
+        "row_number() OVER (ORDER BY md5(stream || ':7'), stream) - 1 AS pos FROM (SELECT DISTINCT stream FROM ser1)))",
+        "ser1",
+    ),
+)
 def stream_split(spark, sf_dir):
     return series_ops.split_streams(series(spark, sf_dir), seed=7)
 
@@ -314,15 +326,20 @@ def shap_top_k(spark, sf_dir):
 @query(
     "shap_summary",
     sql(
-        f"SELECT {ts('window_start')} AS window_start, {r6('neg')} AS negative_sum, {r6('pos')} AS positive_sum, {r6('neg + pos')} AS net FROM "
-        "(SELECT window_start, coalesce(sum(shap) FILTER (shap < 0), 0) AS neg, coalesce(sum(shap) FILTER (shap > 0), 0) AS pos FROM "
+        f"SELECT {ts('window_start')} AS window_start, {r6('neg')} AS negative_sum, {r6('pos')} AS positive_sum, {r6('neg + pos')} AS net, "
+        "concat_ws(chr(10), 'Anomaly Detection Explanation:' || chr(10), 'Top factors indicating ANOMALY:' || chr(10) || nt || chr(10), "
+        "'Top factors indicating NORMAL:' || chr(10) || pt || chr(10), 'Net SHAP impact: ' || "
+        f"{fixed('neg + pos', 4)}, '  Anomaly factors: ' || {fixed('neg', 4)}, '  Normal factors:  +' || {fixed('pos', 4)}) AS text FROM "
+        "(SELECT window_start, coalesce(sum(shap) FILTER (shap < 0), 0) AS neg, coalesce(sum(shap) FILTER (shap > 0), 0) AS pos, "
+        f"string_agg('  - ' || feature || ': ' || {fixed('shap', 4)}, chr(10) ORDER BY rank) FILTER (shap < 0) AS nt, "
+        f"string_agg('  - ' || feature || ': +' || {fixed('shap', 4)}, chr(10) ORDER BY rank) FILTER (shap > 0) AS pt FROM "
         "(SELECT *, row_number() OVER (PARTITION BY window_start, shap < 0 ORDER BY abs(shap) DESC, feature) AS rank FROM sh WHERE shap <> 0) "
         "WHERE rank <= 5 GROUP BY 1)",
         "feat", extra=_ATTR_LONG,
     ),
 )
 def shap_summary(spark, sf_dir):
-    return attribution.attribution_summary(_long_attributions(spark, sf_dir), ["window_start"]).drop("text")
+    return attribution.attribution_summary(_long_attributions(spark, sf_dir), ["window_start"])
 
 
 def _forest(spark, sf_dir):
@@ -332,38 +349,97 @@ def _forest(spark, sf_dir):
     return rows, model
 
 
-@query("forest_fit")
+#: Rows that the forest is fitted on, and how many scores lie under the interpolated quantile of a share of them.
+_CLEAN = _SPLIT + ", clean AS (SELECT window_start, count(*) OVER () AS n FROM sp WHERE split = 'train' AND label = 0)"
+
+
+def _under(share: str) -> str:
+    return f"CAST(ceil(round((n - 1) * {share}::DOUBLE, 9)) AS BIGINT)"
+
+
+@query(
+    "forest_fit",
+    sql(
+        "SELECT CAST(tree AS INT) AS tree, CAST(least(256, n) AS BIGINT) AS root_rows, CAST(least(256, n) AS BIGINT) AS leaf_rows, true AS shape_ok "
+        "FROM (SELECT DISTINCT n FROM clean), (SELECT unnest(range(0, 100)) AS tree)",
+        "feat", "labels_w", extra=_CLEAN,
+    ),
+)
 def forest_fit(spark, sf_dir):
-    return _forest(spark, sf_dir)[1].nodes
+    """Per tree: rows at the root and in all leaves, and whether depth and number of nodes fit a binary tree."""
+    leaf = F.col("feature") < 0
+    nodes = _forest(spark, sf_dir)[1].nodes.groupBy("tree").agg(
+        F.max(F.when(F.col("node") == 0, F.col("n"))).cast("bigint").alias("root_rows"),
+        F.sum(F.when(leaf, F.col("n"))).cast("bigint").alias("leaf_rows"),
+        ((F.max("depth") <= 8) & (F.count("*") == 2 * F.count_if(leaf) - 1)).alias("shape_ok"),
+    )
+    return nodes.withColumn("tree", F.col("tree").cast("int"))
 
 
-@query("forest_scores")
+@query(
+    "forest_scores",
+    sql(f"SELECT {ts('window_start')} AS window_start, split, label, true AS in_range FROM sp", "feat", "labels_w", extra=_SPLIT),
+)
 def forest_scores(spark, sf_dir):
+    """Every window is scored: between -1 and 0 before the offset, and flagged if below the threshold."""
     rows, model = _forest(spark, sf_dir)
-    return forest.score(rows, model).select("window_start", "split", "label", "score", "is_anomaly")
+    raw = F.col("score") + F.lit(model.meta.first()["offset"])
+    ok = raw.between(-1.0, 0.0) & (F.col("is_anomaly") == (F.col("score") < F.col("threshold")))
+    return forest.score(rows, model).select("window_start", "split", "label", ok.alias("in_range"))
 
 
-@query("forest_background")
+@query(
+    "forest_background",
+    sql(
+        "SELECT CAST(window_start AS VARCHAR) AS key FROM clean ORDER BY md5(CAST(window_start AS VARCHAR) || ':42'), key LIMIT 100",
+        "feat", "labels_w", extra=_CLEAN,
+    ),
+)
 def forest_background(spark, sf_dir):
-    return _forest(spark, sf_dir)[1].background
+    return _forest(spark, sf_dir)[1].background.select("key")
 
 
-@query("forest_training_stats")
+@query(
+    "forest_training_stats",
+    sql(f"SELECT n AS n_windows, {_under('0.05')} AS anomalies_in_training, true AS ordered FROM (SELECT DISTINCT n FROM clean)", "feat", "labels_w", extra=_CLEAN),
+)
 def forest_training_stats(spark, sf_dir):
+    """On the rows the model was fitted on, as many are flagged as its contamination says."""
     rows, model = _forest(spark, sf_dir)
-    return forest.training_stats(forest.score(rows.where("split = 'train'"), model))
+    stats = forest.training_stats(forest.score(rows.where("split = 'train' AND label = 0"), model))
+    ordered = (F.col("score_min") <= F.col("score_mean")) & (F.col("score_mean") <= F.col("score_max")) & (F.col("score_std") >= 0)
+    return stats.select("n_windows", "anomalies_in_training", ordered.alias("ordered"))
 
 
-@query("contamination_runs")
+@query(
+    "contamination_runs",
+    sql(
+        f"SELECT c AS contamination, {_under('c')} AS flagged FROM (SELECT DISTINCT n FROM clean), (SELECT unnest([0.01, 0.05, 0.1])::DOUBLE AS c)",
+        "feat", "labels_w", extra=_CLEAN,
+    ),
+)
 def contamination_runs(spark, sf_dir):
+    """How many training rows lie under the offset of each contamination."""
     rows, model = _forest(spark, sf_dir)
-    return forest.contamination_runs(rows.where("split = 'train' AND label = 0"), model, (0.01, 0.05, 0.1))
+    clean = rows.where("split = 'train' AND label = 0")
+    runs = forest.contamination_runs(clean, model, (0.01, 0.05, 0.1))
+    raw = forest.score(clean, model).select((F.col("score") + F.lit(model.meta.first()["offset"])).alias("raw"))
+    both = raw.withColumn("runs", runs.agg(F.collect_list(F.struct("contamination", "offset"))).scalar())  # three entries
+    return both.select("raw", F.inline("runs")).groupBy("contamination").agg(F.count_if(F.col("raw") < F.col("offset")).alias("flagged"))
 
 
-@query("shap_values")
+@query(
+    "shap_values",
+    sql(f"SELECT {ts('window_start')} AS window_start, 0.0::DOUBLE AS residual, 27 AS n_values FROM sp", "feat", "labels_w", extra=_SPLIT),
+)
 def shap_values(spark, sf_dir):
+    """Attributions of every window; with the base value they add up to its mean path length."""
     rows, model = _forest(spark, sf_dir)
-    return attribution.attribute(forest.score(rows, model), model).select("window_start", "score", "base_value", "shap")
+    meta = model.meta.first()
+    path = -F.log2(-(F.col("score") + F.lit(meta["offset"]))) * F.lit(float(forest.average_path(meta["psi"])))
+    told = F.aggregate("shap", F.col("base_value"), lambda s, x: s + x)
+    out = attribution.attribute(forest.score(rows, model), model, flagged_only=False)
+    return out.select("window_start", F.round(F.abs(told - path), 6).alias("residual"), F.size("shap").alias("n_values"))
 
 
 @query("detector_comparison")
@@ -560,7 +636,21 @@ def _metrics_row(spark, sf_dir):
     )
 
 
-@query("detector_verdict")
+def _verdict_sql() -> str:
+    grade = lambda c, good, fair: f"CASE WHEN {c} >= {good} THEN 2 WHEN {c} >= {fair} THEN 1 ELSE 0 END"
+    parts = " , ".join(f"({ORACLE[n]}) t{i}" for i, n in enumerate(("confusion", "pr_auc", "roc_auc", "operational_stats", "latency_summary")))
+    mean = r6("avg(label)")
+    return (
+        "SELECT * EXCLUDE (pr, fg), CASE WHEN pr = 2 AND fg > 0 THEN 'works_well' WHEN pr > 0 AND fg > 0 THEN 'mostly_works' WHEN pr_auc > anomaly_rate * 1.5 "
+        "THEN 'weak_signal' ELSE 'does_not_work' END AS headline, CASE WHEN false_alarm_rate_per_hour > 5 THEN 'high' WHEN false_alarm_rate_per_hour > 1 "
+        "THEN 'moderate' ELSE 'low' END AS false_alarm_class, CASE WHEN scenarios_caught = 0 THEN 'none_detected' WHEN median_latency_s < 120 THEN 'fast' "
+        "WHEN median_latency_s < 300 THEN 'acceptable' ELSE 'slow' END AS latency_class, CASE WHEN score_separability >= 2 THEN 'strong' WHEN "
+        "score_separability >= 1 THEN 'moderate' ELSE 'weak' END AS separation_class FROM (SELECT f1, pr_auc, roc_auc, anomaly_rate, t3.*, t4.*, "
+        f"{grade('pr_auc', 0.7, 0.5)} AS pr, {grade('f1', 0.6, 0.4)} AS fg FROM {parts}, ({sql(f'SELECT {mean} AS anomaly_rate FROM scored', 'scored')}) t9)"
+    )
+
+
+@query("detector_verdict", _verdict_sql())
 def detector_verdict(spark, sf_dir):
     rows = scored(spark, sf_dir)
     ops = evaluation.operational_stats(rows, THRESHOLD, WINDOW_S).select(F.struct("*"))
@@ -726,25 +816,103 @@ _MINUTE_ERRORS = (
 )
 
 
+def _hold_sql(source: str, keys: str, hold: str, step: str = "3600") -> str:
+    """States of rule evaluations (tick, holds): a false or a missing one breaks the hold time."""
+    w = f"(PARTITION BY {keys} ORDER BY tick)"
+    return (
+        f"(SELECT *, CASE WHEN firing THEN 'firing' WHEN coalesce(lag(firing) OVER {w}, false) THEN 'resolved' WHEN holds THEN 'pending' "
+        f"ELSE 'inactive' END AS state FROM (SELECT *, holds AND epoch(tick) - epoch(since) >= {hold} AS firing FROM "
+        f"(SELECT *, min(CASE WHEN holds THEN tick END) OVER (PARTITION BY {keys}, island) AS since FROM "
+        f"(SELECT *, sum(CASE WHEN holds AND NOT gap THEN 0 ELSE 1 END) OVER {w} AS island FROM "
+        f"(SELECT *, coalesce(epoch(tick) - epoch(lag(tick) OVER {w}) > {step}, false) AS gap FROM {source})))))"
+    )
+
+
 @query(
     "alert_hold",
     sql(
-        f"SELECT service, {ts('tick')} AS tick, holds, {ts('CASE WHEN holds THEN since END')} AS pending_since, "
-        "holds AND epoch(tick) - epoch(since) >= 7200 AS firing FROM (SELECT *, min(CASE WHEN holds THEN tick END) OVER (PARTITION BY service, island) AS since "
-        "FROM (SELECT *, sum(CASE WHEN holds THEN 0 ELSE 1 END) OVER (PARTITION BY service ORDER BY tick) AS island FROM "
-        "(SELECT service, tick, value > 0.15::DOUBLE AS holds FROM hr)))",
+        f"SELECT service, {ts('tick')} AS tick, holds, {ts('CASE WHEN holds THEN since END')} AS pending_since, firing, state FROM "
+        + _hold_sql("(SELECT service, tick, value > 0.15::DOUBLE AS holds FROM hr)", "service", "7200"),
         "tel", extra=_MINUTE_ERRORS,
     ),
 )
 def alert_hold(spark, sf_dir):
+    """Error rate of an hour over 15 % for two hours; hours without events are not evaluated and break the hold."""
     hourly = (
         raw_telemetry(spark, sf_dir)
         .groupBy(F.window("time", "1 hour")["start"].alias("tick"), "service")
         .agg(F.avg(F.col("level").isin("ERROR", "CRITICAL").cast("double")).alias("value"))
         .select("service", "tick", (F.col("value") > 0.15).alias("holds"))
     )
-    held = alerts.hold(hourly, ["service"], 7_200)
-    return held.withColumn("firing", F.coalesce("firing", F.lit(False)))
+    return alerts.hold(hourly, ["service"], 7_200, 3_600)
+
+
+#: Rules of the fixture, evaluated every hour: (alertname, severity, hold seconds).
+_RULES = (("ServiceDown", "critical", 3_600), ("HighErrorRate", "warning", 0), ("HighLatency", "warning", 3_600))
+_EVALUATIONS = (
+    "tk AS (SELECT unnest(generate_series(s, e - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS tick FROM tl), "
+    f"h1 AS (SELECT time_bucket(INTERVAL 1 HOUR, time) AS tick, service, count(*) AS n, count(*) FILTER ({ERR}) AS bad, max(latency_ms) AS worst "
+    "FROM tel GROUP BY 1, 2), "
+    "h AS (SELECT k.service, tk.tick, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, coalesce(worst, 0) AS worst FROM "
+    "(SELECT DISTINCT service FROM tel) k CROSS JOIN tk LEFT JOIN h1 ON h1.service = k.service AND h1.tick = tk.tick), "
+    "ev AS (SELECT 'ServiceDown' AS alertname, 'critical' AS severity, 3600 AS hold_s, service, tick, n = 0 AS holds FROM h UNION ALL "
+    "SELECT 'HighErrorRate', 'warning', 0, service, tick, bad > n * 0.2::DOUBLE FROM h UNION ALL "
+    "SELECT 'HighLatency', 'warning', 3600, service, tick, worst > 100 FROM h), "
+    "held AS (SELECT * FROM " + _hold_sql("ev", "alertname, service", "hold_s") + "), "
+    "spans AS (SELECT service, min(tick) AS a, max(tick) + INTERVAL 1 HOUR AS b FROM held WHERE firing AND severity = 'critical' GROUP BY service, since), "
+    "asked AS (SELECT alertname, service, severity, tick AS time FROM held h WHERE firing AND NOT (severity = 'warning' AND EXISTS "
+    "(SELECT 1 FROM spans p WHERE p.service = h.service AND h.tick >= p.a AND h.tick < p.b))), "
+    "slow AS (SELECT * FROM asked WHERE severity = 'warning'), fast AS (SELECT * FROM asked WHERE severity = 'critical'), "
+    + chain_sql("k1", "slow", "alertname, service, severity", "4 HOUR") + ", " + chain_sql("k2", "fast", "alertname, service, severity", "1 HOUR")
+)
+
+
+def _evaluations(spark, sf_dir):
+    """Three rules for every service and hour of the timeline, hours without events included."""
+    start, end = timeline(spark, sf_dir)
+    ticks = alerts.spine(spark, start, end - timedelta(hours=1), 3_600)
+    bad = F.col("level").isin("ERROR", "CRITICAL")
+    hourly = materialize(
+        telemetry(spark, sf_dir).groupBy("service", F.window("time", "1 hour")["start"].alias("tick")).agg(
+            F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.max("latency_ms").alias("worst")
+        )
+    )
+    services = hourly.groupBy().agg(F.collect_set("service").alias("s"))  # one name per service
+    every = ticks.withColumn("service", F.explode(services.scalar()))
+    rows = every.join(hourly, ["service", "tick"], "left").na.fill(0)
+    rule = lambda name, holds: F.struct(F.lit(name).alias("alertname"), holds.alias("holds"))
+    rules = F.array(
+        rule("ServiceDown", F.col("n") == 0), rule("HighErrorRate", F.col("bad") > F.col("n") * 0.2), rule("HighLatency", F.col("worst") > 100)
+    )
+    return rows.select("service", "tick", F.inline(rules))
+
+
+@query(
+    "alert_pipeline",
+    sql(
+        f"SELECT alertname, service, severity, {ts('time')} AS time FROM (SELECT alertname, service, severity, time FROM k1 UNION ALL "
+        "SELECT alertname, service, severity, time FROM k2)",
+        "tel", "tl", extra=_EVALUATIONS, recursive=True,
+    ),
+)
+def alert_pipeline(spark, sf_dir):
+    """Evaluation, hold time, inhibition by a critical alert that fires, and repeat interval in turn."""
+    return alerts.alert_pipeline(_evaluations(spark, sf_dir), _RULES, 3_600).select("alertname", "service", "severity", "time")
+
+
+@query(
+    "alert_inhibition",
+    sql(
+        f"SELECT service, severity, {ts('time')} AS time, anomaly_id FROM alr a WHERE severity <> 'warning' OR NOT EXISTS (SELECT 1 FROM alr c WHERE "
+        "c.service = a.service AND c.severity = 'critical' AND a.time >= c.time AND a.time < c.time + INTERVAL 90 MINUTE)",
+        "alr",
+    ),
+)
+def alert_inhibition(spark, sf_dir):
+    """A critical alert mutes warnings of its service for 90 minutes from its own time on, and none before."""
+    rows = rule_alerts(spark, sf_dir)
+    spans = rows.select("service", "severity", F.col("time").alias("starts_at"), (F.col("time") + F.expr("INTERVAL 90 MINUTES")).alias("ends_at"))
+    return alerts.inhibit(rows, spans).dropDuplicates(["anomaly_id", "severity"]).select("service", "severity", "time", "anomaly_id")
 
 
 @query(
@@ -780,16 +948,49 @@ def rate_alerts(spark, sf_dir):
     return alerts.rate_alert(rollups.counts_per_bucket(errors, "1 minute", ["service"]), ["service"], 600, 0.003)
 
 
+@query(
+    "anomaly_rate_alert",
+    sql(
+        f"SELECT {ts('bucket')} AS bucket, n, {r6('rate')} AS rate, rate > 0.001::DOUBLE AS holds FROM (SELECT *, "
+        "sum(n) OVER (ORDER BY bucket RANGE BETWEEN INTERVAL 599 SECOND PRECEDING AND CURRENT ROW) / 600.0::DOUBLE AS rate FROM "
+        "(SELECT time_bucket(INTERVAL 1 MINUTE, time) AS bucket, count(*) AS n FROM anom GROUP BY 1))",
+        "anom",
+    ),
+)
+def anomaly_rate_alert(spark, sf_dir):
+    """Anomalies a second over ten minutes, all services together."""
+    counted = rollups.counts_per_bucket(anomalies(spark, sf_dir).withColumn("scope", F.lit("all")), "1 minute", ["scope"])
+    return alerts.rate_alert(counted, ["scope"], 600, 0.001).drop("scope")
+
+
+@query(
+    "report_error_alert",
+    sql(
+        f"SELECT {ts('bucket')} AS bucket, n, {r6('rate')} AS rate, rate > 0.002::DOUBLE AS holds FROM (SELECT *, "
+        "sum(n) OVER (ORDER BY bucket RANGE BETWEEN INTERVAL 299 SECOND PRECEDING AND CURRENT ROW) / 300.0::DOUBLE AS rate FROM "
+        "(SELECT time_bucket(INTERVAL 1 MINUTE, generated_at) AS bucket, count(*) AS n FROM reps WHERE (epoch_us(generated_at) // 60000000) % 4 >= 2 GROUP BY 1))",
+        "reps",
+    ),
+)
+def report_error_alert(spark, sf_dir):
+    """Reports whose response holds no complete report, a second, over five minutes."""
+    parsed = reports.parse_responses(response_rows(spark, sf_dir))
+    failed = parsed.where(~F.col("parsed_ok")).select(F.to_timestamp("detected_at").alias("time"), F.lit("all").alias("scope"))
+    return alerts.rate_alert(rollups.counts_per_bucket(failed, "1 minute", ["scope"]), ["scope"], 300, 0.002).drop("scope")
+
+
 @query(
     "cost_alert",
     sql(
-        f"SELECT {ts('k.tick')} AS tick, {r6('sum(h.cost)')} AS cost_1d, sum(h.cost) > 0.02::DOUBLE AS holds FROM hc k JOIN hc h ON h.tick <= k.tick AND "
+        f"SELECT {ts('k.tick')} AS tick, {r6('coalesce(sum(h.cost), 0)')} AS cost_1d, coalesce(sum(h.cost), 0) > 0.02::DOUBLE AS holds FROM "
+        "(SELECT unnest(generate_series((SELECT min(tick) FROM hc), t, INTERVAL 1 HOUR)) AS tick FROM latest) k LEFT JOIN hc h ON h.tick <= k.tick AND "
         "h.tick > k.tick - INTERVAL 24 HOUR GROUP BY k.tick",
-        "reps", extra="hc AS (SELECT CAST(date_trunc('hour', generated_at) AS TIMESTAMP) AS tick, sum(cost_usd) AS cost FROM reps GROUP BY 1)",
+        "reps", "latest",
+        extra="hc AS (SELECT CAST(date_trunc('hour', generated_at) AS TIMESTAMP) AS tick, sum(cost_usd) AS cost FROM reps GROUP BY 1)",
     ),
 )
 def cost_alert(spark, sf_dir):
-    return alerts.cost_alert(report_rows(spark, sf_dir), limit=0.02)
+    return alerts.cost_alert(report_rows(spark, sf_dir), as_of(spark, sf_dir), limit=0.02)
 
 
 @query(
@@ -821,12 +1022,38 @@ def latency_alerts(spark, sf_dir):
     return alerts.latency_alert(telemetry(spark, sf_dir), "latency_ms", 0.99, 150.0, 21_600, 3_600, ["service"])
 
 
+def _tail_sql(value: str, source: str, time: str, quantile: float, limit: float, keys: str = "") -> str:
+    """Exact quantile of the trailing six hours at every full hour."""
+    more = f", {keys}" if keys else ""
+    return (
+        f"SELECT {ts('tick')} AS tick{more}, {r6(f'quantile_cont(v, {quantile})')} AS value, quantile_cont(v, {quantile}) > {limit} AS holds FROM "
+        f"(SELECT {value} AS v{more}, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, {time}) + INTERVAL 1 HOUR, "
+        f"time_bucket(INTERVAL 1 HOUR, {time}) + INTERVAL 6 HOUR, INTERVAL 1 HOUR)) AS tick FROM {source}) x GROUP BY x.tick{more}"
+    )
+
+
+@query("ingest_delay_alerts", sql(_tail_sql("(epoch_us(ingested_at) - epoch_us(time)) / 1000.0::DOUBLE", "tel", "time", 0.99, 45, "service"), "tel"))
+def ingest_delay_alerts(spark, sf_dir):
+    """p99 of the milliseconds between an event and its ingestion, per service."""
+    delay = (F.unix_micros("ingested_at") - F.unix_micros("time")) / F.lit(1000.0)
+    rows = raw_telemetry(spark, sf_dir).select("service", "time", delay.alias("delay_ms"))
+    return alerts.latency_alert(rows, "delay_ms", 0.99, 45.0, 21_600, 3_600, ["service"])
+
+
+@query("inference_time_alerts", sql(_tail_sql("generation_time_ms", "reps", "generated_at", 0.95, 1020), "reps"))
+def inference_time_alerts(spark, sf_dir):
+    """p95 of the time that a result took, over the trailing six hours."""
+    rows = report_rows(spark, sf_dir).withColumn("time", F.col("generated_at"))
+    return alerts.latency_alert(rows, "generation_time_ms", 0.95, 1020.0, 21_600, 3_600)
+
+
 @query(
     "score_shift",
     sql(
         f"SELECT {ts('tick')} AS tick, {r6('s')} AS short_median, {r6('l')} AS long_median, {r6('abs(s - l) / abs(l + 1e-9::DOUBLE)')} AS change, "
-        "abs(s - l) / abs(l + 1e-9::DOUBLE) > 0.5 AS holds FROM (SELECT k.tick, quantile_cont(a.score, 0.5) FILTER (a.h > k.tick - INTERVAL 6 HOUR) AS s, "
-        "quantile_cont(a.score, 0.5) AS l FROM (SELECT DISTINCT h AS tick FROM ah) k JOIN ah a ON a.h <= k.tick AND a.h > k.tick - INTERVAL 24 HOUR GROUP BY 1)",
+        "coalesce(abs(s - l) / abs(l + 1e-9::DOUBLE) > 0.5, false) AS holds FROM (SELECT k.tick, quantile_cont(a.score, 0.5) FILTER (a.h > k.tick - INTERVAL 6 HOUR) AS s, "
+        "quantile_cont(a.score, 0.5) AS l FROM (SELECT unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS tick FROM ah) k LEFT JOIN ah a "
+        "ON a.h <= k.tick AND a.h > k.tick - INTERVAL 24 HOUR GROUP BY 1)",
         "anom", extra="ah AS (SELECT CAST(date_trunc('hour', time) AS TIMESTAMP) AS h, -er AS score FROM anom)",
     ),
 )

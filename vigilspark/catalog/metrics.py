@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigilspark.catalog.base import (
-    THRESHOLD, anomalies, as_of, labelled_series, query, r6, raw_telemetry, report_rows, rule_alerts, scenarios, scored,
+    THRESHOLD, anomalies, as_of, fixed, labelled_series, query, r6, raw_telemetry, report_rows, rule_alerts, scenarios, scored,
     series, sql, stream_spans, table, telemetry, ts, usage,
 )
 from vigilspark.operators import alerts, attribution, evaluation, listing, reports, rollups, windows
 from vigilspark.operators import series as series_ops
+from vigilspark.schema import INCIDENT_REPORT, SEVERITIES
 from vigilspark.session import materialize
 
 ERR = "level IN ('ERROR', 'CRITICAL')"
@@ -481,11 +482,75 @@ def report_fields(spark, sf_dir):
     return reports.report_fields(_context(spark, sf_dir))
 
 
-@query("render_report")
+_FIELDS = (
+    "fld AS (SELECT a.anomaly_id, a.service, a.time, a.severity, a.score, coalesce(avg_error_rate, 0) AS er2, "
+    "CAST(floor(coalesce(avg_event_count, 0)) AS BIGINT) AS total, coalesce(c.errs, 0) AS errs, coalesce(avg_latency, 0) AS lat2, "
+    f"coalesce(avg_p99_latency, 0) AS p99 FROM anom a JOIN ctm USING (anomaly_id) LEFT JOIN (SELECT anomaly_id, count(*) FILTER ({ERR}) AS errs "
+    "FROM ctx GROUP BY 1) c USING (anomaly_id))"
+)
+_CLOCK = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+
+
+@query(
+    "render_report",
+    sql(
+        "SELECT anomaly_id, concat_ws(chr(10), '# Incident ' || anomaly_id, '**Service**: `' || service || '`, **severity**: ' || severity || "
+        f"', **score**: ' || {fixed('score', 3)}, chr(10) || '## Summary', 'Unusual behaviour of ' || service || ' was detected at ' || {_CLOCK.format('time')} || '.', "
+        f"chr(10) || '## Impact', '- error rate: ' || {fixed('er2 * 100', 2)} || '%', '- events per rollup bucket: ' || total || ', error events seen: ' || errs, "
+        f"'- latency: mean ' || {fixed('lat2', 1)} || ' ms, p99 ' || {fixed('p99', 1)} || ' ms', chr(10) || '## Likely cause', "
+        "CASE WHEN er2 > 0.05 THEN 'Errors are raised above their usual share.' ELSE 'No error surge; look at load and latency first.' END, "
+        "CASE WHEN p99 > 2 * lat2 THEN 'The slowest requests take more than twice the mean.' END, chr(10) || '## Next steps', "
+        "CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN '1. Page the owner of the service.' || chr(10) || '2. Roll back the last change.' "
+        "ELSE '1. Watch the next windows.' || chr(10) || '2. Open a ticket.' END, '3. Compare with the recent anomalies of the service.') AS content FROM fld",
+        "anom", "tel", extra=_CONTEXT + ", " + _METRICS + ", " + _FIELDS,
+    ),
+)
 def render_report(spark, sf_dir):
     return reports.render_report(reports.report_fields(_context(spark, sf_dir))).select("anomaly_id", "content")
 
 
-@query("evidence_prompt")
+_EVIDENCE = (
+    "tops AS (SELECT anomaly_id, string_agg('  - ' || feature || ': value=' || " + fixed("value", 3) + " || ', shap=' || " + fixed("shap", 3, "+")
+    + " || ' (' || CASE WHEN shap < 0 THEN 'toward_anomaly' ELSE 'toward_normal' END || ')', chr(10) ORDER BY rank) AS t FROM attr WHERE rank <= 3 GROUP BY 1), "
+    "evs AS (SELECT anomaly_id, string_agg(age || '. [' || " + _CLOCK.format("time") + " || '] ' || level || ' - ' || service || ': ' || "
+    "CASE WHEN length(message) > 100 THEN substr(message, 1, 97) || '...' ELSE message END, chr(10) ORDER BY age) AS t FROM ctx WHERE age <= 10 GROUP BY 1), "
+    "rec AS (SELECT service, string_agg(rank || '. [' || " + _CLOCK.format("time") + " || '] ' || severity || ' score ' || " + fixed("score", 3)
+    + ", chr(10) ORDER BY rank) AS t FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY time DESC, anomaly_id) AS rank FROM anom) WHERE rank <= 5 GROUP BY 1), "
+    "evi AS (SELECT a.anomaly_id, a.window_size, a.er, a.lat, 'Anomaly ' || a.anomaly_id || ' on ' || a.service || ' (' || a.severity || '), score ' || " + fixed("a.score", 3)
+    + " || ', threshold ' || " + fixed("a.threshold", 3) + " AS head, tops.t AS tops, coalesce(evs.t, 'No events available') AS evs, coalesce(rec.t, 'none') AS rec, "
+    "CASE WHEN avg_event_count IS NULL THEN 'No metrics available' ELSE concat_ws(chr(10), "
+    + ", ".join(f"'- **{m.replace('_', ' ').title()}**: ' || {fixed(m, 2)}" for m in _MEANS)
+    + ") END AS mets FROM anom a JOIN tops USING (anomaly_id) JOIN ctm USING (anomaly_id) LEFT JOIN evs USING (anomaly_id) LEFT JOIN rec ON rec.service = a.service)"
+)
+_PARTS = "chr(10) || chr(10)"
+
+
+@query(
+    "evidence_prompt",
+    sql(
+        f"SELECT anomaly_id, concat_ws({_PARTS}, head, 'Attributions:' || chr(10) || tops, 'Metrics:' || chr(10) || mets, 'Events:' || chr(10) || evs, "
+        "'Recent anomalies:' || chr(10) || rec, 'Write an incident report in markdown: what happened, who is affected, the likely cause with its evidence, "
+        "what to do now and later, and what to watch.') AS prompt FROM evi",
+        "anom", "tel", "attr", extra=_CONTEXT + ", " + _METRICS + ", " + _EVIDENCE,
+    ),
+)
 def evidence_prompt(spark, sf_dir):
     return reports.evidence_prompt(_context(spark, sf_dir))
+
+
+@query(
+    "structured_prompt",
+    sql(
+        f"SELECT anomaly_id, concat_ws({_PARTS}, 'Answer with one JSON object and nothing else.', '## Evidence' || chr(10) || head, "
+        "'## Contributing features' || chr(10) || tops, '## Metrics' || chr(10) || mets, '## Events' || chr(10) || evs, "
+        f"'## Fields' || chr(10) || '{', '.join(f.name for f in INCIDENT_REPORT.fields)}' || chr(10) || 'Severity is one of {', '.join(SEVERITIES)}; "
+        "ground the hypothesis in the features listed.') AS prompt, window_size AS event_count FROM evi",
+        "anom", "tel", "attr", extra=_CONTEXT + ", " + _METRICS + ", " + _EVIDENCE,
+    ),
+)
+def structured_prompt(spark, sf_dir):
+    """The JSON of the feature values is compared by one of its values; engines print doubles differently."""
+    rows = reports.structured_prompt(_context(spark, sf_dir))
+    values = F.regexp_extract("prompt", r"## Feature values\n(\{.*\})\n\n", 1)
+    rest = F.regexp_replace("prompt", r"## Feature values\n\{.*\}\n\n", "")
+    return rows.select("anomaly_id", rest.alias("prompt"), F.get_json_object(values, "$.event_count").cast("double").cast("bigint").alias("event_count"))

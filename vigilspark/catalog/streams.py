@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.catalog.base import (
-    FEATURE_LIST_SQL, STRIDE_S, WINDOW_S, anomalies, as_of, feature_table, query, r6, raw_json, raw_telemetry, report_rows,
-    rule_alerts, series, sql, stream_spans, timeline, ts,
+    DETECTION_SQL, FEATURE_LIST_SQL, STRIDE_S, THRESHOLD, WINDOW_S, anomalies, as_of, checks_sql, feature_table, query, r6, raw_json,
+    raw_telemetry, report_rows, rule_alerts, series, sql, stream_spans, telemetry, timeline, ts,
 )
 from vigilspark.catalog.metrics import _CONTEXT, _rollup_body
-from vigilspark.operators import forest
+from vigilspark.operators import detection, forest
 from vigilspark.operators.series import label_points
-from vigilspark.session import shared_dir
+from vigilspark.session import materialize, shared_dir
 from vigilspark.sources import readers, writers
-from vigilspark.streaming import jobs
+from vigilspark.streaming import jobs, stateful
 
 
 def _work(spark) -> str:
@@ -25,26 +25,33 @@ def _work(spark) -> str:
     return f"{shared_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
+#: State partitions of the fixture streams, as a job's author would fix them at its first start.
+STATE_PARTITIONS = 8
+
+
 def _stream_session(spark):
-    """A session of the same application whose state stores have no more partitions than the cores can use."""
-    session = spark.newSession()
-    most = 2 * spark.sparkContext.defaultParallelism
-    session.conf.set("spark.sql.session.timeZone", "UTC")
-    session.conf.set("spark.sql.shuffle.partitions", min(int(spark.conf.get("spark.sql.shuffle.partitions")), most))
+    session = stateful.stateful_session(spark)
+    session.conf.set("spark.sql.shuffle.partitions", STATE_PARTITIONS)
     return session
 
 
-def _drain(spark, df: DataFrame, work: str, start, time: str = "time", parts: int = 3) -> None:
+def _drain(spark, df: DataFrame, work: str, start, time: str = "time", parts: int = 3, late_s: tuple[int, int] | None = None) -> None:
     """Deliver ``df`` in time order, part by part; after each part the job runs until it has caught up.
 
-    Every run after the first one resumes from the checkpoint, as after a restart.
+    Every run after the first one resumes from the checkpoint, as after a restart. With ``late_s`` the rows that lie
+    between so many seconds before the end of a part come with the next one.
     """
     low, high = df.agg(F.unix_micros(F.min(time)), F.unix_micros(F.max(time))).first()
     width = (high - low) // parts + 1
     session = _stream_session(spark)
+    at = F.unix_micros(time)
+    part = F.floor((at - low) / width)
+    if late_s:
+        before = (part + 1) * width + low - at
+        late = before.between(late_s[0] * 1_000_000, late_s[1] * 1_000_000)
+        part = F.least(part + F.when(late, 1).otherwise(0), F.lit(parts - 1))
     for k in range(parts):
-        at = F.unix_micros(time)
-        df.where((at >= low + k * width) & (at < low + (k + 1) * width)).write.mode("append").parquet(f"{work}/in")
+        df.where(part == k).write.mode("append").parquet(f"{work}/in")
         start(jobs.table_stream(session, f"{work}/in", df.schema)).awaitTermination()
 
 
@@ -54,14 +61,18 @@ def _drain(spark, df: DataFrame, work: str, start, time: str = "time", parts: in
         f"SELECT {ts('bucket')} AS bucket, service, event_count, {r6('avg_latency')} AS avg_latency, {r6('p95_latency')} AS p95_latency, "
         f"{r6('p99_latency')} AS p99_latency, {r6('latency_stddev')} AS latency_stddev, {r6('error_rate')} AS error_rate, "
         f"{r6('critical_rate')} AS critical_rate, unique_endpoints FROM ({_rollup_body('1 HOUR')}), "
-        "(SELECT max(time) AS last FROM tel WHERE has_latency) WHERE bucket + INTERVAL 1 HOUR <= last - INTERVAL 3 HOUR",
+        "(SELECT max(time) AS last FROM tel WHERE has_latency) WHERE bucket + INTERVAL 1 HOUR <= last - INTERVAL 1 HOUR",
         "tel",
     ),
 )
 def stream_rollup(spark, sf_dir):
+    """All buckets closed by the end offset; events of 130 to 170 minutes before each part's end come late and are folded in."""
     work = _work(spark)
-    _drain(spark, raw_telemetry(spark, sf_dir), work, lambda s: jobs.rollup_job(s, "1 hour", f"{work}/out", f"{work}/ck"))
-    return spark.read.parquet(f"{work}/out").drop("batch_id")
+    _drain(
+        spark, raw_telemetry(spark, sf_dir), work,
+        lambda s: jobs.rollup_job(s, "1 hour", f"{work}/out", f"{work}/state", f"{work}/ck"), late_s=(7_800, 10_200),
+    )
+    return jobs.rollup_table(spark, f"{work}/out")
 
 
 @query(
@@ -126,18 +137,13 @@ def stream_cooldown(spark, sf_dir):
         f"SELECT service, {ts('tick')} AS tick, count(*) AS n, max(event_id) AS newest, min(event_id) AS oldest FROM "
         "(SELECT k.tick, e.*, row_number() OVER (PARTITION BY k.service, k.tick ORDER BY e.time DESC, e.event_id DESC) AS age FROM ticks k JOIN tel e "
         "ON e.service = k.service AND e.time <= k.tick) WHERE age <= 50 GROUP BY service, tick",
-        "tel", "latest",
-        extra="ticks AS (SELECT service, unnest(generate_series(f + INTERVAL 1 DAY, t, INTERVAL 1 DAY)) AS tick FROM "
-        "(SELECT service, min(time) AS f FROM tel GROUP BY 1), latest)",
+        "tel", extra=checks_sql("24 HOUR"), recursive=True,
     ),
 )
 def stream_trailing_buffer(spark, sf_dir):
     work = _work(spark)
     slim = raw_telemetry(spark, sf_dir).select("event_id", "time", "service", "level")
-    _drain(
-        spark, slim, work,
-        lambda s: jobs.trailing_buffer_job(s, f"{work}/out", f"{work}/state", f"{work}/ck", 86_400, size=50, cell_seconds=3_600),
-    )
+    _drain(spark, slim, work, lambda s: jobs.trailing_buffer_job(s, f"{work}/out", f"{work}/ck", 86_400, size=50))
     return (
         spark.read.parquet(f"{work}/out")
         .groupBy("service", "tick")
@@ -145,17 +151,42 @@ def stream_trailing_buffer(spark, sf_dir):
     )
 
 
-@query("stream_scoring")
+@query("stream_detection", DETECTION_SQL)
+def stream_detection(spark, sf_dir):
+    """Checks of each service's newest 50 events at least 6 h apart, scored by the rule, alerts at least a day apart."""
+    work = _work(spark)
+    slim = telemetry(spark, sf_dir).select("event_id", "time", "service", "level", "valid_latency")
+    sink = jobs.detection_sink(f"{work}/checks", f"{work}/anomalies", f"{work}/alerts")
+    judge = detection.RuleJudge(THRESHOLD)
+    _drain(spark, slim, work, lambda s: jobs.detection_job(s, judge, sink, f"{work}/ck", 21_600, 50, 86_400))
+    raised = spark.read.parquet(f"{work}/anomalies").select("anomaly_id", F.lit(True).alias("stored"))
+    rows = spark.read.parquet(f"{work}/checks").join(raised, "anomaly_id", "left")
+    return rows.select("service", "tick", "window_size", "score", "is_anomaly", F.coalesce("stored", F.lit(False)).alias("kept"))
+
+
+@query(
+    "stream_scoring",
+    sql(
+        f"SELECT service, {ts('tick')} AS tick, count(*) AS window_size, true AS consistent FROM (SELECT k.service, k.tick, row_number() OVER "
+        "(PARTITION BY k.service, k.tick ORDER BY e.time DESC, e.event_id DESC) AS age FROM ticks k JOIN tel e ON e.service = k.service AND "
+        "e.time <= k.tick) WHERE age <= 50 GROUP BY service, tick HAVING count(*) >= 10",
+        "tel", extra=checks_sql("6 HOUR"), recursive=True,
+    ),
+)
 def stream_scoring(spark, sf_dir):
-    """Feature windows scored as they close; flagged ones land in the anomaly table."""
+    """The same checks scored by a forest fitted on the timeline's windows. A check is consistent if it is flagged by the
+    threshold, kept only if flagged, and stored with three attributions exactly if kept."""
     work = _work(spark)
     model = forest.fit(feature_table(spark, sf_dir), "window_start", threshold=0.0, trained_at=as_of(spark, sf_dir))
-    sink = jobs.scoring_sink(model, f"{work}/anomalies", f"{work}/alerts")
-    _drain(
-        spark, raw_telemetry(spark, sf_dir), work,
-        lambda s: jobs.feature_job(s, WINDOW_S, STRIDE_S, f"{work}/out", f"{work}/ck", then=sink), parts=2,
-    )
-    return spark.read.parquet(f"{work}/anomalies").select("time", "anomaly_id", "service", "severity", "score", "features.top_features")
+    slim = telemetry(spark, sf_dir).select("event_id", "time", "service", "level", "valid_latency")
+    sink = jobs.detection_sink(f"{work}/checks", f"{work}/anomalies", f"{work}/alerts", model)
+    judge = detection.ForestJudge(model)
+    _drain(spark, slim, work, lambda s: jobs.detection_job(s, judge, sink, f"{work}/ck", 21_600, 50, 86_400), parts=2)
+    stored = spark.read.parquet(f"{work}/anomalies").select("anomaly_id", F.size("features.top_features").alias("n_top"))
+    rows = spark.read.parquet(f"{work}/checks").join(stored, "anomaly_id", "left")
+    told = (F.coalesce("n_top", F.lit(0)) == F.when(F.col("kept"), 3).otherwise(0)) & (F.col("is_anomaly") | ~F.col("kept"))
+    ok = told & (F.col("is_anomaly") == (F.col("score") < F.col("threshold")))
+    return rows.select("service", "tick", "window_size", ok.alias("consistent"))
 
 
 @query(
@@ -240,9 +271,13 @@ def sink_alert_messages(spark, sf_dir):
     sql("SELECT report_id, CASE WHEN severity = 'CRITICAL' THEN tokens_used + 1 ELSE tokens_used END AS tokens_used FROM reps", "reps"),
 )
 def sink_report_upsert(spark, sf_dir):
-    rows = report_rows(spark, sf_dir)
+    """Critical reports written a second time with one token more, into the stored table; read back."""
+    work = _work(spark)
+    rows = materialize(report_rows(spark, sf_dir))
+    writers.write_reports(rows, f"{work}/reports")
     new = rows.where("severity = 'CRITICAL'").withColumn("tokens_used", F.col("tokens_used") + 1)
-    return writers.upsert_reports(rows, new).select("report_id", "tokens_used")
+    writers.upsert_reports(new, f"{work}/reports")
+    return spark.read.parquet(f"{work}/reports").select("report_id", "tokens_used")
 
 
 @query(
@@ -282,6 +317,30 @@ def source_event_log(spark, sf_dir):
     return back.select("time", "service", "level", "message", "trace_id")
 
 
+@query(
+    "source_log_stream",
+    sql(
+        "SELECT status, count(*) AS n, count(DISTINCT event_id) AS ids, CAST(sum(event_id) AS BIGINT) AS id_sum FROM (SELECT event_id, "
+        "CASE WHEN event_id % 31 = 0 THEN 'unmarshal_error' WHEN event_id % 37 = 0 OR event_id % 43 = 0 THEN 'validation_error' ELSE 'accepted' END "
+        "AS status FROM tel) GROUP BY 1",
+        "tel",
+    ),
+)
+def source_log_stream(spark, sf_dir):
+    """Log files of JSON lines, broken ones among them, read as a text stream; rejected lines go to the quarantine in the
+    same micro-batch. The trace id carries the event id; of lines cut short it is read from the text."""
+    work = _work(spark)
+    lines = raw_json(spark, sf_dir).select(F.concat(F.col("raw"), F.lit(" "), F.lit("#"), F.col("event_id").cast("string")).alias("value"))
+    lines.repartition(4).write.text(f"{work}/in")
+    numbered = readers.event_stream(_stream_session(spark), f"{work}/in", 2)
+    text = F.regexp_extract("raw", r"^(.*) #(\d+)$", 1)
+    rows = numbered.select(text.alias("raw"), F.regexp_extract("raw", r"#(\d+)$", 1).cast("bigint").alias("event_id"))
+    jobs.ingest_job(rows, f"{work}/events", f"{work}/bad", f"{work}/ck", "worker-1").awaitTermination()
+    good = spark.read.parquet(f"{work}/events").select("event_id", F.lit("accepted").alias("status"))
+    both = good.unionByName(spark.read.parquet(f"{work}/bad").select("event_id", "status"))
+    return both.groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.sum("event_id").alias("id_sum"))
+
+
 @query(
     "source_series_csv",
     sql(f"SELECT stream, i, {ts('ts')} AS ts, {r6('value')} AS value, label FROM serl WHERE metric = 0", "serl"),
@@ -297,10 +356,13 @@ def source_series_csv(spark, sf_dir):
     return label_points(back, stream_spans(spark, sf_dir)).select("stream", "i", "ts", "value", "label")
 
 
-@query("model_round_trip")
+@query("model_round_trip", sql(f"SELECT {ts('window_start')} AS window_start, true AS same FROM feat", "feat"))
 def model_round_trip(spark, sf_dir):
-    """A model saved as four tables, loaded again, scoring the same rows."""
+    """A model saved as four tables and loaded again scores the same."""
     work = _work(spark)
     rows = feature_table(spark, sf_dir)
-    forest.fit(rows, "window_start", threshold=0.0, trained_at=as_of(spark, sf_dir)).save(f"{work}/model")
-    return forest.score(rows, forest.Forest.load(spark, f"{work}/model")).select("window_start", "score", "is_anomaly")
+    model = forest.fit(rows, "window_start", threshold=0.0, trained_at=as_of(spark, sf_dir))
+    model.save(f"{work}/model")
+    before = forest.score(rows, model).select("window_start", F.col("score").alias("before"))
+    after = forest.score(rows, forest.Forest.load(spark, f"{work}/model")).select("window_start", "score")
+    return before.join(after, "window_start").select("window_start", (F.col("before") == F.col("score")).alias("same"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilspark.functions.scalars import direction, safe_ratio
 from vigilspark.plans.cooldown import cooldown_kept
+from vigilspark.plans.intervals import points_in_spans
 from vigilspark.plans.ordering import exact_percentiles
 from vigilspark.schema import FEATURE_NAMES
+from vigilspark.session import materialize
 
 # Fixed values of the alert routes: seconds between repeats of one notice.
 REPEAT_SECONDS = (("critical", 3_600), ("warning", 14_400), ("default", 43_200))
@@ -117,63 +119,119 @@ def suppress_repeats(alerts: DataFrame, cooldown_seconds: int = 120, time: str =
 
 
 def alert_notices(alerts: DataFrame, tiebreak: str = "anomaly_id") -> DataFrame:
-    """Notices after grouping by (alertname, service): repeats only after the interval of the severity."""
-    routed = F.when(F.col("severity").isin("critical", "warning"), F.col("severity")).otherwise("default")
-    rows = alerts.withColumn("route", routed)
-    out = None
-    for route, seconds in REPEAT_SECONDS:
-        kept = cooldown_kept(rows.where(F.col("route") == route), ["alertname", "service"], "time", tiebreak, seconds)
-        out = kept if out is None else out.unionByName(kept)
-    return out
+    """Notices after grouping by (alertname, service): repeats only after the interval of the severity.
 
+    Adds ``route``; all routes go through one plan, the interval is a column.
+    """
+    names = [route for route, _ in REPEAT_SECONDS]
+    severity = F.col("severity")
+    route = F.when(severity.isin(*names[:-1]), severity).otherwise(F.lit(names[-1]))
+    wait = F.element_at(F.create_map(*[F.lit(x) for pair in REPEAT_SECONDS for x in pair]), F.col("route"))
+    return cooldown_kept(alerts.withColumn("route", route), ["alertname", "service", "route"], "time", tiebreak, wait)
+
+
+def inhibit(
+    alerts: DataFrame,
+    firing: DataFrame,
+    keys: Sequence[str] = ("service",),
+    time: str = "time",
+    span: tuple[str, str] = ("starts_at", "ends_at"),
+    cell_seconds: int = 3_600,
+) -> DataFrame:
+    """Drop warnings raised while a critical alert of the same keys fires.
 
-def inhibit(alerts: DataFrame, keys: Sequence[str] = ("service",)) -> DataFrame:
-    """Drop warnings whose keys also have a critical alert firing."""
-    critical = alerts.where(F.col("severity") == "critical").select(*keys).distinct()
-    warnings = alerts.where(F.col("severity") == "warning").join(critical, list(keys), "left_anti")
-    return alerts.where(F.col("severity") != "warning").unionByName(warnings.select(*alerts.columns))
+    ``firing`` holds spans with ``severity`` (``firing_spans``), the end not included; only critical ones count.
+    """
+    start, end = span
+    critical = firing.where(F.col("severity") == "critical").select(*keys, start, end)
+    warning = F.coalesce(F.col("severity") == "warning", F.lit(False))
+    kept = points_in_spans(
+        alerts.where(warning), critical, time, span, cell_seconds, keys, "left_anti", F.col(f"p.{time}") < F.col(f"s.{end}")
+    )
+    return alerts.where(~warning).unionByName(kept)
 
 
-def hold(evaluations: DataFrame, keys: Sequence[str], hold_seconds: Column | int, tick: str = "tick") -> DataFrame:
-    """Add ``firing``: the condition (``holds``) has been true without a break for the hold time.
+def hold(
+    evaluations: DataFrame, keys: Sequence[str], hold_seconds: Column | int, interval_seconds: int, tick: str = "tick"
+) -> DataFrame:
+    """Alert states of rule evaluations: adds ``pending_since``, ``firing`` and ``state``.
+
+    The condition (``holds``) must be true at every evaluation of the hold time. An evaluation that is missing, so
+    that two of them lie more than ``interval_seconds`` apart, breaks it like a false one. ``state`` is inactive,
+    pending, firing, or resolved at the first evaluation after a firing one that doesn't fire.
 
     Rows are rule evaluations, one per key and tick, so a key's rows are bounded by the clock.
     """
     order = Window.partitionBy(*keys).orderBy(tick)
-    breaks = F.sum((~F.col("holds")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     wait = F.lit(hold_seconds) if isinstance(hold_seconds, int) else hold_seconds
-    since = F.min(F.when(F.col("holds"), F.col(tick))).over(Window.partitionBy(*keys, "_island"))
+    true = F.coalesce("holds", F.lit(False))
+    gap = F.unix_micros(tick) - F.unix_micros(F.lag(tick).over(order)) > interval_seconds * 1_000_000
+    breaks = F.sum((~F.col("_true") | F.col("_gap")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    since = F.min(F.when(F.col("_true"), F.col(tick))).over(Window.partitionBy(*keys, "_island"))
+    fired = F.col("_true") & (F.unix_timestamp(tick) - F.unix_timestamp("pending_since") >= wait)
+    before = F.coalesce(F.lag("firing").over(order), F.lit(False))
+    state = F.when(F.col("firing"), "firing").when(before, "resolved").when(F.col("_true"), "pending").otherwise("inactive")
     return (
-        evaluations.withColumn("_island", breaks)
-        .withColumn("pending_since", F.when(F.col("holds"), since))
-        .withColumn(
-            "firing",
-            F.col("holds") & (F.unix_timestamp(tick) - F.unix_timestamp("pending_since") >= wait),
-        )
-        .drop("_island")
+        evaluations.withColumns({"_true": true, "_gap": F.coalesce(gap, F.lit(False))})
+        .withColumn("_island", breaks)
+        .withColumn("pending_since", F.when(F.col("_true"), since))
+        .withColumn("firing", F.coalesce(fired, F.lit(False)))
+        .withColumn("state", state)
+        .drop("_island", "_true", "_gap")
     )
 
 
+def firing_spans(held: DataFrame, keys: Sequence[str], interval_seconds: int, tick: str = "tick") -> DataFrame:
+    """From the first firing evaluation to the interval after the last one: keys, starts_at, ends_at (not included)."""
+    step = F.expr(f"INTERVAL {int(interval_seconds)} SECONDS")
+    spans = held.where("firing").groupBy(*keys, "pending_since").agg(F.min(tick).alias("starts_at"), F.max(tick).alias("_last"))
+    return spans.select(*keys, "starts_at", (F.col("_last") + step).alias("ends_at"))
+
+
+def spine(spark: SparkSession, first: datetime, last: datetime, step_seconds: int) -> DataFrame:
+    """Evaluation times from ``first`` to ``last``, both included: ``tick``."""
+    n = int((last - first).total_seconds()) // step_seconds + 1
+    start = F.unix_micros(F.lit(first))
+    return spark.range(max(0, n)).select(F.timestamp_micros(start + F.col("id") * (step_seconds * 1_000_000)).alias("tick"))
+
+
+def alert_pipeline(evaluations: DataFrame, rules: Sequence[tuple[str, str, int]], interval_seconds: int) -> DataFrame:
+    """Notices of rule evaluations: hold times, states, inhibition and repeat intervals in turn.
+
+    ``evaluations``: alertname, service, tick, holds; ``rules``: (alertname, severity, hold seconds). A firing alert
+    asks for a notice at every evaluation; warnings are mute while a critical alert of their service fires, and what
+    is left is sent again only after the repeat interval of its severity.
+    """
+    spark = evaluations.sparkSession
+    known = spark.createDataFrame(list(rules), "alertname string, severity string, hold_s long")
+    keys = ["alertname", "service", "severity"]
+    held = materialize(hold(evaluations.join(known, "alertname"), keys, F.col("hold_s"), interval_seconds))
+    asked = held.where("firing").select(*keys, F.col("tick").alias("time"), "pending_since")
+    heard = inhibit(asked, firing_spans(held, keys, interval_seconds))
+    named = heard.withColumn("anomaly_id", F.concat_ws("/", "alertname", "service", F.unix_timestamp("time").cast("string")))
+    return alert_notices(named)
+
+
 def rate_alert(counts: DataFrame, keys: Sequence[str], seconds: int, limit: float, bucket: str = "bucket") -> DataFrame:
     """Per-second rate over a trailing range of per-minute counts against a limit."""
     order = Window.partitionBy(*keys).orderBy(F.unix_timestamp(bucket)).rangeBetween(-(seconds - 1), 0)
     return counts.withColumn("rate", F.sum("n").over(order) / F.lit(float(seconds))).withColumn("holds", F.col("rate") > limit)
 
 
-def cost_alert(reports: DataFrame, limit: float = 5.0) -> DataFrame:
-    """Cost over the trailing day at every hour that has reports, against the limit.
+def cost_alert(reports: DataFrame, until: datetime, limit: float = 5.0) -> DataFrame:
+    """Cost over the trailing day at every full hour from the first report's to ``until``, against the limit.
 
-    Costs are summed per hour first; the trailing day adds at most 24 rows.
+    Costs are summed per hour first; the trailing day adds at most 24 rows. Hours without reports are evaluated too.
     """
+    hour = F.expr("INTERVAL 1 HOUR")
     hourly = reports.groupBy(F.date_trunc("hour", "generated_at").alias("tick")).agg(F.sum("cost_usd").alias("cost"))
-    spread = hourly.select(
-        F.explode(F.sequence("tick", F.col("tick") + F.expr("INTERVAL 23 HOURS"), F.expr("INTERVAL 1 HOUR"))).alias("tick"),
-        "cost",
-    )
+    spread = hourly.select(F.explode(F.sequence("tick", F.col("tick") + F.expr("INTERVAL 23 HOURS"), hour)).alias("tick"), "cost")
+    first = reports.agg(F.date_trunc("hour", F.min("generated_at")).alias("first"))
+    ticks = first.where(F.col("first") <= F.lit(until)).select(F.explode(F.sequence("first", F.lit(until).cast("timestamp"), hour)).alias("tick"))
     return (
-        spread.join(hourly.select("tick"), "tick", "left_semi")
+        ticks.join(spread, "tick", "left")
         .groupBy("tick")
-        .agg(F.sum("cost").alias("cost_1d"))
+        .agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost_1d"))
         .withColumn("holds", F.col("cost_1d") > limit)
     )
 
@@ -213,25 +271,26 @@ def latency_alert(
 
 
 def score_shift(scored: DataFrame, time: str = "time", short_h: int = 1, long_h: int = 24, limit: float = 0.5) -> DataFrame:
-    """Median score of the last ``short_h`` hours against the last ``long_h`` hours at every hour with scores.
+    """Median score of the last ``short_h`` hours against the last ``long_h`` hours at every hour from the first to
+    the last with scores. A median without scores is null, and then the rule doesn't hold.
 
     Equal scores of an hour are counted once before they are spread over the ticks they affect.
     """
     hour = F.expr("INTERVAL 1 HOUR")
-    counted = scored.groupBy(F.date_trunc("hour", time).alias("_h"), "score").agg(F.count("*").alias("n"))
-    ticks = counted.select("_h").distinct()
+    counted = materialize(scored.groupBy(F.date_trunc("hour", time).alias("_h"), "score").agg(F.count("*").alias("n")))
+    ticks = counted.agg(F.min("_h").alias("a"), F.max("_h").alias("b")).where("a IS NOT NULL").select(F.explode(F.sequence("a", "b", hour)).alias("_h"))
 
     def median(hours: int, name: str) -> DataFrame:
         spread = counted.select(
             F.explode(F.sequence("_h", F.col("_h") + F.expr(f"INTERVAL {hours - 1} HOURS"), hour)).alias("_h"), "score", "n"
-        ).join(ticks, "_h", "left_semi")
+        )
         return exact_percentiles(spread, ["_h"], "score", {name: 0.5}, "n")
 
     change = F.abs(F.col("short_median") - F.col("long_median")) / F.abs(F.col("long_median") + 1e-9)
     return (
-        median(short_h, "short_median")
-        .join(median(long_h, "long_median"), "_h")
+        ticks.join(median(short_h, "short_median"), "_h", "left")
+        .join(median(long_h, "long_median"), "_h", "left")
         .withColumnRenamed("_h", "tick")
         .withColumn("change", change)
-        .withColumn("holds", F.col("change") > limit)
+        .withColumn("holds", F.coalesce(F.col("change") > limit, F.lit(False)))
     )

@@ -7,6 +7,7 @@ row satisfies; the leaf then contributes closed-form Shapley weights (interventi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import factorial
 
 import numpy as np
@@ -18,11 +19,14 @@ from vigilspark.functions.scalars import direction
 from vigilspark.operators.forest import Forest, average_path, node_table
 
 # Fixed text of an explanation: headings, and the line formats.
+HEAD = "Anomaly Detection Explanation:"
 HEAD_ANOMALY = "Top factors indicating ANOMALY:"
 HEAD_NORMAL = "Top factors indicating NORMAL:"
 LINE_ANOMALY = "  - %s: %.4f"
 LINE_NORMAL = "  - %s: +%.4f"
 LINE_NET = "Net SHAP impact: %.4f"
+LINE_SUM_ANOMALY = "  Anomaly factors: %.4f"
+LINE_SUM_NORMAL = "  Normal factors:  +%.4f"
 
 
 def _leaf_boxes(table: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
@@ -64,23 +68,48 @@ def _weights(slots: int) -> tuple[np.ndarray, np.ndarray]:
     return gain, loss
 
 
-def shapley(boxes: list[tuple[np.ndarray, ...]], x: np.ndarray, background: np.ndarray) -> np.ndarray:
-    """Attributions of one row ``x`` against all background rows; sums to f(x) - mean f(background)."""
-    phi = np.zeros(len(x))
-    for value, feats, lows, highs in boxes:
-        used = feats >= 0
-        at = np.maximum(feats, 0)
-        x_in = ~used | ((x[at] > lows) & (x[at] <= highs))
-        b = background[:, at]
-        b_in = ~used | ((b > lows) & (b <= highs))
-        row_only, back_only = x_in & ~b_in, ~x_in & b_in
-        reachable = (x_in | b_in).all(axis=2)
-        u, v = row_only.sum(axis=2), back_only.sum(axis=2)
-        gain, loss = _weights(feats.shape[1])
-        scale = value * reachable
-        part = row_only * (gain[u, v] * scale)[..., None] - back_only * (loss[u, v] * scale)[..., None]
-        np.add.at(phi, at.ravel(), part.sum(axis=0).ravel())
-    return phi / (max(1, len(boxes)) * len(background))
+def _inside(feats: np.ndarray, lows: np.ndarray, highs: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Bit j of (row, leaf): the row meets the leaf's condition j; conditions that a leaf has not are met."""
+    at = np.maximum(feats, 0)
+    out = np.zeros((len(x), len(feats)), dtype=np.int64)
+    for j in range(feats.shape[1]):
+        value = x[:, at[:, j]]
+        out |= ((feats[:, j] < 0) | ((value > lows[:, j]) & (value <= highs[:, j]))).astype(np.int64) << j
+    return out
+
+
+class Explainer:
+    """Attributions of many rows against all background rows; those of a row sum to f(x) - mean f(background).
+
+    What the background rows meet is kept as bit masks, a number for each (background row, leaf). A block of rows is
+    compared with them at once, and only leaves that row and background row reach together are looked at further.
+    """
+
+    def __init__(self, boxes: list[tuple[np.ndarray, ...]], background: np.ndarray, block: int = 32):
+        self.background, self.block, self.trees = background, block, []
+        for value, feats, lows, highs in boxes:
+            tables = _weights(feats.shape[1])
+            self.trees.append((value, feats, lows, highs, _inside(feats, lows, highs, background), *tables))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        parts = [self._block(x[i : i + self.block]) for i in range(0, len(x), self.block)]
+        return np.concatenate(parts) if parts else np.zeros((0, self.background.shape[1]))
+
+    def _block(self, x: np.ndarray) -> np.ndarray:
+        n, width = x.shape
+        phi = np.zeros(n * width)
+        for value, feats, lows, highs, back, gain, loss in self.trees:
+            slots = feats.shape[1]
+            mine = _inside(feats, lows, highs, x)
+            row, other, leaf = np.nonzero((mine[:, None, :] | back[None, :, :]) == (1 << slots) - 1)
+            a, b = mine[row, leaf], back[other, leaf]
+            row_only, back_only = a & ~b, b & ~a
+            u, v = np.bitwise_count(row_only), np.bitwise_count(back_only)
+            up, down = gain[u, v] * value[leaf], loss[u, v] * value[leaf]
+            for j in range(slots):
+                part = ((row_only >> j) & 1) * up - ((back_only >> j) & 1) * down
+                phi += np.bincount(row * width + np.maximum(feats[leaf, j], 0), part, minlength=n * width)
+        return phi.reshape(n, width) / (max(1, len(self.trees)) * len(self.background))
 
 
 def attribute(scored: DataFrame, forest: Forest, flagged_only: bool = True) -> DataFrame:
@@ -102,8 +131,11 @@ def attribute(scored: DataFrame, forest: Forest, flagged_only: bool = True) -> D
     base = float(value_of(background).mean())
 
     @F.pandas_udf("array<double>")
-    def explain(vectors: pd.Series) -> pd.Series:
-        return pd.Series([shapley(boxes, np.asarray(v), background) for v in vectors])
+    def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        explainer = Explainer(boxes, background)  # once a task
+        for vectors in batches:
+            x = np.vstack(vectors.to_numpy()) if len(vectors) else np.zeros((0, background.shape[1]))
+            yield pd.Series(list(explainer(x)), dtype=object)
 
     rows = scored.where("is_anomaly") if flagged_only else scored
     return rows.repartition(F.xxhash64("vector")).withColumn("shap", explain("vector")).withColumn("base_value", F.lit(base))
@@ -139,14 +171,21 @@ def attribution_summary(long: DataFrame, keys: list[str], k: int = 5) -> DataFra
         F.array_sort(F.collect_list(F.when(~negative, F.struct("rank", "feature", "shap")))).alias("_pos"),
     )
 
-    def lines(items: str, pattern: str) -> Column:
-        return F.array_join(F.transform(items, lambda x: F.format_string(pattern, x["feature"], x["shap"])), "\n")
+    def _four(value: Column | str) -> Column:
+        return F.round(F.round(value, 6), 4)
+
+    def block(head: str, items: str, pattern: str) -> Column:
+        lines = F.transform(items, lambda x: F.format_string(pattern, x["feature"], _four(x["shap"])))
+        return F.when(F.size(items) > 0, F.concat(F.lit(f"{head}\n"), F.array_join(lines, "\n"), F.lit("\n")))
 
     net = F.col("negative_sum") + F.col("positive_sum")
     text = F.concat_ws(
         "\n",
-        F.lit(HEAD_ANOMALY), lines("_neg", LINE_ANOMALY),
-        F.lit(HEAD_NORMAL), lines("_pos", LINE_NORMAL),
-        F.format_string(LINE_NET, net),
+        F.lit(f"{HEAD}\n"),
+        block(HEAD_ANOMALY, "_neg", LINE_ANOMALY),
+        block(HEAD_NORMAL, "_pos", LINE_NORMAL),
+        F.format_string(LINE_NET, _four(net)),
+        F.format_string(LINE_SUM_ANOMALY, _four("negative_sum")),
+        F.format_string(LINE_SUM_NORMAL, _four("positive_sum")),
     )
     return sums.withColumn("net", net).withColumn("text", text).drop("_neg", "_pos")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilspark.functions.scalars import in_buckets
 from vigilspark.plans.ordering import exact_percentiles
+from vigilspark.session import materialize
 
 # Fixed values of the drift report.
 PSI_MINOR = 0.10
@@ -37,30 +38,33 @@ def quantile_edges(reference: DataFrame, n_bins: int = 10) -> DataFrame:
     return every.select("feature", F.coalesce("edges", F.array(F.lit(0.0), F.lit(1.0))).alias("edges"))
 
 
-def bin_shares(long: DataFrame, edges: DataFrame) -> DataFrame:
-    """Share of the values of each feature in each bin; outside values fall into the end bins, empty bins give 0."""
+def drift_bins(reference: DataFrame, current: DataFrame, n_bins: int = 10) -> DataFrame:
+    """(feature, bin, ref_share, cur_share), both raised by the floor and not renormalised.
+
+    The edges of all features are written once and travel as one map; both sides are counted in one pass. Values
+    outside the edges fall into the end bins, empty bins give 0, features that only ``current`` has are left out.
+    """
+    edges = materialize(quantile_edges(reference, n_bins))
+    known = edges.agg(F.map_from_entries(F.collect_list(F.struct("feature", "edges")))).scalar()  # one entry a feature
+    sides = reference.select("feature", "value", F.lit(1).alias("_ref")).unionByName(
+        current.select("feature", "value", F.lit(0).alias("_ref"))
+    )
     inner = F.slice("edges", 2, F.size("edges") - 2)
     counted = (
-        _finite(long)
-        .join(edges, "feature")
+        _finite(sides)
+        .withColumn("edges", F.try_element_at(known, F.col("feature")))
+        .where(F.col("edges").isNotNull())
         .groupBy("feature", F.size(F.filter(inner, lambda e: e <= F.col("value"))).alias("bin"))
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("_ref").alias("r"), F.sum(1 - F.col("_ref")).alias("c"))
     )
-    totals = counted.groupBy("feature").agg(F.sum("n").alias("total"))
-    spine = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
-    return (
-        spine.join(counted, ["feature", "bin"], "left")
-        .join(totals, "feature", "left")
-        .select("feature", "bin", F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)).alias("share"))
+    whole = counted.groupBy("feature").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", F.struct("r", "c")))).alias("bins"), F.sum("r").alias("rs"), F.sum("c").alias("cs")
+    )
+    spine = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin")).join(whole, "feature", "left")
+    of = lambda side, total: F.coalesce(F.try_divide(F.try_element_at("bins", F.col("bin"))[side], F.col(total)), F.lit(0.0))
+    return spine.select(
+        "feature", "bin", (of("r", "rs") + PROPORTION_FLOOR).alias("ref_share"), (of("c", "cs") + PROPORTION_FLOOR).alias("cur_share")
     )
-
-
-def drift_bins(reference: DataFrame, current: DataFrame, n_bins: int = 10) -> DataFrame:
-    """(feature, bin, ref_share, cur_share), both raised by the floor and not renormalised."""
-    edges = quantile_edges(reference, n_bins)
-    ref = bin_shares(reference, edges).select("feature", "bin", (F.col("share") + PROPORTION_FLOOR).alias("ref_share"))
-    cur = bin_shares(current, edges).select("feature", "bin", (F.col("share") + PROPORTION_FLOOR).alias("cur_share"))
-    return ref.join(cur, ["feature", "bin"])
 
 
 def psi(reference: DataFrame, current: DataFrame, n_bins: int = 10) -> DataFrame:

@@ -147,14 +147,14 @@ def pr_points(scored: DataFrame) -> DataFrame:
     )
 
 
-def scenario_detection(scenarios: DataFrame, scored: DataFrame, threshold: float, cell_seconds: int = 86_400) -> DataFrame:
+def scenario_detection(scenarios: DataFrame, scored: DataFrame, threshold: float, unit_seconds: int = 60) -> DataFrame:
     """Per scenario: overlapping windows, caught ones, and seconds from onset to the first caught window's start."""
     pairs = overlap_pairs(
         scenarios.select("scenario_id", "start_ts", "end_ts"),
         scored.select("window_start", "window_end", "score"),
         ("start_ts", "end_ts"),
         ("window_start", "window_end"),
-        cell_seconds,
+        unit_seconds,
     )
     caught = F.col("score") < threshold
     stats = pairs.groupBy("scenario_id").agg(

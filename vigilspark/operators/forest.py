@@ -83,21 +83,26 @@ class Forest:
         return cls(*parts, tuple(parts[2].first()["feature_names"]))
 
 
-def subsample(scaled: DataFrame, key: str, n_rows: int, trees: int, size: int, seed: int) -> DataFrame:
-    """For every tree the ``size`` rows with the smallest hash of (key, tree, seed).
+def subsample(scaled: DataFrame, key: str, trees: int, size: int, seed: int) -> DataFrame:
+    """For every tree the ``size`` rows with the smallest hash of (key, tree, seed): tree, _r (from 1), vector.
 
-    For large inputs a hash bound first passes about 8 x ``size`` rows per tree, so little is sorted or
-    shuffled; the rank filter is also applied per task before the shuffle. The result depends on the
-    rows only, not on their partitioning.
+    A first pass over hashes alone finds each tree's bound (tasks keep ``size`` hashes a tree before the shuffle), a
+    second one picks the rows under the bounds, so vectors are copied for picked rows only. One rule at any size; the
+    result depends on the rows only, not on their partitioning. A tree without ``size`` rows is an error.
     """
-    share = min(1.0, 8.0 * size / max(1, n_rows))
-    exploded = scaled.select(
-        F.col(key).alias("_key"), F.col("vector"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    ).withColumn("_h", F.xxhash64("_key", "tree", F.lit(seed)))
-    if share < 1.0:
-        exploded = exploded.where(F.col("_h") < F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64))))
-    order = Window.partitionBy("tree").orderBy("_h", "_key")
-    return exploded.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size)
+    rows = scaled.select(F.col(key).alias("_key"), "vector", F.xxhash64(key).alias("_row"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    hashed = F.xxhash64("_row", "tree", F.lit(seed))
+    least = Window.partitionBy("tree").orderBy("_h")
+    bottom = rows.select("_row", each).select("tree", hashed.alias("_h")).withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= size)
+    bounds = {r["tree"]: (r["n"], r["bound"]) for r in bottom.groupBy("tree").agg(F.count("*").alias("n"), F.max("_h").alias("bound")).collect()}
+    short = [t for t in range(trees) if bounds.get(t, (0, None))[0] != size]  # a row per tree reaches the driver
+    if short:
+        raise ValueError(f"trees without {size} training rows: {short}")
+    bound = F.element_at(F.array(*[F.lit(bounds[t][1]) for t in range(trees)]), F.col("tree") + 1)
+    picked = rows.select("_key", "vector", "_row", each).withColumn("_h", hashed).where(F.col("_h") <= bound)
+    order = Window.partitionBy("tree").orderBy("_h", "_key")  # rows of one key have one hash; some of them may be too many
+    return picked.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size)
 
 
 def fit(
@@ -111,7 +116,7 @@ def fit(
     seed: int = 42,
     trained_at: datetime | None = None,
 ) -> Forest:
-    """Fit on feature rows; ``key`` names each row (unique). The rows are written once and re-read."""
+    """Fit on feature rows; ``key`` names each row. The rows are written once and re-read."""
     names = tuple(names)
     rows = materialize(features.select(key, *[F.col(f"`{n}`").cast("double").alias(n) for n in names]))
     n_rows = rows.count()
@@ -133,7 +138,7 @@ def fit(
         return table
 
     nodes = materialize(
-        subsample(scaled, key, n_rows, trees, psi, seed)
+        subsample(scaled, key, trees, psi, seed)
         .select("tree", "_r", "vector")
         .groupBy("tree")
         .applyInPandas(grow, NODE_SCHEMA)
@@ -154,9 +159,9 @@ def fit(
             F.array(*[F.lit(n) for n in names]).alias("feature_names"),
         )
     )
-    background = materialize(
-        scaled.withColumn("_h", F.xxhash64(key, F.lit(seed))).orderBy("_h", key).limit(BACKGROUND_ROWS).select("vector")
-    )
+    named = scaled.select(F.col(key).cast("string").alias("key"), "vector")
+    order = F.md5(F.concat_ws(":", "key", F.lit(str(seed))))
+    background = materialize(named.withColumn("_h", order).orderBy("_h", "key").limit(BACKGROUND_ROWS).select("key", "vector"))
     return Forest(nodes, scaler, meta, background, names)
 
 
@@ -165,7 +170,8 @@ def node_table(nodes: DataFrame) -> pd.DataFrame:
     return nodes.toPandas().sort_values(["tree", "node"])
 
 
-def _packed(table: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
+def packed(table: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
+    """A tuple of arrays for each tree: feature, split, left, right, path length."""
     out = []
     for _, t in table.groupby("tree", sort=True):
         length = t["depth"].to_numpy(float) + average_path(t["n"].to_numpy())
@@ -192,7 +198,7 @@ def mean_path(trees: list[tuple[np.ndarray, ...]], x: np.ndarray) -> np.ndarray:
 
 def raw_score(nodes: DataFrame, psi: int):
     """A column function: scaled feature vector to ``-2 ** (-mean path / c(psi))``."""
-    trees = _packed(node_table(nodes))
+    trees = packed(node_table(nodes))
     norm = float(average_path(psi)) or 1.0
 
     @F.pandas_udf("double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,17 +69,33 @@ def report_fields(context: DataFrame) -> DataFrame:
     )
 
 
+def _fixed(value: Column | str, digits: int, sign: str = "") -> Column:
+    """A number with ``digits`` decimals, rounded half up; noise beyond the sixth decimal doesn't count, null stays null."""
+    rounded = F.round(F.round(value, 6), digits)
+    return F.when(rounded.isNotNull(), F.format_string(f"%{sign}.{digits}f", rounded))
+
+
 def render_report(fields: DataFrame) -> DataFrame:
-    """A short markdown report per anomaly from its fields."""
+    """A markdown report per anomaly from its fields: summary, impact, timeline, hypothesis and next steps by severity."""
+    moment = F.date_format("detected_at", "yyyy-MM-dd HH:mm:ss")
+    urgent = F.col("severity").isin("CRITICAL", "HIGH")
+    slow = F.col("p99_latency") > 2 * F.col("avg_latency")
     body = F.concat_ws(
         "\n",
-        F.format_string("# Incident %s", "anomaly_id"),
-        F.format_string("Service %s, severity %s, score %.3f", "service", "severity", "score"),
-        F.concat(F.lit("Detected at "), F.date_format("detected_at", "yyyy-MM-dd HH:mm:ss")),
-        F.lit(""),
-        F.format_string("- error rate: %.2f%%", F.col("error_rate") * 100),
-        F.format_string("- events per rollup bucket: %d, error events seen: %d", "total_events", "error_events"),
-        F.format_string("- latency: mean %.1f ms, p99 %.1f ms", "avg_latency", "p99_latency"),
+        F.concat(F.lit("# Incident "), "anomaly_id"),
+        F.concat(F.lit("**Service**: `"), "service", F.lit("`, **severity**: "), "severity", F.lit(", **score**: "), _fixed("score", 3)),
+        F.lit("\n## Summary"),
+        F.concat(F.lit("Unusual behaviour of "), "service", F.lit(" was detected at "), moment, F.lit(".")),
+        F.lit("\n## Impact"),
+        F.concat(F.lit("- error rate: "), _fixed(F.col("error_rate") * 100, 2), F.lit("%")),
+        F.concat(F.lit("- events per rollup bucket: "), F.col("total_events").cast("string"), F.lit(", error events seen: "), F.col("error_events").cast("string")),
+        F.concat(F.lit("- latency: mean "), _fixed("avg_latency", 1), F.lit(" ms, p99 "), _fixed("p99_latency", 1), F.lit(" ms")),
+        F.lit("\n## Likely cause"),
+        F.when(F.col("error_rate") > 0.05, "Errors are raised above their usual share.").otherwise("No error surge; look at load and latency first."),
+        F.when(slow, "The slowest requests take more than twice the mean."),
+        F.lit("\n## Next steps"),
+        F.when(urgent, "1. Page the owner of the service.\n2. Roll back the last change.").otherwise("1. Watch the next windows.\n2. Open a ticket."),
+        F.lit("3. Compare with the recent anomalies of the service."),
     )
     return fields.withColumn("content", body)
 
@@ -113,85 +131,134 @@ def parse_responses(responses: DataFrame, text: str = "response") -> DataFrame:
     return responses.withColumn("parsed_ok", ok).withColumn("report", F.when(ok, parsed).otherwise(fallback))
 
 
-def report_markdown(parsed: DataFrame, report: str = "report") -> DataFrame:
-    """Markdown of a structured report: header, attribution table, actions by timeframe, checks."""
+# Fixed text of a structured report: headings, line formats, rules, and the titles of the timeframes in order.
+REPORT_TITLE = "# Incident Report: "
+REPORT_HEAD = ("**Service**: `", "**Detected**: ", "**Severity**: ", "**Model confidence**: ")
+REPORT_RULE = "---"
+HEAD_SUMMARY, HEAD_CAUSE = "## Executive summary", "## Root cause hypothesis"
+HEAD_FEATURES, HEAD_ACTIONS, HEAD_CHECKS = "## Top contributing features (SHAP)", "## Recommended actions", "## Monitoring follow-up"
+FEATURE_TABLE = ("| Feature | Value | SHAP | Direction |", "|---|---|---|---|")
+TIMEFRAMES = (("immediate", "### Immediate"), ("short_term", "### Short Term"), ("long_term", "### Long Term"))
+
+
+def report_markdown(parsed: DataFrame, as_of: datetime, report: str = "report") -> DataFrame:
+    """Markdown of a structured report: header, rules, attribution table, actions by timeframe, checks, footer."""
     r = F.col(report)
 
-    def section(title: str, lines: Column) -> Column:
-        return F.when(F.size(lines) > 0, F.concat(F.lit(f"## {title}\n\n"), F.array_join(lines, "\n")))
+    def section(title: str, lines: Column, gap: str = "\n") -> Column:
+        return F.when(F.size(lines) > 0, F.concat(F.lit(f"{title}\n\n"), F.array_join(lines, gap)))
 
     features = F.transform(
         r["contributing_features"],
-        lambda f: F.format_string("| `%s` | %.3f | %+.3f | %s |", f["name"], f["value"], f["shap"], f["direction"]),
-    )
-    table = F.when(
-        F.size(features) > 0,
-        F.concat(F.array(F.lit("| Feature | Value | SHAP | Direction |"), F.lit("|---|---|---|---|")), features),
+        lambda f: F.concat(F.lit("| `"), f["name"], F.lit("` | "), _fixed(f["value"], 3), F.lit(" | "), _fixed(f["shap"], 3, "+"), F.lit(" | "), f["direction"], F.lit(" |")),
     )
+    table = F.when(F.size(features) > 0, F.concat(F.array(*[F.lit(x) for x in FEATURE_TABLE]), features))
 
     def actions(timeframe: str, title: str) -> Column:
-        picked = F.transform(
-            F.filter(r["recommended_actions"], lambda a: a["timeframe"] == timeframe),
-            lambda a: F.format_string("- **%s** — %s", a["action"], a["rationale"]),
-        )
-        return F.when(F.size(picked) > 0, F.concat(F.lit(f"### {title}\n"), F.array_join(picked, "\n")))
-
-    blocks = F.array_compact(
-        F.array(actions("immediate", "Immediate"), actions("short_term", "Short Term"), actions("long_term", "Long Term"))
-    )
+        wanted = F.filter(r["recommended_actions"], lambda a: a["timeframe"] == timeframe)
+        return section(title, F.transform(wanted, lambda a: F.concat(F.lit("- **"), a["action"], F.lit("** — "), a["rationale"])))
+
+    service, detected, severity, confidence = (F.lit(x) for x in REPORT_HEAD)
+    head = F.concat_ws(
+        "  \n",
+        F.concat(service, r["service"], F.lit("`")), F.concat(detected, r["detected_at"]), F.concat(severity, r["severity"]),
+        F.concat(confidence, _fixed(r["confidence"], 2)),
+    )
     text = F.concat_ws(
         "\n\n",
-        F.format_string("# Incident Report: %s", r["incident_id"]),
-        F.format_string(
-            "**Service**: `%s`  \n**Detected**: %s  \n**Severity**: %s  \n**Model confidence**: %.2f",
-            r["service"], r["detected_at"], r["severity"], r["confidence"],
-        ),
-        F.concat(F.lit("## Executive summary\n\n"), r["executive_summary"]),
-        F.concat(F.lit("## Root cause hypothesis\n\n"), r["root_cause_hypothesis"]),
-        section("Top contributing features (SHAP)", table),
-        section("Recommended actions", blocks),
-        section("Monitoring follow-up", F.transform(r["monitoring_checks"], lambda m: F.concat(F.lit("- "), m))),
+        F.concat(F.lit(REPORT_TITLE), r["incident_id"]),
+        head,
+        F.lit(REPORT_RULE),
+        F.concat(F.lit(f"{HEAD_SUMMARY}\n\n"), r["executive_summary"]),
+        F.concat(F.lit(f"{HEAD_CAUSE}\n\n"), r["root_cause_hypothesis"]),
+        section(HEAD_FEATURES, table),
+        section(HEAD_ACTIONS, F.array_compact(F.array(*[actions(*t) for t in TIMEFRAMES])), "\n\n"),
+        section(HEAD_CHECKS, F.transform(r["monitoring_checks"], lambda m: F.concat(F.lit("- "), m))),
+        F.lit(REPORT_RULE),
+        F.concat(F.lit("*Generated at "), F.date_format(F.lit(as_of), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("*")),
     )
     return parsed.withColumn("markdown", text)
 
 
-def evidence_prompt(context: DataFrame) -> DataFrame:
-    """Evidence text per anomaly: attributions, metric lines, the first ten context events, recent anomalies."""
+#: The parts of an evidence text: what stands where a part has nothing to show.
+NO_ATTRIBUTIONS, NO_METRICS, NO_EVENTS, NO_HISTORY = "none available", "No metrics available", "No events available", "none"
+
+
+def _evidence(context: DataFrame) -> dict[str, Column]:
+    """The parts of an evidence text, each a block of lines."""
+    moment = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")
     top = F.transform(
         F.col("features.top_features"),
-        lambda f: F.format_string("  - %s: value=%.3f, shap=%+.3f (%s)", f["name"], f["value"], f["shap"], f["direction"]),
+        lambda f: F.concat(
+            F.lit("  - "), f["name"], F.lit(": value="), _fixed(f["value"], 3), F.lit(", shap="), _fixed(f["shap"], 3, "+"), F.lit(" ("), f["direction"], F.lit(")")
+        ),
     )
-    lines = F.transform(
+    events = F.transform(
         F.slice(F.col("events"), 1, 10),
         lambda e, i: F.concat(
-            (i + 1).cast("string"), F.lit(". ["), F.date_format(e["time"], "yyyy-MM-dd HH:mm:ss"), F.lit("] "),
-            e["level"], F.lit(" - "), e["service"], F.lit(": "), truncate(e["message"]),
+            (i + 1).cast("string"), F.lit(". ["), moment(e["time"]), F.lit("] "), e["level"], F.lit(" - "), e["service"], F.lit(": "), truncate(e["message"])
         ),
     )
     recent = F.transform(
         F.col("recent_anomalies"),
-        lambda a: F.format_string("%d. [%s] %s score %.3f", a["rank"], F.date_format(a["time"], "yyyy-MM-dd HH:mm:ss"), a["severity"], a["score"]),
+        lambda a: F.concat(a["rank"].cast("string"), F.lit(". ["), moment(a["time"]), F.lit("] "), a["severity"], F.lit(" score "), _fixed(a["score"], 3)),
     )
 
     def lines_or(rows: Column, default: str) -> Column:
         return F.when(F.size(rows) > 0, F.array_join(rows, "\n")).otherwise(default)
 
-    metrics = F.concat_ws(
-        "\n",
-        *[
-            F.format_string(f"- **{name.replace('_', ' ').title()}**: %.2f", name)
-            for name in ("avg_event_count", "avg_error_rate", "avg_latency", "avg_p95_latency", "avg_p99_latency")
-        ],
+    names = ("avg_event_count", "avg_error_rate", "avg_latency", "avg_p95_latency", "avg_p99_latency")
+    metrics = F.concat_ws("\n", *[F.concat(F.lit(f"- **{n.replace('_', ' ').title()}**: "), _fixed(n, 2)) for n in names])
+    return {
+        "head": F.concat(
+            F.lit("Anomaly "), "anomaly_id", F.lit(" on "), "service", F.lit(" ("), "severity", F.lit("), score "), _fixed("score", 3),
+            F.lit(", threshold "), _fixed("threshold", 3),
+        ),
+        "attributions": lines_or(top, NO_ATTRIBUTIONS),
+        "metrics": F.when(F.col("avg_event_count").isNotNull(), metrics).otherwise(NO_METRICS),
+        "events": lines_or(events, NO_EVENTS),
+        "recent": lines_or(recent, NO_HISTORY),
+    }
+
+
+def evidence_prompt(context: DataFrame) -> DataFrame:
+    """Free-text form: attributions, metric lines, the first ten context events, recent anomalies, and what to write."""
+    part = _evidence(context)
+    return context.select(
+        "anomaly_id",
+        F.concat_ws(
+            "\n\n",
+            part["head"],
+            F.concat(F.lit("Attributions:\n"), part["attributions"]),
+            F.concat(F.lit("Metrics:\n"), part["metrics"]),
+            F.concat(F.lit("Events:\n"), part["events"]),
+            F.concat(F.lit("Recent anomalies:\n"), part["recent"]),
+            F.lit(
+                "Write an incident report in markdown: what happened, who is affected, the likely cause with its evidence, "
+                "what to do now and later, and what to watch."
+            ),
+        ).alias("prompt"),
     )
+
+
+def structured_prompt(context: DataFrame) -> DataFrame:
+    """Structured form: the same evidence with the window's feature values as JSON, and the fields of the answer.
+
+    The fields are listed from the schema of a report, so a prompt always asks for what ``parse_responses`` reads.
+    """
+    part = _evidence(context)
+    fields = ", ".join(f.name for f in INCIDENT_REPORT.fields)
     return context.select(
         "anomaly_id",
         F.concat_ws(
             "\n\n",
-            F.format_string("Anomaly %s on %s (%s), score %.3f, threshold %.3f", "anomaly_id", "service", "severity", "score", "threshold"),
-            F.concat(F.lit("Attributions:\n"), lines_or(top, "none available")),
-            F.concat(F.lit("Metrics:\n"), F.when(F.col("avg_event_count").isNotNull(), metrics).otherwise("No metrics available")),
-            F.concat(F.lit("Events:\n"), lines_or(lines, "No events available")),
-            F.concat(F.lit("Recent anomalies:\n"), lines_or(recent, "none")),
+            F.lit("Answer with one JSON object and nothing else."),
+            F.concat(F.lit("## Evidence\n"), part["head"]),
+            F.concat(F.lit("## Contributing features\n"), part["attributions"]),
+            F.concat(F.lit("## Feature values\n"), F.to_json(F.col("features.values"))),
+            F.concat(F.lit("## Metrics\n"), part["metrics"]),
+            F.concat(F.lit("## Events\n"), part["events"]),
+            F.lit(f"## Fields\n{fields}\nSeverity is one of {', '.join(SEVERITIES)}; ground the hypothesis in the features listed."),
         ).alias("prompt"),
     )
 

@@ -49,8 +49,9 @@ def value_cutoff(normalized: DataFrame, quantile: float = 0.95) -> DataFrame:
 
 def split_streams(series: DataFrame, seed: int, train_frac: float = 0.6, val_frac: float = 0.2) -> DataFrame:
     """(stream, split): a seeded shuffle of the stream names cut by fraction."""
-    names = series.select("stream").distinct().withColumn("_h", F.xxhash64("stream", F.lit(seed)))
-    ranked = global_rank(names, F.shiftright("_h", 50), [F.col("_h"), F.col("stream")], "_r")
+    names = series.select("stream").distinct().withColumn("_h", F.md5(F.concat_ws(":", "stream", F.lit(str(seed)))))
+    cell = F.conv(F.substring("_h", 1, 4), 16, 10).cast("bigint")
+    ranked = global_rank(names, cell, [F.col("_h"), F.col("stream")], "_r")
     counted = ranked.withColumn("_n", names.agg(F.count("*").alias("n")).scalar())
     n_train = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(train_frac)))
     n_val = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(val_frac)))

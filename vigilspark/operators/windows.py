@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilspark.plans.chains import chained
 from vigilspark.plans.intervals import overlap_pairs, points_in_spans
 from vigilspark.plans.ordering import global_rank, running_sums, time_cell, time_cells
 
@@ -47,7 +48,7 @@ def counted_windows(events: DataFrame, start: datetime, end: datetime, size_s: i
     )
 
 
-def label_windows(windows: DataFrame, scenarios: DataFrame, cell_seconds: int = 86_400) -> DataFrame:
+def label_windows(windows: DataFrame, scenarios: DataFrame, unit_seconds: int = 60) -> DataFrame:
     """Label 1 and the type of the first (lowest id) scenario that overlaps a window, else 0.
 
     Both overlap bounds are strict. ``windows`` needs unique window_start values.
@@ -55,7 +56,7 @@ def label_windows(windows: DataFrame, scenarios: DataFrame, cell_seconds: int =
     spans = scenarios.select("scenario_id", "type", "start_ts", "end_ts")
     hits = (
         overlap_pairs(
-            windows.select("window_start", "window_end"), spans, ("window_start", "window_end"), ("start_ts", "end_ts"), cell_seconds
+            windows.select("window_start", "window_end"), spans, ("window_start", "window_end"), ("start_ts", "end_ts"), unit_seconds
         )
         .groupBy("window_start")
         .agg(F.min_by("type", "scenario_id").alias("scenario_type"))
@@ -131,14 +132,16 @@ def trailing_buffer(
     return wanted.join(events, ["service", tiebreak])
 
 
-def regular_ticks(events: DataFrame, seconds: int, last: datetime) -> DataFrame:
-    """Timed checks of each service: every ``seconds`` after its first event, up to ``last``."""
-    first = events.groupBy("service").agg(F.min("time").alias("_first"))
-    step = F.expr(f"INTERVAL {int(seconds)} SECONDS")
-    begin = F.col("_first") + step
-    return first.where(begin <= F.lit(last)).select(
-        "service", F.explode(F.sequence(begin, F.lit(last), step)).alias("tick")
-    )
+def event_checks(events: DataFrame, seconds: int) -> DataFrame:
+    """Checks that events set off (service, tick): the first event of a service starts its clock, then each first
+    event at least ``seconds`` after the last check (or the start) is a check. Nothing happens in silence.
+
+    The check sees all events of its own instant.
+    """
+    moments = events.select("service", F.unix_micros("time").alias("_us"))
+    chain = chained(moments, ["service"], "_us", seconds * 1_000_000)
+    start = chain.groupBy("service").agg(F.min("_us").alias("_start"))
+    return chain.join(start, "service").where("_us > _start").select("service", F.timestamp_micros("_us").alias("tick"))
 
 
 def context_events(

@@ -1,37 +1,13 @@
-"""Keep a row only if enough time passed since the last *kept* row of its key.
-
-The answer for a row depends on earlier answers, so a plain ``lag`` is not
-enough. History is cut into chunks of a fixed time length. Within a chunk the
-only thing that matters from before is the time until which rows are still
-suppressed; a chunk is therefore a step function from that time to the next
-chunk's. The steps of a key are chained in order, then every chunk is marked
-on its own.
-
-Rows are alerts: a check of a key raises at most one, so a chunk holds at most
-as many rows as checks fit into it, and a key at most as many steps as the
-clock allows, whatever the volume of the events behind the alerts. Rows at one
-instant are merged before anything is grouped.
-"""
+"""Keep a row only if enough time passed since the last *kept* row of its key (see ``chains``)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_CHUNK = 32  # chunk length in cooldowns
-_NEVER = np.iinfo(np.int64).min
-
-
-def _walk(times: np.ndarray, first: int, wait: int) -> list[int]:
-    kept, at = [], first
-    while at < len(times):
-        kept.append(at)
-        at = int(np.searchsorted(times, times[at] + wait, side="left"))
-    return kept
+from vigilspark.plans.chains import chained
 
 
 def cooldown_kept(
@@ -39,81 +15,23 @@ def cooldown_kept(
     keys: Sequence[str],
     time: str,
     tiebreak: str,
-    cooldown_seconds: int,
+    cooldown_seconds: int | Column,
     entry: DataFrame | None = None,
 ) -> DataFrame:
     """The rows of ``df`` that survive the cooldown; of rows at one instant the lowest ``tiebreak``.
 
-    ``entry`` (keys, ``blocked_until`` micros) carries the state of an earlier batch.
+    ``cooldown_seconds`` may be a column that is the same for all rows of a key. ``entry`` (keys, ``blocked_until``
+    micros) carries the state of an earlier batch. Rows with a null key are left out.
     """
     keys = list(keys)
-    wait = int(cooldown_seconds) * 1_000_000
-    span = wait * _CHUNK
-    moments = (
-        df.groupBy(*keys, time)
-        .agg(F.min(tiebreak).alias(tiebreak))
-        .withColumn("_us", F.unix_micros(time))
-        .withColumn("_chunk", F.floor(F.col("_us") / F.lit(span)).cast("bigint"))
-    )
+    seconds = F.lit(cooldown_seconds) if isinstance(cooldown_seconds, int) else cooldown_seconds
+    rows = df.withColumns({"_us": F.unix_micros(time), "_wait": seconds.cast("bigint") * 1_000_000})
+    moments = rows.groupBy(*keys, "_us").agg(F.min(tiebreak).alias(tiebreak), F.min("_wait").alias("_wait"))
     if entry is not None:  # rows inside the carried cooldown can never be kept
         moments = (
             moments.join(entry, keys, "left")
             .where(F.col("blocked_until").isNull() | (F.col("_us") >= F.col("blocked_until")))
             .drop("blocked_until")
         )
-    key_fields = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
-
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["_us"].to_numpy(dtype="int64"))
-        soft_end = int(pdf["_chunk"].iloc[0]) * span + wait
-        out = []
-        for at in range(len(times)):
-            leave = int(times[_walk(times, at, wait)[-1]]) + wait
-            if out and out[-1][1] == leave:
-                out[-1] = (int(times[at]), leave)
-            else:
-                out.append((int(times[at]), leave))
-            if times[at] >= soft_end:
-                break
-        table = pd.DataFrame(out, columns=["_upto", "_leave"])
-        for k in reversed([*keys, "_chunk"]):
-            table.insert(0, k, pdf[k].iloc[0])
-        return table
-
-    step_rows = (
-        moments.select(*keys, "_chunk", "_us")
-        .groupBy(*keys, "_chunk")
-        .applyInPandas(steps, f"{key_fields}, _chunk bigint, _upto bigint, _leave bigint")
-    )
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocked, rows = _NEVER, []
-        for chunk, part in pdf.sort_values(["_chunk", "_upto"]).groupby("_chunk", sort=True):
-            rows.append((chunk, blocked))
-            upto, leave = part["_upto"].to_numpy(), part["_leave"].to_numpy()
-            at = int(np.searchsorted(upto, blocked, side="left"))
-            if at < len(upto):
-                blocked = int(leave[at])
-        table = pd.DataFrame(rows, columns=["_chunk", "_blocked"])
-        for k in reversed(keys):
-            table.insert(0, k, pdf[k].iloc[0])
-        return table
-
-    entries = step_rows.groupBy(*keys).applyInPandas(chain, f"{key_fields}, _chunk bigint, _blocked bigint")
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_us")
-        times = pdf["_us"].to_numpy(dtype="int64")
-        first = int(np.searchsorted(times, int(pdf["_blocked"].iloc[0]), side="left"))
-        return pdf.iloc[_walk(times, first, wait)][[*keys, "_us", tiebreak]]
-
-    kept = (
-        moments.join(entries, [*keys, "_chunk"])
-        .select(*keys, "_chunk", "_us", tiebreak, "_blocked")
-        .groupBy(*keys, "_chunk")
-        .applyInPandas(mark, f"{key_fields}, _us bigint, `{tiebreak}` {dict(df.dtypes)[tiebreak]}")
-    )
-    return (
-        df.withColumn("_us", F.unix_micros(time))
-        .join(kept, [*keys, "_us", tiebreak], "left_semi")
-        .drop("_us")
-    )
+    kept = moments.drop("_wait").join(chained(moments, keys, "_us", F.col("_wait")), [*keys, "_us"], "left_semi")
+    return rows.drop("_wait").join(kept, [*keys, "_us", tiebreak], "left_semi").select(*df.columns)

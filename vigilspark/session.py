@@ -57,8 +57,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return table
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of the shared file system, if it is there."""
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of the shared file system; none if it isn't there."""
+    files, target = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(target)) if files.exists(target) else []
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that ``materialize`` wrote, once nothing that is still to run reads them."""
     for table in tables:
-        path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.folder)
-        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        remove(table.sparkSession, table.folder)

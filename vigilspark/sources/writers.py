@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigilspark.session import discard, materialize, remove
+
 
 def with_event_date(df: DataFrame, time: str = "time") -> DataFrame:
     return df.withColumn("event_date", F.to_date(time))
@@ -29,9 +31,33 @@ def alert_messages(alerts: DataFrame) -> DataFrame:
     return alerts.select(F.col("service").alias("key"), F.to_json(F.struct(*alerts.columns)).alias("value"))
 
 
-def upsert_reports(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Existing rows not replaced by ``report_id``, and the new rows."""
-    return existing.join(new.select("report_id"), "report_id", "left_anti").unionByName(new, allowMissingColumns=True)
+def write_reports(reports: DataFrame, path: str, mode: str = "append") -> None:
+    """Append to the report table, partitioned by the date of generation."""
+    with_event_date(reports, "generated_at").write.mode(mode).partitionBy("event_date").parquet(path)
+
+
+def upsert_reports(new: DataFrame, path: str, key: str = "report_id", time: str = "generated_at") -> None:
+    """Write ``new`` into the report table: rows with a known ``key`` replace those stored, others are added.
+
+    Only date partitions that hold a replaced row or get a new one are rewritten (computed aside, then swapped by
+    dynamic overwrite); files of other dates stay as they are. Where they lie is found from the key column alone. Of
+    new rows with one key the latest by ``time`` counts. Columns that only one side has are null in the other's rows.
+    """
+    spark = new.sparkSession
+    latest = Window.partitionBy(key).orderBy(F.desc(time), F.xxhash64(*[c for c in new.columns if dict(new.dtypes)[c][:3] != "map"]))
+    fresh = materialize(with_event_date(new, time).withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r"))
+    stored = spark.read.parquet(path)
+    replaced = stored.select(key, "event_date").join(fresh.select(key), key, "left_semi").select("event_date")
+    dates = materialize(replaced.union(fresh.select("event_date")).distinct())
+    touched = [r[0] for r in dates.collect()]  # one row per day
+    kept = stored.where(F.col("event_date").isin(touched)).join(fresh.select(key), key, "left_anti")
+    rows = materialize(kept.unionByName(fresh, allowMissingColumns=True))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
+    full = {r[0] for r in rows.select("event_date").distinct().collect()}
+    for day in touched:
+        if day not in full:  # its rows have moved to other dates
+            remove(spark, f"{path}/event_date={day}")
+    discard(fresh, dates, rows)
 
 
 def dated_documents(reports: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Grouped jobs first count equal cells per window in the state store (keys include the measured value, so a
 busy service or window spreads over all state partitions); closed windows then go through the batch
-operator with the counts as weights. Jobs that need history (trailing buffer, cooldown) keep it as a
-small versioned table next to their output. Every micro-batch writes to ``batch_id=N`` and overwrites it
-when replayed, so a lost executor or a restart does not change the result.
+operator with the counts as weights. Checks of a service keep its newest events in the state store (``stateful``);
+the cooldown keeps a small versioned table next to its output. Every micro-batch writes to ``batch_id=N`` and
+overwrites it when replayed, so a lost executor or a restart does not change the result.
 """
 
 from __future__ import annotations
@@ -13,21 +13,25 @@ from functools import reduce
 from operator import and_
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigilspark.functions.scalars import with_metadata_fields
-from vigilspark.operators import alerts, attribution, forest, validation, windows
+from vigilspark.operators import alerts, attribution, detection, forest, validation, windows
 from vigilspark.operators.features import window_features
 from vigilspark.operators.rollups import rollup
 from vigilspark.plans.cooldown import cooldown_kept
 from vigilspark.schema import EVENT
+from vigilspark.session import children, remove
+from vigilspark.streaming import stateful
 
-# Fixed values of the rollup refresh: how long late events are still folded in.
-REFRESH_START = {"1 minute": "10 minutes", "5 minutes": "20 minutes", "1 hour": "3 hours"}
+# Fixed values of the rollup refresh, in seconds behind the newest event: how long a bucket is still revised, and from
+# when on it is there.
+REFRESH = {"1 minute": (600, 60), "5 minutes": (1_200, 300), "1 hour": (10_800, 3_600)}
+WIDTHS = {"1 minute": 60, "5 minutes": 300, "1 hour": 3_600}
 
 
 def table_stream(spark: SparkSession, path: str, schema=EVENT, files_per_trigger: int | None = None) -> DataFrame:
@@ -63,17 +67,65 @@ def closed_cells(events: DataFrame, window: str, slide: str | None, late: str, c
 
 
 def rollup_job(
-    events: DataFrame, width: str, path: str, checkpoint: str, late: str | None = None, trigger: dict | None = None
+    events: DataFrame, width: str, path: str, state_path: str, checkpoint: str, late_s: int | None = None, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Rollups of closed buckets (batch twin: ``rollup``)."""
-    measured = with_metadata_fields(events).where("has_latency")
-    cells = closed_cells(measured, width, None, late or REFRESH_START[width], ["service", "level", "latency_ms", "endpoint"])
+    """Rollups refreshed as events come (batch twin: ``rollup`` of the buckets closed by then; read ``rollup_table``).
 
-    def work(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("time", F.col("window_start")).withColumn("has_latency", F.lit(True))
-        save_batch(rollup(rows, width, weight="n"), path, batch_id)
+    A bucket is there once the newest event is the end offset past it, and is revised until the newest event is the
+    start offset past it (``late_s`` if given). Cells of equal events are counted in update mode; each micro-batch
+    stores the new counts of the cells it touched, the largest count of a cell is its latest. Output partitions (an
+    hour of minutes, a day of hours) with a bucket that was touched or has just closed are computed anew from their
+    cells and overwritten, so a replayed batch writes the same. Cells that no event can reach any more are removed.
+    """
+    start_s, end_s = REFRESH[width]
+    start_s, width_s = late_s or start_s, WIDTHS[width]
+    part = lambda c: F.date_format(c, "yyyy-MM-dd" if width_s >= 3_600 else "yyyy-MM-dd-HH")
+    columns = ["service", "level", "latency_ms", "endpoint"]
+    cells = (
+        with_metadata_fields(events)
+        .where("has_latency")
+        .withWatermark("time", f"{start_s} seconds")
+        .groupBy(F.window("time", width).alias("w"), *columns)
+        .agg(F.count("*").alias("n"), F.max("time").alias("last"))
+        .select(F.col("w.start").alias("bucket"), *columns, "n", "last")
+        .withColumn("part", part(F.col("bucket")))
+    )
+    clock = Versions(f"{state_path}/clock")
 
-    return run(cells, work, checkpoint, trigger)
+    def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        replace = lambda df, to, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(to)
+        replace(batch.withColumn("batch_id", F.lit(batch_id)), f"{state_path}/cells", "part", "batch_id")
+        if not children(spark, f"{state_path}/cells"):
+            return
+        stored = spark.read.schema(batch.withColumn("batch_id", F.lit(0)).schema).parquet(f"{state_path}/cells")
+        mine = stored.where(F.col("batch_id") == batch_id).agg(F.max("last").alias("newest"), F.min("part").alias("part")).first()
+        before = clock.read(spark, batch_id)
+        before = before.first() if before is not None else None
+        newest = max([x for x in (mine["newest"], before["newest"] if before else None) if x is not None], default=None)
+        clock.write(spark.createDataFrame([(newest,)], "newest timestamp"), batch_id)
+        if newest is None:
+            return
+        since = (before["newest"] if before and before["newest"] else newest) - timedelta(seconds=end_s + width_s)
+        low = F.least(part(F.lit(since)), F.lit(mine["part"]) if mine["part"] else part(F.lit(since)))
+        closed = F.col("bucket") + F.expr(f"INTERVAL {width_s + end_s} SECONDS") <= F.lit(newest)
+        rows = stored.where((F.col("part") >= low) & closed).groupBy("part", "bucket", *columns).agg(F.max("n").alias("n"))
+        rows = rows.withColumn("time", F.col("bucket")).withColumn("has_latency", F.lit(True)).drop("part", "bucket")
+        replace(rollup(rows, width, weight="n").withColumn("part", part(F.col("bucket"))), path, "part")
+        if before and before["newest"]:
+            old = before["newest"] - timedelta(seconds=start_s + end_s + 2 * width_s + 86_400)
+            name = f"part={old:%Y-%m-%d}" if width_s >= 3_600 else f"part={old:%Y-%m-%d-%H}"
+            for folder in children(spark, f"{state_path}/cells"):
+                if folder.startswith("part=") and folder < name:
+                    remove(spark, f"{state_path}/cells/{folder}")
+
+    writer = cells.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
+    return writer.foreachBatch(work).start()
+
+
+def rollup_table(spark: SparkSession, path: str) -> DataFrame:
+    """The buckets that ``rollup_job`` has written."""
+    return spark.read.parquet(path).drop("part")
 
 
 def feature_job(
@@ -100,24 +152,22 @@ def feature_job(
     return run(cells, work, checkpoint, trigger)
 
 
-def scoring_sink(
-    model: forest.Forest, anomalies_path: str, alerts_path: str, service: str = "all", explain: bool = True
+def detection_sink(
+    checks_path: str, anomalies_path: str, alerts_path: str, model: forest.Forest | None = None, explain: bool = True
 ) -> Callable[[DataFrame, int], None]:
-    """Scores feature rows and appends flagged windows to the anomaly table and the alert messages."""
+    """Saves every scored check; kept ones go to the anomaly table and the alert messages, explained by the model."""
 
-    def work(features: DataFrame, batch_id: int) -> None:
+    def work(batch: DataFrame, batch_id: int) -> None:
         from vigilspark.sources.writers import alert_messages
 
-        flagged = forest.score(features, model).where("is_anomaly")
-        if explain:
-            flagged = attribution.attribute(flagged, model)
-        records = alerts.alert_records(
-            flagged.withColumn("service", F.lit(service))
-            .withColumn("detected_at", F.col("window_end"))
-            .withColumn("window_size", F.col("event_count").cast("bigint")),
-            model.names,
-        )
-        records = records.persist()
+        save_batch(detection.typed(batch), checks_path, batch_id)
+        kept = batch.sparkSession.read.parquet(f"{checks_path}/batch_id={batch_id}").where("kept")
+        rows = kept.withColumn("detected_at", F.col("tick"))
+        if model is not None and explain:
+            judged = forest.score(rows.drop("score", "threshold", "is_anomaly"), model).drop("score", "threshold")
+            known = rows.select("service", "tick", "score", "threshold")
+            rows = attribution.attribute(judged.withColumn("is_anomaly", F.lit(True)), model).join(known, ["service", "tick"])
+        records = alerts.alert_records(rows).persist()
         save_batch(alerts.anomaly_rows(records), anomalies_path, batch_id)
         alert_messages(records).write.mode("overwrite").json(f"{alerts_path}/batch_id={batch_id}")
         records.unpersist()
@@ -125,6 +175,28 @@ def scoring_sink(
     return work
 
 
+def detection_job(
+    events: DataFrame,
+    judge: detection.RuleJudge,
+    sink: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    interval_s: int,
+    size: int = 1000,
+    cooldown_s: int = 120,
+    tiebreak: str = "event_id",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Detection per service over its trailing buffer with cooldown (twin: ``detection.detections``).
+
+    ``events`` have time, service, the tie-break, level and valid_latency. Start it in a ``stateful_session``.
+    """
+    answers = stateful.checks(
+        events, ["level", "valid_latency"], tiebreak, detection.DETECTION,
+        lambda schema: stateful.ServiceChecks(schema, tiebreak, interval_s, size, judge, cooldown_s),
+    )
+    return run(answers, sink, checkpoint, trigger)
+
+
 def ingest_job(
     raw: DataFrame, events_path: str, quarantine_path: str, checkpoint: str, host: str, trigger: dict | None = None
 ) -> StreamingQuery:
@@ -149,7 +221,7 @@ def deduplicated(events: DataFrame, late: str = "10 minutes", keys: tuple[str, .
 
 
 class Versions:
-    """A table rewritten by every micro-batch: batch N reads version N-1 and writes version N.
+    """A table rewritten by every micro-batch: batch N reads version N-1 and writes version N; two versions are kept.
 
     A missing earlier version is an error, never an empty state.
     """
@@ -162,6 +234,7 @@ class Versions:
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+        remove(df.sparkSession, f"{self.path}/v={batch_id - 2}")
 
 
 def cooldown_job(
@@ -194,52 +267,24 @@ def cooldown_job(
 def trailing_buffer_job(
     events: DataFrame,
     path: str,
-    state_path: str,
     checkpoint: str,
     interval_s: int,
     size: int = 1000,
-    late_s: int = 0,
     tiebreak: str = "event_id",
-    cell_seconds: int = 3_600,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """The newest ``size`` events per service at every check (twin: ``trailing_buffer`` over ``regular_ticks``).
-
-    A check is answered once events ``late_s`` newer than it have arrived. State: the newest ``size``
-    answered events of a service, the unanswered ones, and each service's first event time.
-    """
-    kept_state, first_state, clock = Versions(f"{state_path}/events"), Versions(f"{state_path}/first"), Versions(f"{state_path}/clock")
-
-    def work(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before, first_before, time_before = (s.read(spark, batch_id) for s in (kept_state, first_state, clock))
-        rows = batch if before is None else before.unionByName(batch)
-        first = batch.groupBy("service").agg(F.min("time").alias("first"))
-        if first_before is not None:
-            first = first_before.unionByName(first).groupBy("service").agg(F.min("first").alias("first"))
-        first_state.write(first, batch_id)
-        newest: datetime | None = rows.agg(F.max("time")).first()[0]
-        done: datetime | None = time_before.first()[0] if time_before is not None else None
-        now = newest - timedelta(seconds=late_s) if newest else done
-        if done is not None and (now is None or now < done):
-            now = done
-        clock.write(spark.createDataFrame([(now,)], "done timestamp"), batch_id)
-        step = F.expr(f"INTERVAL {int(interval_s)} SECONDS")
-        checks = (
-            spark.read.parquet(f"{state_path}/first/v={batch_id}")
-            .where((F.col("first") + step) <= F.lit(now))
-            .select("service", F.explode(F.sequence(F.col("first") + step, F.lit(now).cast("timestamp"), step)).alias("tick"))
-        )
-        if done is not None:
-            checks = checks.where(F.col("tick") > F.lit(done))
-        answered = windows.trailing_buffer(rows, checks, size, "tick", tiebreak, cell_seconds)
-        save_batch(answered, path, batch_id)
-        recent = Window.partitionBy("service").orderBy(F.desc("time"), F.desc(tiebreak))
-        old = rows.where(F.col("time") <= F.lit(now)).withColumn("_r", F.row_number().over(recent))
-        keep = old.where(F.col("_r") <= size).drop("_r").unionByName(rows.where(F.col("time") > F.lit(now)))
-        kept_state.write(keep, batch_id)
-
-    return run(events, work, checkpoint, trigger)
+    """The newest ``size`` events per service at every check (twin: ``trailing_buffer`` over ``event_checks``)."""
+    columns = [c for c in events.columns if c not in ("service", "time")]
+    kinds = dict(events.dtypes)
+    output = "service string, tick_us long, age long, at_us long, " + ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+    answers = stateful.checks(
+        events, columns, tiebreak, output,
+        lambda schema: stateful.ServiceChecks(schema, tiebreak, interval_s, size, stateful.buffer_rows(["at_us", *columns])),
+    )
+    rows = answers.select(
+        "service", F.timestamp_micros("tick_us").alias("tick"), F.timestamp_micros("at_us").alias("time"), "age", *columns
+    )
+    return run(rows, lambda batch, i: save_batch(batch, path, i), checkpoint, trigger)
 
 
 def context_job(
