@@ -12,8 +12,10 @@ compared and sorted by content, never by hash.
 Copies meet only as counted rows: the distinct blocks and pairs are written before they are joined back, so both
 sides of each join are plain shuffles whose hot keys Spark splits.
 
-Nulls count as empty texts. Rows are told apart by id and text; repeated rows are copies of each other of which
-one stays. A null id sorts after all others. Other columns pass through ``keep_first`` unchanged.
+Nulls count as empty texts. Rows are told apart by id and text (a 64-bit hash of the original text beside the digest of
+the normalised one); repeated rows are copies of each other of which one stays. A null id sorts after all others. Of
+equal texts with one id and length the original with the smallest hash stays. Other columns pass through ``keep_first``
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -79,49 +81,56 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bloc
 
     Of equal texts the longest original stays, then the smallest id.
     """
-    raw = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"), raw.alias("text"), F.length(raw).cast("long").alias("n_chars"), F.sha2(normalised(F.col(text)), 256).alias("text_sha256")
-    )
-    key = F.struct("doc_id", "text_sha256").alias("key")  # the digest tells rows of one id apart, nothing else
-    slim = materialize(rows.groupBy("doc_id", "n_chars", "text_sha256").agg(F.count(F.lit(1)).alias("copies")))
-    same = identities(rows.select(key, "text"), block).distinct()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *_form(F.col(text)))
+    form = ["doc_id", "n_chars", "text_sha256", "raw"]
+    slim = materialize(rows.groupBy(*form).agg(F.count(F.lit(1)).alias("copies")))
+    same = identities(rows.select(F.struct(*form).alias("key"), F.coalesce("text", F.lit("")).alias("text")), block).distinct()
 
-    mine = slim.withColumn("key", key).join(same, "key", "left")
+    mine = slim.withColumn("key", F.struct(*form)).join(same, "key", "left")
     alone = mine.filter(F.col("name").isNull())
     shared = materialize(mine.filter(F.col("name").isNotNull()).drop("key"))
-    first = F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), "doc_id")).alias("first")
+    first = F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), "doc_id", "raw")).alias("first")
     groups = materialize(
         shared.groupBy("blocks", "name").agg(first, F.sum("copies").alias("group_size"))
     )
-    shared = shared.join(groups, ["blocks", "name"]).withColumn("keep_id", F.col("first.doc_id")).withColumn(
-        "best", (F.col("n_chars") == -F.col("first.col1")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-    )
-    columns = ["doc_id", "n_chars", "text_sha256", "copies", "keep_id", "group_size", "best"]
-    alone = alone.select(
-        "doc_id", "n_chars", "text_sha256", "copies", F.col("doc_id").alias("keep_id"), F.col("copies").alias("group_size"), F.lit(True).alias("best")
-    )
+    best = (F.col("n_chars") == -F.col("first.col1")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("raw") == F.col("first.raw"))
+    shared = shared.join(groups, ["blocks", "name"]).withColumns({"keep_id": F.col("first.doc_id"), "best": best})
+    columns = [*form, "copies", "keep_id", "group_size", "best"]
+    alone = alone.select(*form, "copies", F.col("doc_id").alias("keep_id"), F.col("copies").alias("group_size"), F.lit(True).alias("best"))
     out = shared.select(*columns).unionByName(alone)
     out = out.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return out.select(
-        "doc_id", "n_chars", "text_sha256", "keep_id", "group_size", (F.col("best") & (F.col("copy") == 1)).alias("kept")
+        "doc_id", "n_chars", "text_sha256", "raw", "copies", "keep_id", "group_size", (F.col("best") & (F.col("copy") == 1)).alias("kept")
     )
 
 
+def _form(text: Column) -> list[Column]:
+    """What tells texts of one id apart: code points, digest of the normalised text, hash of the original."""
+    raw = F.coalesce(text, F.lit(""))
+    return [F.length(raw).cast("long").alias("n_chars"), F.sha2(normalised(text), 256).alias("text_sha256"), F.xxhash64(raw).alias("raw")]
+
+
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that agree in id and text one stays."""
-    stay = duplicates(docs, text, doc_id, block).filter("kept")
-    stay = stay.select(F.col("doc_id").alias("_id"), F.col("n_chars").alias("_n"), F.col("text_sha256").alias("_sha")).distinct()
-    raw = F.coalesce(F.col(text), F.lit(""))
-    mine = docs.withColumns({"_length": F.length(raw).cast("long"), "_digest": F.sha2(normalised(F.col(text)), 256)})
-    on = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_length") == F.col("_n")) & (F.col("_digest") == F.col("_sha"))
-    first = Window.partitionBy(doc_id, "_length", "_digest").orderBy(text)
-    return (
-        mine.join(stay, on, "left_semi")
-        .withColumn("_at", F.row_number().over(first))
-        .filter("_at = 1")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    """The rows of ``docs`` that stay, with all their columns; of rows that agree in id and text one stays.
+
+    Only rows that occur more than once are grouped, and tasks fold their own before the shuffle.
+    """
+    stay = materialize(duplicates(docs, text, doc_id, block).filter("kept"))
+    form = ["n_chars", "text_sha256", "raw"]
+    mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    field = lambda c: F.col("row").getField(c)
+    mine = mine.select("row", field(doc_id).alias("id"), *_form(field(text)))
+
+    def those(kept: DataFrame) -> DataFrame:
+        kept = kept.select(F.col("doc_id").alias("stay"), *form)
+        on = F.col("id").eqNullSafe(F.col("stay"))
+        for c in form:
+            on = on & (mine[c] == kept[c])
+        return mine.join(kept, on, "left_semi")
+
+    once = those(stay.filter("copies = 1")).select("row")
+    often = those(stay.filter("copies > 1")).groupBy("id", *form).agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(often).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
