@@ -9,7 +9,8 @@ the k best of a shard are exact, and the best of all shards' lists are the resul
 
 Candidates fall into shards of SHARD rows by position, queries into blocks of QUERIES; a task takes one block against
 one shard, so its memory is bounded at any size, and shards and blocks are only replicated against each other as
-rows. A query's row is not its own candidate: rows with its id are left out.
+rows. A query's own row is not its candidate: both tables carry a ``row`` number, and the candidate with the query's is
+left out. Queries with one id are separate queries.
 
 Null vectors and vectors with null or non-finite components take no part; shorter vectors count as filled with zeros.
 Null ids take no part. Repeated rows are separate candidates; ties go to the smaller id. Sums must stay below 2**53.
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilspark.session import materialize
+
 SHARD = 2048
 QUERIES = 4096
 #: Terms added at a time; the first step is the least essential set.
@@ -42,15 +45,15 @@ def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def top_k(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int, k: int, low: np.ndarray, high: np.ndarray):
-    """Ids and scores of the k best rows of ``vectors`` for one query, best first."""
+def top_k(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int, k: int, low: np.ndarray, high: np.ndarray):
+    """Ids and scores of the k best rows of ``vectors`` for one query, best first; the row numbered ``own`` is left out."""
     a, b = query * low, query * high
     bound = np.abs(a - b)
     terms = np.argsort(-bound, kind="stable")
     left = np.append(np.cumsum(bound[terms][::-1])[::-1], 0.0)  # what the terms from here on can add
     base = np.minimum(a, b)[terms]
     rest = np.append(np.cumsum(base[::-1])[::-1], 0.0)
-    alive = np.flatnonzero(ids != own)
+    alive = np.flatnonzero(rows != own)
     partial = np.zeros(len(alive))
     beat = -np.inf
     at = 0
@@ -67,9 +70,15 @@ def top_k(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int, k:
     return ids[alive][order], partial[order].astype(np.int64)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with a ``row`` number, written once so that it never changes."""
+    return materialize(rows.withColumn("row", F.monotonically_increasing_id()))
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """``rows`` and ``queries``: vec_id, vector (array of long). Returns query_id, rank, vec_id, score."""
-    rows, queries = rows.filter("vec_id IS NOT NULL AND vector IS NOT NULL"), queries.filter("vec_id IS NOT NULL AND vector IS NOT NULL")
+    """``rows`` and ``queries``: vec_id, vector (array of long), row. Returns query_id, rank, vec_id, score."""
+    usable = "vec_id IS NOT NULL AND vector IS NOT NULL"
+    rows, queries = rows.filter(usable), queries.filter(usable)
     n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     n_queries = queries.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_queries // QUERIES))
@@ -77,41 +86,43 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     def dealt(df: DataFrame, own: str, of: int, other: str, others: int) -> DataFrame:
         at = (F.monotonically_increasing_id() + F.spark_partition_id() * 7919) % of  # rows of a file go round the shards
-        return df.select("vec_id", "vector", at.alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        return df.select("vec_id", "vector", "row", at.alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         if left.num_rows and right.num_rows:
-            ids, vectors = left.column("vec_id").to_numpy(), _matrix(left.column("vector"), width)
+            ids, own, vectors = left.column("vec_id").to_numpy(), left.column("row").to_numpy(), _matrix(left.column("vector"), width)
             low, high = vectors.min(axis=0), vectors.max(axis=0)
-            for own, query in zip(right.column("vec_id").to_numpy(), _matrix(right.column("vector"), width)):
-                best, scores = top_k(ids, vectors, query, own, k, low, high)
-                found.append((np.full(len(best), own), best, scores))
-        columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=np.int64) for i in range(3)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
+            asked = zip(right.column("vec_id").to_numpy(), right.column("row").to_numpy(), _matrix(right.column("vector"), width))
+            for query_id, row, query in asked:
+                best, scores = top_k(ids, own, vectors, query, row, k, low, high)
+                found.append((np.full(len(best), query_id), np.full(len(best), row), best, scores))
+        columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=np.int64) for i in range(4)]
+        return pa.table(dict(zip(("query_id", "row", "vec_id", "score"), columns)))
 
     a = dealt(rows, "shard", shards, "block", blocks).groupBy("shard", "block")
     b = dealt(queries, "block", blocks, "shard", shards).groupBy("shard", "block")
-    lists = a.cogroup(b).applyInArrow(score, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows from each shard
+    lists = a.cogroup(b).applyInArrow(score, "query_id long, row long, vec_id long, score long")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")  # k rows from each shard
     return lists.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: the five best of ``embeddings`` for every vec_id divisible by 50."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", quantised(F.col("embedding")).alias("vector"))
+    rows = numbered(rows)
     return search(rows, rows.filter("vec_id % 50 = 0"), 5)
 
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND vec_id IS NOT NULL
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+  SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
