@@ -3,7 +3,8 @@
 The trees (Spark ML) learn from labelled URLs: 1 is block. Features: length, depth, digit ratio, character entropy,
 parameter counts, labels and hyphens of the host, and statistics of suffixes counted over all URLs: how many URLs and
 hosts end in the same last label and the same last two labels, and how many paths begin alike. No feature reads a
-label. Training takes at most ``max_labelled`` labelled URLs, in MD5 order of the URL; counts use every row.
+label. Training takes at most ``max_labelled`` distinct URLs of each class, in MD5 order, weighted by their rows; counts
+use every row.
 
 Suffix tables are pre-aggregated by suffix and host and written before they are joined, so a suffix of half the rows
 is counted in parts, and its join is a broadcast below Spark's size limit or else a join whose hot keys are split.
@@ -32,7 +33,7 @@ RULES = (
     ("com/de/", "block"),
 )
 #: Labelled URLs for training, at most.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 10_000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FEATURES = [
@@ -101,14 +102,25 @@ def features(pages: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 5):
-    """A model from rows with FEATURES, url and label (0 or 1; null: unlabelled); None without both classes."""
-    sample = labelled.filter("label IS NOT NULL").withColumn("_at", F.md5(F.coalesce("url", F.lit(""))))
-    sample = sample.orderBy("_at", "url").limit(max_labelled).select(F.col("label").cast("double").alias("label"), *FEATURES)
-    sample = materialize(sample)
-    if sample.select("label").distinct().count() < 2:
+    """A model from rows with FEATURES, url and label (0 or 1; null: unlabelled); None without both classes.
+
+    Of each class the first ``max_labelled`` distinct URLs in MD5 order are read. A URL counts as often as it occurs,
+    and a sampled one stands for the class's others, so neither a URL that fills the table nor a rare class is lost.
+    """
+    known = labelled.filter("label IS NOT NULL").withColumn("url", F.coalesce("url", F.lit("")))
+    each = known.groupBy("label", "url").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.first(c).alias(c) for c in FEATURES])
+    each = materialize(each)
+    whole = {r["label"]: r["rows"] for r in each.groupBy("label").agg(F.sum("n").alias("rows")).collect()}
+    if len(whole) < 2:
         return None
+    parts = []
+    for label, rows in sorted(whole.items()):
+        part = materialize(each.filter(F.col("label") == label).orderBy(F.md5("url"), "url").limit(max_labelled))
+        scale = rows / part.agg(F.sum("n")).first()[0]
+        parts.append(part.select(F.col("label").cast("double").alias("label"), (F.col("n") * scale).alias("weight"), *FEATURES))
+    sample = materialize(parts[0].unionByName(parts[1]))
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample)
-    return GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, maxBins=64, seed=seed, cacheNodeIds=False).fit(rows)
+    return GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, maxBins=64, seed=seed, cacheNodeIds=False, weightCol="weight").fit(rows)
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: Sequence[tuple[str, str]] = RULES, max_labelled: int = MAX_LABELLED) -> DataFrame:
