@@ -113,7 +113,7 @@ def mix(
         F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(F.lit(0)).alias("part"),
     )
     rows = rows.join(plan, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in LEVELS])
-    place = ranks.seeded(F.concat_ws("/", F.lit(seed), F.col("whole")), F.col("in_doc_id"))  # its own order each epoch
+    place = ranks.seeded(F.concat_ws("/", F.lit(seed), F.col("whole")), F.col("in_doc_id"), F.col("in_text"))  # its own order each epoch
     rows = rows.withColumns({"_place": place, "_bytes": F.crc32(F.coalesce(F.col("in_text"), F.lit("")).cast("binary"))})
     rows = ranks.running(rows, [f"_{k}" for k in LEVELS], "_place", ["in_doc_id", "_bytes"], F.col("tokens"), "end")
     copies = F.col("whole") + F.when(F.col("end") <= F.col("part"), 1).otherwise(0)

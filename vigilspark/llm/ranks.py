@@ -1,6 +1,6 @@
 """Seeded orders and running sums of any number of rows, with built-in functions only.
 
-A row's place is its MD5 over a seed and its id. The first digits of that digest cut the order into cells of like
+A row's place is its MD5 over a seed, its id and a hash of its text. The first digits of that digest cut the order into cells of like
 size, however many rows one group holds; sums per cell are added up cell by cell, and rows are sorted inside one
 cell of one group.
 """
@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 DIGITS = 3
 
 
-def seeded(seed: int | Column, doc_id: Column) -> Column:
-    """Place of a row in the order of ``seed``: 32 hex digits."""
-    return F.md5(F.concat_ws(":", F.lit(seed) if isinstance(seed, int) else seed, F.coalesce(doc_id.cast("string"), F.lit(""))))
+def seeded(seed: int | Column, doc_id: Column, text: Column) -> Column:
+    """Place of a row in the order of ``seed``: 32 hex digits, from its id and a hash of its text, so that rows of one
+    id or none spread like others."""
+    named = F.coalesce(doc_id.cast("string"), F.lit(""))
+    return F.md5(F.concat_ws(":", F.lit(seed) if isinstance(seed, int) else seed, named, F.xxhash64(text).cast("string")))
 
 
 def running(df: DataFrame, keys: list[str], place: str, order: list[str], value: Column, name: str, digits: int = DIGITS) -> DataFrame:
