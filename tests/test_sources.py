@@ -112,6 +112,8 @@ def test_upsert_rewrites_touched_dates_only(spark, tmp_path):
     from vigilspark.sources import writers
 
     path = str(tmp_path / "reports")
+    writers.upsert_reports(spark.createDataFrame([("x", T0, "1")], "report_id string, generated_at timestamp, content string"), f"{path}-new")
+    assert spark.read.parquet(f"{path}-new").count() == 1  # a table that isn't there yet
     day = lambda d: T0 + timedelta(days=d)
     schema = "report_id string, generated_at timestamp, content string"
     old = [("a", day(0), "1"), ("b", day(0), "1"), ("c", day(1), "1"), ("d", day(2), "1"), ("e", day(4), "1")]

@@ -13,7 +13,8 @@ from vigilspark.operators.rollups import rollup
 from vigilspark.operators.windows import event_checks, trailing_buffer
 from vigilspark.plans.cooldown import cooldown_kept
 from vigilspark.sources.readers import event_stream
-from vigilspark.schema import FEATURE_NAMES
+from vigilspark.schema import EVENT, FEATURE_NAMES
+from vigilspark.session import materialize
 from vigilspark.streaming import jobs, stateful
 
 T0 = datetime(2024, 1, 1)
@@ -88,21 +89,21 @@ def test_trailing_buffer_across_restarts(spark, stateful_spark, tmp_path, size):
 
 def test_detection_across_restarts(spark, stateful_spark, tmp_path):
     """The stream keeps and suppresses the same alerts as the batch, per service; state holds the newest events only."""
-    parts = [frame(spark, range(k * 1000, k * 1000 + 990, 3), "payment-service").withColumn("event_id", F.col("event_id") + 10_000 * k) for k in range(3)]
+    parts = [frame(spark, range(k * 1000, k * 1000 + 990, 3), "payment-service").withColumn("event_id", F.col("event_id") + 10_000 * k) for k in range(2)]
     parts = [p.unionByName(frame(spark, range(k * 1000, k * 1000 + 900, 200), "quiet").withColumn("event_id", F.col("event_id") + 10_000 * k + 5_000)) for k, p in enumerate(parts)]
     parts = [with_metadata_fields(p).select("event_id", "time", "service", "level", "valid_latency") for p in parts]
     out = {n: str(tmp_path / n) for n in ("checks", "anomalies", "alerts")}
     sink = jobs.detection_sink(out["checks"], out["anomalies"], out["alerts"])
     job = lambda s: jobs.detection_job(s, detection.RuleJudge(-0.1), sink, str(tmp_path / "ck"), 60, 40, 200)
     feed(stateful_spark, parts, str(tmp_path / "in"), job)
-    events = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    want = detection.detections(events, 60, 40, 10, 200, threshold=-0.1)
+    events = parts[0].unionByName(parts[1])
+    want = materialize(detection.detections(events, 60, 40, 10, 200, threshold=-0.1))
     columns = ["service", "tick", "window_size", "window_start", "window_end", "score", "is_anomaly", "kept", "error_rate", "p95_latency_ms", "payment-service_p95_latency"]
     names = [f"`{c}`" for c in columns]
     got = spark.read.parquet(out["checks"])
     assert _rows(got, names) == _rows(want, names)
     kept = {r["anomaly_id"] for r in want.where("kept").collect()}
-    assert len(kept) > 5 and want.where("is_anomaly AND NOT kept").count() > 5 and want.agg(F.min("window_size")).first()[0] == 10
+    assert len(kept) > 4 and want.where("is_anomaly AND NOT kept").count() > 4 and want.agg(F.min("window_size")).first()[0] == 10
     assert {r["anomaly_id"] for r in spark.read.parquet(out["anomalies"]).collect()} == kept
     assert spark.read.json(out["alerts"]).count() == len(kept)
 
@@ -136,6 +137,9 @@ def test_ingest_from_json_lines(spark, tmp_path):
     job.awaitTermination()
     stored = spark.read.parquet(str(tmp_path / "ev")).collect()
     assert len(stored) == 2 and all(r["host"] == "h1" and r["ingested_at"] is not None for r in stored)
+    assert len({r["event_id"] for r in stored}) == 1 and {(r["has_latency"], r["valid_latency"]) for r in stored} == {(True, 3.0)}  # sent twice
+    typed = jobs.table_stream(spark, str(tmp_path / "ev"))
+    assert set(EVENT.names) <= set(typed.columns) and detection.check_windows(spark.read.schema(EVENT).parquet(str(tmp_path / "ev")), 60).count() == 0
     assert sorted(r["status"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == ["unmarshal_error", "validation_error"]
 
 

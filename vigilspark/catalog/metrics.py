@@ -263,6 +263,67 @@ def rate_gauges(spark, sf_dir):
     return rollups.trailing_rates(counts, ["service"], {"rate_1m": 60, "rate_5m": 300, "rate_1h": 3600})
 
 
+_SCORE_BOUNDS = (-0.9, -0.6, -0.45, -0.3, -0.25, -0.2)
+_SCORE_LIST = "[" + ", ".join(f"{b}::DOUBLE" for b in _SCORE_BOUNDS) + "]"
+_SLOT = f"CAST(len(list_filter({_SCORE_LIST}, lambda b: b < score)) AS INT)"
+
+
+def _trailing_sum(keys: str, seconds: int) -> str:
+    return f"sum(n) OVER (PARTITION BY {keys} ORDER BY bucket RANGE BETWEEN INTERVAL {seconds - 1} SECOND PRECEDING AND CURRENT ROW)"
+
+
+@query(
+    "score_quantile",
+    sql(
+        "SELECT severity, q, " + r6("CASE WHEN slot = 6 THEN -0.2 ELSE lo + (hi - lo) * (q * total - (upto - n)) / n END")
+        + " AS value FROM (SELECT *, CASE WHEN slot = 0 THEN least(0.0, hi) ELSE list_extract(bounds, slot) END AS lo FROM (SELECT severity, slot, n, bounds, "
+        "list_extract(bounds, least(slot, 5) + 1) AS hi, sum(n) OVER (PARTITION BY severity ORDER BY slot) AS upto, sum(n) OVER (PARTITION BY severity) AS total "
+        f"FROM (SELECT severity, {_SLOT} AS slot, count(*) AS n, {_SCORE_LIST} AS bounds FROM anom GROUP BY 1, 2))), "
+        "(SELECT unnest([0.5::DOUBLE, 0.9]) AS q) WHERE upto >= q * total AND upto - n < q * total",
+        "anom",
+    ),
+)
+def score_quantile(spark, sf_dir):
+    """Median and 90th percentile of the scores from buckets with negative bounds, per severity."""
+    return rollups.histogram_quantiles(anomalies(spark, sf_dir), "score", _SCORE_BOUNDS, (0.5, 0.9), ["severity"])
+
+
+@query(
+    "detection_gauges",
+    sql(
+        f"SELECT kind, {ts('bucket')} AS bucket, n, {r6('60 * ' + _trailing_sum('kind', 300) + ' / 300.0')} AS per_min_5m, "
+        f"{r6('60 * ' + _trailing_sum('kind', 3600) + ' / 3600.0')} AS per_min_1h, "
+        "CAST(sum(n) OVER (PARTITION BY kind ORDER BY bucket) AS BIGINT) AS running_total FROM (SELECT kind, time_bucket(INTERVAL 1 MINUTE, time) AS bucket, "
+        "count(*) AS n FROM (SELECT 'anomaly' AS kind, time FROM anom UNION ALL SELECT 'prediction', window_end FROM scored) GROUP BY 1, 2)",
+        "anom", "scored",
+    ),
+)
+def detection_gauges(spark, sf_dir):
+    """Predictions and anomalies a minute over trailing five minutes and an hour, and their totals."""
+    found = anomalies(spark, sf_dir).select(F.lit("anomaly").alias("kind"), "time")
+    made = scored(spark, sf_dir).select(F.lit("prediction").alias("kind"), F.col("window_end").alias("time"))
+    counts = rollups.counts_per_bucket(found.unionByName(made), "1 minute", ["kind"])
+    rates = rollups.trailing_rates(counts, ["kind"], {"per_min_5m": 300, "per_min_1h": 3600})
+    per_minute = {c: F.col(c) * 60 for c in ("per_min_5m", "per_min_1h")}
+    return rates.withColumns(per_minute).select("kind", "bucket", "n", "per_min_5m", "per_min_1h", "running_total")
+
+
+@query(
+    "score_buckets",
+    sql(
+        f"SELECT slot, {ts('bucket')} AS bucket, n, {r6(_trailing_sum('slot', 86_400) + ' / 86400.0')} AS rate_1d FROM "
+        f"(SELECT {_SLOT} AS slot, time_bucket(INTERVAL 1 MINUTE, time) AS bucket, count(*) AS n FROM anom GROUP BY 1, 2)",
+        "anom",
+    ),
+)
+def score_buckets(spark, sf_dir):
+    """Anomalies a second over a trailing day in each score bucket."""
+    edges = F.array(*[F.lit(b) for b in _SCORE_BOUNDS])
+    rows = anomalies(spark, sf_dir).select("time", F.size(F.filter(edges, lambda b: b < F.col("score"))).alias("slot"))
+    counts = rollups.counts_per_bucket(rows, "1 minute", ["slot"])
+    return rollups.trailing_rates(counts, ["slot"], {"rate_1d": 86_400}).select("slot", "bucket", "n", "rate_1d")
+
+
 # -- joins ----------------------------------------------------------------------
 
 

@@ -179,7 +179,7 @@ def anomaly_list(spark, sf_dir):
 @query("anomaly_by_id", sql(f"{_ANOMALY} WHERE anomaly_id = (SELECT min(anomaly_id) FROM anom)", "anom"))
 def anomaly_by_id(spark, sf_dir):
     rows = anomalies(spark, sf_dir)
-    wanted = rows.agg(F.min("anomaly_id")).first()[0]
+    wanted = rows.agg(F.min("anomaly_id")).scalar()
     return listing.anomaly_by_id(rows, wanted).drop("features")
 
 
@@ -192,7 +192,7 @@ _REPORT = (
 @query("report_by_id", sql(f"{_REPORT}, content FROM reps WHERE report_id = (SELECT max(report_id) FROM reps)", "reps"))
 def report_by_id(spark, sf_dir):
     rows = report_rows(spark, sf_dir)
-    wanted = rows.agg(F.max("report_id")).first()[0]
+    wanted = rows.agg(F.max("report_id")).scalar()
     return listing.report_by_id(rows, rows, wanted).select(
         "report_id", "anomaly_id", "service", "severity", "model", "tokens_used", "cost_usd", "generated_at", "content"
     )

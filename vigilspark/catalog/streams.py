@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.catalog.base import (
-    DETECTION_SQL, FEATURE_LIST_SQL, STRIDE_S, THRESHOLD, WINDOW_S, anomalies, as_of, checks_sql, feature_table, query, r6, raw_json,
+    DETECTION_SQL, FEATURE_LIST_SQL, STRIDE_S, THRESHOLD, WINDOW_S, anomalies, as_of, checks_sql, feature_table, labelled_series, query, r6, raw_json,
     raw_telemetry, report_rows, rule_alerts, series, sql, stream_spans, telemetry, timeline, ts,
 )
 from vigilspark.catalog.metrics import _CONTEXT, _rollup_body
@@ -26,7 +26,7 @@ def _work(spark) -> str:
 
 
 #: State partitions of the fixture streams, as a job's author would fix them at its first start.
-STATE_PARTITIONS = 8
+STATE_PARTITIONS = 4
 
 
 def _stream_session(spark):
@@ -126,7 +126,7 @@ def stream_cooldown(spark, sf_dir):
     work = _work(spark)
     _drain(
         spark, rule_alerts(spark, sf_dir), work,
-        lambda s: jobs.cooldown_job(s, f"{work}/out", f"{work}/state", f"{work}/ck", 3_600),
+        lambda s: jobs.cooldown_job(s, f"{work}/out", f"{work}/state", f"{work}/ck", 3_600), parts=2,
     )
     return spark.read.parquet(f"{work}/out").select("service", "time", "anomaly_id")
 
@@ -143,7 +143,7 @@ def stream_cooldown(spark, sf_dir):
 def stream_trailing_buffer(spark, sf_dir):
     work = _work(spark)
     slim = raw_telemetry(spark, sf_dir).select("event_id", "time", "service", "level")
-    _drain(spark, slim, work, lambda s: jobs.trailing_buffer_job(s, f"{work}/out", f"{work}/ck", 86_400, size=50))
+    _drain(spark, slim, work, lambda s: jobs.trailing_buffer_job(s, f"{work}/out", f"{work}/ck", 86_400, size=50), parts=2)
     return (
         spark.read.parquet(f"{work}/out")
         .groupBy("service", "tick")
@@ -158,7 +158,7 @@ def stream_detection(spark, sf_dir):
     slim = telemetry(spark, sf_dir).select("event_id", "time", "service", "level", "valid_latency")
     sink = jobs.detection_sink(f"{work}/checks", f"{work}/anomalies", f"{work}/alerts")
     judge = detection.RuleJudge(THRESHOLD)
-    _drain(spark, slim, work, lambda s: jobs.detection_job(s, judge, sink, f"{work}/ck", 21_600, 50, 86_400))
+    _drain(spark, slim, work, lambda s: jobs.detection_job(s, judge, sink, f"{work}/ck", 21_600, 50, 86_400), parts=2)
     raised = spark.read.parquet(f"{work}/anomalies").select("anomaly_id", F.lit(True).alias("stored"))
     rows = spark.read.parquet(f"{work}/checks").join(raised, "anomaly_id", "left")
     return rows.select("service", "tick", "window_size", "score", "is_anomaly", F.coalesce("stored", F.lit(False)).alias("kept"))
@@ -356,6 +356,42 @@ def source_series_csv(spark, sf_dir):
     return label_points(back, stream_spans(spark, sf_dir)).select("stream", "i", "ts", "value", "label")
 
 
+@query(
+    "source_label_map",
+    sql(f"SELECT stream, {ts('span_start')} AS span_start, {ts('span_end')} AS span_end FROM spans", "spans"),
+)
+def source_label_map(spark, sf_dir):
+    """The label spans written as one JSON map of stream file to intervals, read back."""
+    work = _work(spark)
+    clock = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    spans = stream_spans(spark, sf_dir).groupBy("stream").agg(F.collect_list(F.array(clock("span_start"), clock("span_end"))).alias("s"))
+    name = F.concat(F.lit("folder/"), "stream", F.lit(".csv"))
+    whole = spans.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(name, "s")))).alias("value"))  # twenty streams
+    whole.write.text(f"{work}/labels")
+    return readers.read_label_spans(spark, f"{work}/labels")
+
+
+_BY_MINUTE = "TIMESTAMP '2024-01-01' + to_minutes(i)"
+
+
+@query(
+    "source_matrix",
+    sql(f"SELECT stream, i, {ts(_BY_MINUTE)} AS ts, CAST(metric AS INT) AS metric, {r6('value')} AS value, label FROM serl", "serl"),
+)
+def source_matrix(spark, sf_dir):
+    """Every stream as a matrix file of two metrics and a label file, read back with a minute per line."""
+    work = _work(spark)
+    rows = labelled_series(spark, sf_dir).groupBy("stream", "i").agg(
+        F.max(F.when(F.col("metric") == 0, F.col("value"))).alias("v0"), F.max(F.when(F.col("metric") == 1, F.col("value"))).alias("v1"),
+        F.max("label").alias("label"),
+    )
+    rows = rows.repartition("stream").sortWithinPartitions("stream", "i")
+    for name, line in (("data", F.concat_ws(",", "v0", "v1")), ("labels", F.col("label").cast("string"))):
+        rows.select("stream", line.alias("value")).write.partitionBy("stream").text(f"{work}/{name}")
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"stream=([^/]+)", 1)
+    return readers.read_matrix_series(spark, f"{work}/data", f"{work}/labels", datetime(2024, 1, 1), folder)
+
+
 @query("model_round_trip", sql(f"SELECT {ts('window_start')} AS window_start, true AS same FROM feat", "feat"))
 def model_round_trip(spark, sf_dir):
     """A model saved as four tables and loaded again scores the same."""

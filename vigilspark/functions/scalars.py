@@ -38,7 +38,11 @@ def with_metadata_fields(df: DataFrame, metadata: str = "metadata") -> DataFrame
     ``latency_ms``     numbers and numeric text, the rollup's reading of the field
     ``valid_latency``  only JSON numbers (and true, which counts as 1) above zero, the features' reading
     ``endpoint``       text of the endpoint key
+
+    Events that have these columns already (``enrich`` sets them) are returned as they are.
     """
+    if "has_latency" in df.columns:
+        return df
     parsed = F.col("_json")  # a column of its own, so the text is parsed once
     fields = F.struct(
         F.schema_of_variant(F.variant_get(parsed, "$.latency_ms", "variant")).alias("_kind"),

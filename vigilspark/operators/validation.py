@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigilspark.functions.scalars import iso_timestamp
+from vigilspark.functions.scalars import iso_timestamp, with_metadata_fields
 from vigilspark.schema import LEVELS, WIRE_EVENT
 
 _CORRUPT = "_corrupt_record"
@@ -97,13 +99,29 @@ def batch_events(validated: DataFrame, events: str = "events") -> DataFrame:
     return validated.where("batch_accepted").select(*rest, F.inline(events))
 
 
+def event_name(columns: Sequence[str]) -> Column:
+    """A deterministic id of an event: a hash of what was sent, so a redelivered event has the same id.
+
+    Drop redelivered events (``streaming.jobs.deduplicated``) before the id serves as a tie-break.
+    """
+    sent = [c for c in ("time", "service", "level", "message", "metadata", "trace_id", "span_id") if c in columns]
+    return F.xxhash64(*sent)
+
+
 def enrich(events: DataFrame, batch_time: Column, host: Column) -> DataFrame:
-    """Default the event time, stamp ingestion time and host; one ``batch_time`` keeps reruns identical."""
-    return (
+    """Default the event time, stamp ingestion time and host; one ``batch_time`` keeps reruns identical.
+
+    Events without an ``event_id`` of their own get one from their content, and the fields that operators read from
+    ``metadata`` become columns, so that the JSON is parsed once, here.
+    """
+    if "event_id" not in events.columns:  # before the time is set, which a replayed batch sets anew
+        events = events.withColumn("event_id", event_name(events.columns))
+    out = (
         events.withColumn("time", F.coalesce("time", batch_time))
         .withColumn("ingested_at", batch_time)
         .withColumn("host", host)
     )
+    return with_metadata_fields(out) if "metadata" in out.columns else out
 
 
 def outcome_counts(validated: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ Cooldowns (an alert counts only some time after the last one that counted) and c
 chains. Each link depends on the one before, so neither ``lag`` nor a fixed grid gives them; as joins they take
 
 1. *successors*: every instant's next link, by a search on a grid of cells one wait wide with 64 finer cells in each;
-2. *doubling*: a block holds 2^k cells, and an instant at which a chain can enter it knows where that chain leaves. A
+2. *doubling*: a block holds 2^k cells that hold instants, and an instant at which a chain can enter it knows where that chain leaves. A
    chain has at most one link in a cell and enters a block in its first cell or, if there is nothing left in that, at
    the first instant after it, so blocks of twice the size keep half the instants and all tables together two rows an
    instant;
@@ -27,7 +27,8 @@ _FINE = 64
 
 
 def _successors(moments: DataFrame, keys: list[str], origin: int) -> DataFrame:
-    """Each instant with its cell, the cell of the instant before it and the next link: keys, _us, _wait, _cell, _before, _next."""
+    """Each instant with its cell, the cell of the instant before it, the next link and its cell: keys, _us, _cell,
+    _before, _next, _there. Cells are numbered from 0 over those of the key that hold instants."""
     events = moments.select(*keys, "_wait", "_us", F.col("_us").alias("_at"), F.lit(True).alias("_is"))
     probes = moments.select(*keys, "_wait", "_us", (F.col("_us") + F.col("_wait")).alias("_at"), F.lit(False).alias("_is"))
     rows = events.unionByName(probes).withColumns(
@@ -42,22 +43,25 @@ def _successors(moments: DataFrame, keys: list[str], origin: int) -> DataFrame:
     level = rows.groupBy(*fine).agg(F.min(event).alias("_lo"), F.max(event).alias("_hi"))
     whole = level.groupBy(*keys, "_cell").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
 
-    def around(table: DataFrame, inner: list[str], cell: str, name: str) -> DataFrame:
+    def around(table: DataFrame, inner: list[str], cell: str, name: str, *more: Column) -> DataFrame:
         later = Window.partitionBy(*inner).orderBy(F.desc(cell)).rowsBetween(Window.unboundedPreceding, -1)
         sooner = Window.partitionBy(*inner).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
         return table.select(
-            *inner, cell, F.min("_lo").over(later).alias(f"_next_{name}"), F.max("_hi").over(sooner).alias(f"_last_{name}")
+            *inner, cell, F.min("_lo").over(later).alias(f"_next_{name}"), F.max("_hi").over(sooner).alias(f"_last_{name}"), *more
         )
 
-    outside = around(level, [*keys, "_cell"], "_fine", "fine").join(around(whole, keys, "_cell", "cell"), [*keys, "_cell"])
-    rows = rows.join(outside, fine).select(
-        *keys, "_wait", "_us",
-        F.when(F.col("_is"), F.coalesce("_last", "_last_fine", "_last_cell")).alias("_last"),
-        F.when(~F.col("_is"), F.coalesce("_next", "_next_fine", "_next_cell")).alias("_next"),
+    number = F.count("_lo").over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cells = around(whole, keys, "_cell", "cell", number.alias("_number"))  # cells with instants, up to and with this one
+    rows = rows.join(around(level, [*keys, "_cell"], "_fine", "fine").join(cells, [*keys, "_cell"]), fine)
+    here_next, here_last = F.coalesce("_next", "_next_fine"), F.coalesce("_last", "_last_fine")
+    rows = rows.select(
+        *keys, "_us", "_is",
+        F.when(F.col("_is"), F.col("_number") - 1).alias("_cell"),
+        F.when(F.col("_is"), F.when(here_last.isNotNull(), F.col("_number") - 1).otherwise(F.col("_number") - 2)).alias("_before"),
+        F.when(~F.col("_is"), F.coalesce(here_next, "_next_cell")).alias("_next"),
+        F.when(~F.col("_is"), F.when(here_next.isNotNull(), F.col("_number") - 1).otherwise(F.col("_number"))).alias("_there"),
     )
-    one = rows.groupBy(*keys, "_us").agg(F.first("_wait").alias("_wait"), F.max("_last").alias("_last"), F.max("_next").alias("_next"))
-    cell = lambda c: F.expr(f"({c} - {origin}L) DIV _wait")
-    return one.select(*keys, "_us", "_wait", cell("_us").alias("_cell"), F.coalesce(cell("_last"), F.lit(-1)).alias("_before"), "_next")
+    return rows.groupBy(*keys, "_us").agg(*[F.max(c).alias(c) for c in ("_cell", "_before", "_next", "_there")])
 
 
 def chained(moments: DataFrame, keys: Sequence[str], time: str, wait: Column | int) -> DataFrame:
@@ -69,30 +73,27 @@ def chained(moments: DataFrame, keys: Sequence[str], time: str, wait: Column | i
     keys = list(keys)
     rows = moments.select(*keys, F.col(time).cast("bigint").alias("_us"), (F.lit(wait) if isinstance(wait, int) else wait).cast("bigint").alias("_wait"))
     rows = materialize(rows.dropna().dropDuplicates([*keys, "_us"]))
-    low, high, least = rows.agg(F.min("_us"), F.max("_us"), F.min("_wait")).first()
+    low = rows.agg(F.min("_us")).first()[0]
     if low is None:
         return rows.select(*keys, F.col("_us").alias(time))
-    levels = ((high - low) // least).bit_length()
     tables = [materialize(_successors(rows, keys, low))]
     discard(rows)
+    levels = tables[0].agg(F.max("_cell")).first()[0].bit_length()
     begin = lambda c, size: F.col(c) - F.pmod(F.col(c), F.lit(size))  # noqa: E731  the first cell of a block
-    next_cell = F.expr(f"(_next - {low}L) DIV _wait")
+    same = lambda size: begin("_there", size) == begin("_cell", size)
     for k in range(1, levels + 1):
         size = 1 << k
         below = tables[-1]
-        further = below.select(*keys, F.col("_us").alias("_next"), F.col("_next").alias("_further"))
-        enters = below.filter(F.col("_before") <= begin("_cell", size)).withColumn("_there", next_cell)
-        inside = begin("_there", size) == begin("_cell", size)
-        leaves = enters.join(further, [*keys, "_next"], "left").withColumn("_next", F.when(inside, F.col("_further")).otherwise(F.col("_next")))
-        tables.append(materialize(leaves.select(*below.columns)))
+        further = below.select(*keys, F.col("_us").alias("_next"), F.col("_next").alias("_next2"), F.col("_there").alias("_there2"))
+        enters = below.filter(F.col("_before") <= begin("_cell", size)).join(further, [*keys, "_next"], "left")
+        enters = enters.withColumn("_in", same(size))
+        out = enters.withColumns({c: F.when(F.col("_in"), F.col(f"{c}2")).otherwise(F.col(c)) for c in ("_next", "_there")})
+        tables.append(materialize(out.select(*below.columns)))
     chain = tables[0].groupBy(*keys).agg(F.min("_us").alias("_us"))
     for k in range(levels - 1, -1, -1):
-        size = 2 << k
-        there = tables[k].withColumn("_there", next_cell).select(
-            *keys, "_us", F.when(begin("_there", size) == begin("_cell", size), F.col("_next")).alias("_next")
-        )
+        inside = tables[k].select(*keys, "_us", F.when(same(2 << k), F.col("_next")).alias("_next"))
         both = F.explode(F.array_compact(F.array("_us", "_next")))
-        chain = chain.join(there, [*keys, "_us"]).select(*keys, both.alias("_us"))
+        chain = chain.join(inside, [*keys, "_us"]).select(*keys, both.alias("_us"))
     out = materialize(chain.withColumnRenamed("_us", time))
     discard(*tables)
     return out

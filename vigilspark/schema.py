@@ -78,6 +78,12 @@ EVENT = T.StructType(
         T.StructField("span_id", T.StringType()),
         T.StructField("host", T.StringType()),
         T.StructField("ingested_at", T.TimestampType()),
+        # set at ingest: a name from the content, and what is read from the metadata
+        T.StructField("event_id", T.LongType()),
+        T.StructField("has_latency", T.BooleanType()),
+        T.StructField("latency_ms", T.DoubleType()),
+        T.StructField("valid_latency", T.DoubleType()),
+        T.StructField("endpoint", T.StringType()),
     ]
 )
 

@@ -92,8 +92,8 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_feature_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Known feature columns of a CSV feature matrix, in contract order."""
-    header = spark.read.option("header", True).csv(path)
+    """Known feature columns of a CSV feature matrix, in contract order. All files must have the header of the first."""
+    header = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     known = [n for n in FEATURE_NAMES if n in header.columns]
     if not known:
         raise ValueError(f"{path} holds none of the feature columns, such as {', '.join(FEATURE_NAMES[:3])}")
@@ -131,13 +131,14 @@ def read_label_spans(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(stream, i, line): text lines with their 0-based position in the file.
+def read_numbered_lines(spark: SparkSession, paths: str | list[str], stream: Column | None = None) -> DataFrame:
+    """(stream, i, line): text lines with their 0-based position in the file. A stream is one file: it has the file's
+    name unless ``stream`` says otherwise.
 
     Lines are ordered inside a file split; splits are ordered by their start byte, so large files stay split.
     """
     lines = spark.read.text(paths).select(
-        _file_stream().alias("stream"),
+        (_file_stream() if stream is None else stream).alias("stream"),
         F.col("value").alias("line"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
@@ -147,13 +148,13 @@ def read_numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFram
 
 
 def read_matrix_series(
-    spark: SparkSession, data: str | list[str], labels: str | list[str], start: datetime
+    spark: SparkSession, data: str | list[str], labels: str | list[str], start: datetime, stream: Column | None = None
 ) -> DataFrame:
     """Headerless metric matrices with label vectors: long rows, cut to the shorter, one minute per line."""
-    values = read_numbered_lines(spark, data).select(
+    values = read_numbered_lines(spark, data, stream).select(
         "stream", "i", F.posexplode(F.split("line", ",")).alias("metric", "text")
     )
-    marks = read_numbered_lines(spark, labels).select("stream", "i", F.col("line").cast("double").cast("int").alias("label"))
+    marks = read_numbered_lines(spark, labels, stream).select("stream", "i", F.col("line").cast("double").cast("int").alias("label"))
     return values.join(marks, ["stream", "i"]).select(
         "stream",
         "i",

@@ -7,7 +7,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilspark.session import discard, materialize, remove
+from vigilspark.session import children, discard, materialize, remove
 
 
 def with_event_date(df: DataFrame, time: str = "time") -> DataFrame:
@@ -46,7 +46,10 @@ def upsert_reports(new: DataFrame, path: str, key: str = "report_id", time: str
     spark = new.sparkSession
     latest = Window.partitionBy(key).orderBy(F.desc(time), F.xxhash64(*[c for c in new.columns if dict(new.dtypes)[c][:3] != "map"]))
     fresh = materialize(with_event_date(new, time).withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r"))
-    stored = spark.read.parquet(path)
+    if not children(spark, path):
+        fresh.write.partitionBy("event_date").parquet(path)
+        return discard(fresh)
+    stored = spark.read.option("mergeSchema", True).parquet(path)
     replaced = stored.select(key, "event_date").join(fresh.select(key), key, "left_semi").select("event_date")
     dates = materialize(replaced.union(fresh.select("event_date")).distinct())
     touched = [r[0] for r in dates.collect()]  # one row per day

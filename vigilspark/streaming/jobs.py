@@ -96,7 +96,8 @@ def rollup_job(
         spark = batch.sparkSession
         replace = lambda df, to, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(to)
         replace(batch.withColumn("batch_id", F.lit(batch_id)), f"{state_path}/cells", "part", "batch_id")
-        if not children(spark, f"{state_path}/cells"):
+        if not children(spark, f"{state_path}/cells"):  # nothing has come yet
+            clock.write(spark.createDataFrame([(None,)], "newest timestamp"), batch_id)
             return
         stored = spark.read.schema(batch.withColumn("batch_id", F.lit(0)).schema).parquet(f"{state_path}/cells")
         mine = stored.where(F.col("batch_id") == batch_id).agg(F.max("last").alias("newest"), F.min("part").alias("part")).first()
