@@ -1,7 +1,7 @@
 """Exact dedup by deterministic block naming, with DataFrame functions only.
 
-A text is cut into blocks of ``block`` characters. Sorting the distinct blocks gives every block an integer
-name, equal for equal blocks alone. Adjacent names are then paired, the pairs are sorted and named in turn, and
+A text is cut into blocks of ``block`` characters. Sorting the distinct blocks (by a hash, then by content) gives every
+block an integer name, equal for equal blocks alone. Adjacent names are then paired, the pairs are sorted and named in turn, and
 so on until a document has one name: its collision-free identity. Documents with as many blocks and the same
 name are equal.
 
@@ -37,9 +37,11 @@ def normalised(text: Column) -> Column:
 
 
 def _names(parts: DataFrame, columns: list[str]) -> DataFrame:
-    """Integer names of the distinct rows of ``columns`` that occur more than once, in their sort order."""
-    many = parts.groupBy(*columns).agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").select(*columns)
-    return materialize(many.orderBy(*columns).select(*columns, F.monotonically_increasing_id().alias("name")))
+    """Integer names of the distinct rows of ``columns`` that occur more than once, in the order of a 64-bit hash and
+    then of their content. Ranges are cut by the hash alone, so the driver samples numbers and no blocks."""
+    many = parts.groupBy(*columns).agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1")
+    many = many.select(*columns, F.xxhash64(*columns).alias("_hash")).repartitionByRange("_hash").sortWithinPartitions("_hash", *columns)
+    return materialize(many.select(*columns, F.monotonically_increasing_id().alias("name")))
 
 
 def _whole(parts: DataFrame, n: Column) -> DataFrame:
