@@ -101,8 +101,9 @@ def mix(
 ) -> DataFrame:
     """``docs`` with ``domain``, ``tokens``, ``budget`` (of the leaf) and ``copies``, how often each row is taken."""
     names = {"_domain": domain_of(F.col("source")) if domain is None else domain, "_tokens": token_estimate(F.col("text")) if tokens is None else tokens}
+    names["_hash"] = F.xxhash64("text")  # before any join, so that counting the order's cells moves no text
     rows = docs.withColumns(names).select(
-        *[F.col(c).alias(f"in_{c}") for c in docs.columns], F.col("_domain").alias("domain"), "lang", "source", F.col("_tokens").alias("tokens")
+        *[F.col(c).alias(f"in_{c}") for c in docs.columns], F.col("_domain").alias("domain"), "lang", "source", F.col("_tokens").alias("tokens"), "_hash"
     )
     leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")))
     plan = budgets(leaves, share, epochs, weights)
@@ -113,7 +114,7 @@ def mix(
         F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(F.lit(0)).alias("part"),
     )
     rows = rows.join(plan, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in LEVELS])
-    place = ranks.seeded(F.concat_ws("/", F.lit(seed), F.col("whole")), F.col("in_doc_id"), F.col("in_text"))  # its own order each epoch
+    place = ranks.seeded(F.concat_ws("/", F.lit(seed), F.col("whole")), F.col("in_doc_id"), F.col("_hash"))  # its own order each epoch
     rows = rows.withColumns({"_place": place, "_bytes": F.crc32(F.coalesce(F.col("in_text"), F.lit("")).cast("binary"))})
     rows = ranks.running(rows, [f"_{k}" for k in LEVELS], "_place", ["in_doc_id", "_bytes"], F.col("tokens"), "end")
     copies = F.col("whole") + F.when(F.col("end") <= F.col("part"), 1).otherwise(0)

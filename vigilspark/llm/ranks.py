@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 DIGITS = 3
 
 
-def seeded(seed: int | Column, doc_id: Column, text: Column) -> Column:
-    """Place of a row in the order of ``seed``: 32 hex digits, from its id and a hash of its text, so that rows of one
-    id or none spread like others."""
+def seeded(seed: int | Column, doc_id: Column, text_hash: Column) -> Column:
+    """Place of a row in the order of ``seed``: 32 hex digits, from its id and a 64-bit hash of its text, so that rows
+    of one id or none spread like others."""
     named = F.coalesce(doc_id.cast("string"), F.lit(""))
-    return F.md5(F.concat_ws(":", F.lit(seed) if isinstance(seed, int) else seed, named, F.xxhash64(text).cast("string")))
+    return F.md5(F.concat_ws(":", F.lit(seed) if isinstance(seed, int) else seed, named, text_hash.cast("string")))
 
 
 def running(df: DataFrame, keys: list[str], place: str, order: list[str], value: Column, name: str, digits: int = DIGITS) -> DataFrame:

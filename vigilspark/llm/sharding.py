@@ -30,7 +30,7 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, source: str = "
         F.col(source).alias("source"),
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
-        ranks.seeded(seed, F.col(doc_id), F.col(text)).alias("place"),
+        ranks.seeded(seed, F.col(doc_id), F.xxhash64(text)).alias("place"),
     )
     ranked = ranks.running(rows, ["source"], "place", ["doc_id", "text_crc32", "size"], F.lit(1).cast("long"), "rank")
     at = ranked.withColumn("at", (2 * F.col("rank") - 1) / (2 * F.col("rank_all")))
