@@ -1032,12 +1032,12 @@ def _tail_sql(value: str, source: str, time: str, quantile: float, limit: float,
     )
 
 
-@query("ingest_delay_alerts", sql(_tail_sql("(epoch_us(ingested_at) - epoch_us(time)) / 1000.0::DOUBLE", "tel", "time", 0.99, 45.5, "service"), "tel"))
+@query("ingest_delay_alerts", sql(_tail_sql("(epoch_us(ingested_at) - epoch_us(time)) / 1000.0::DOUBLE", "tel", "time", 0.99, 45.503, "service"), "tel"))
 def ingest_delay_alerts(spark, sf_dir):
-    """p99 of the milliseconds between an event and its ingestion, per service."""
+    """p99 of the milliseconds between an event and its ingestion, per service; whole delays make it a multiple of 0.01."""
     delay = (F.unix_micros("ingested_at") - F.unix_micros("time")) / F.lit(1000.0)
     rows = raw_telemetry(spark, sf_dir).select("service", "time", delay.alias("delay_ms"))
-    return alerts.latency_alert(rows, "delay_ms", 0.99, 45.5, 21_600, 3_600, ["service"])
+    return alerts.latency_alert(rows, "delay_ms", 0.99, 45.503, 21_600, 3_600, ["service"])
 
 
 @query("inference_time_alerts", sql(_tail_sql("generation_time_ms", "reps", "generated_at", 0.95, 1020), "reps"))

@@ -469,9 +469,11 @@ def top_features_values(spark, sf_dir):
     ),
 )
 def inhibit_alerts(spark, sf_dir):
-    """Alerts of one day count as firing together."""
-    rows = rule_alerts(spark, sf_dir).withColumn("day", F.to_date("time"))
-    return alerts.inhibit(rows, ["service", "day"]).select("anomaly_id", "service", "severity")
+    """A critical alert counts as firing all of its day; ``alert_inhibition`` takes spans from its own time on."""
+    rows = rule_alerts(spark, sf_dir)
+    day = F.date_trunc("day", "time")
+    spans = rows.select("service", "severity", day.alias("starts_at"), (day + F.expr("INTERVAL 1 DAY")).alias("ends_at")).distinct()
+    return alerts.inhibit(rows, spans).select("anomaly_id", "service", "severity")
 
 
 @query(
