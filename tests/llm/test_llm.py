@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
@@ -493,6 +494,44 @@ def test_top_k(spark):
     assert counted(got) == want
 
 
+def test_top_k_when_tasks_are_not_joined(spark):
+    """Shards and query blocks meet whatever partitions their numbers fall into."""
+    rng = np.random.default_rng(9)
+    vectors = [(i, rng.integers(-9, 9, 4).tolist()) for i in range(200)]
+    old = maxscore.SHARD, maxscore.QUERIES
+    maxscore.SHARD, maxscore.QUERIES = 32, 2
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = maxscore.numbered(spark.createDataFrame(vectors, "vec_id long, vector array<long>").repartition(3))
+        got = maxscore.search(df, df.filter("vec_id % 50 = 0"), 5).collect()
+    finally:
+        maxscore.SHARD, maxscore.QUERIES = old
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = collections.Counter()
+    for q, v in vectors[::50]:
+        best = sorted((-int(np.dot(v, w)), i) for i, w in vectors if i != q)[:5]
+        want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert counted(got) == want
+
+
+def test_top_k_of_large_components(spark):
+    """Scores beyond 2**53 that differ by less than a double tells apart; a component beyond a long."""
+    rows = [(i, [1e6 + (i * 37 % 64) / 256, 250_000.0 + i / 256, -3.5e5 + (i % 5) / 256, (-1) ** i / 256]) for i in range(120)]
+    rows += [(500, [0.0, 0.0, 0.0, 0.0]), (501, [0.0, 2.0**60, 0.0, 0.0]), (550, [1 / 256, 0.0, 0.0, 0.0])]
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").select("vec_id", maxscore.quantised(F.col("v")).alias("vector"))
+    df = maxscore.numbered(df.repartition(3))
+    got = maxscore.search(df, df.filter("vec_id IN (500, 550)"), 5).collect()
+    near = df.filter("vec_id <> 501")
+    got += maxscore.search(near, near.filter("vec_id IN (0, 50, 100)"), 5).collect()
+    want = collections.Counter()
+    for q in (500, 550, 0, 50, 100):
+        best = sorted((-sum(x * y for x, y in zip(whole[q], v)), i) for i, v in whole.items() if i != q and (q >= 500 or i != 501))[:5]
+        want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert counted(got) == want
+
+
 def test_quantised(spark):
     rows = [(1, [0.5, -0.001]), (2, [1.0, None]), (3, [float("nan"), 0.0]), (4, None), (5, [float("inf"), 1.0])]
     df = spark.createDataFrame(rows, "i int, v array<float>").select("i", maxscore.quantised(F.col("v")).alias("q"))

@@ -13,7 +13,8 @@ rows. A query's own row is not its candidate: both tables carry a ``row`` number
 left out. Queries with one id are separate queries.
 
 Null vectors and vectors with null or non-finite components take no part; shorter vectors count as filled with zeros.
-Null ids take no part. Repeated rows are separate candidates; ties go to the smaller id. Sums must stay below 2**53.
+Null ids take no part. Repeated rows are separate candidates; ties go to the smaller id. Where sums may pass 2**53, bounds
+are widened by what rounding can take, and what is left is scored in whole numbers; a score beyond a long is an error.
 """
 
 from __future__ import annotations
@@ -29,12 +30,21 @@ SHARD = 2048
 QUERIES = 4096
 #: Terms added at a time; the first step is the least essential set.
 STEP = 8
+#: Whole numbers below it are exact as doubles, and so are their sums.
+EXACT = 2.0**53
+#: More than all roundings of a sum take, by its number of terms and the sum of their sizes.
+ROUNDING = 2.0**-48
 
 
 def quantised(vector: Column) -> Column:
-    """floor(256 x) of every component, as long; null unless all components are finite."""
+    """floor(256 x) of every component, a whole double; null unless all components are finite."""
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(whole, F.transform(vector, lambda x: F.floor(256 * x.cast("double")).cast("long")))
+
+    def floor(x: Column) -> Column:
+        scaled = 256 * x.cast("double")
+        return F.when(F.abs(scaled) < EXACT, F.floor(scaled).cast("double")).otherwise(scaled)  # larger ones are whole
+
+    return F.when(whole, F.transform(vector, floor))
 
 
 def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -53,6 +63,8 @@ def top_k(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, query: np.ndar
     left = np.append(np.cumsum(bound[terms][::-1])[::-1], 0.0)  # what the terms from here on can add
     base = np.minimum(a, b)[terms]
     rest = np.append(np.cumsum(base[::-1])[::-1], 0.0)
+    largest = np.abs(query) @ np.maximum(np.abs(low), np.abs(high))
+    slack = 0.0 if largest < EXACT else largest * len(query) * ROUNDING
     alive = np.flatnonzero(rows != own)
     partial = np.zeros(len(alive))
     beat = -np.inf
@@ -64,19 +76,33 @@ def top_k(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, query: np.ndar
         if beat == -np.inf and len(alive) > k:
             best = alive[np.argpartition(-partial, k - 1)[:k]]
             beat = (vectors[best] @ query).min()  # k candidates reach it
-        keep = partial + rest[at] + left[at] >= beat
+        keep = partial + rest[at] + left[at] + 2 * slack >= beat
         alive, partial = alive[keep], partial[keep]
+    if slack:
+        return _whole_scores(ids[alive], vectors[alive], query, k)
     order = np.lexsort((ids[alive], -partial))[:k]
     return ids[alive][order], partial[order].astype(np.int64)
 
 
+def _whole_scores(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int):
+    """The k best of a few rows whose sums doubles don't hold."""
+    sums, off = vectors @ query, np.abs(vectors) @ np.abs(query) * len(query) * ROUNDING
+    if len(ids) > k:
+        near = sums + off >= np.partition(sums - off, -k)[-k]
+        ids, vectors = ids[near], vectors[near]
+    whole = list(map(int, query))
+    scores = [sum(int(x) * y for x, y in zip(v, whole)) for v in vectors.tolist()]
+    order = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
+    return ids[order], np.array([scores[i] for i in order], dtype=np.int64)
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """``rows`` with a ``row`` number, written once so that it never changes."""
     return materialize(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """``rows`` and ``queries``: vec_id, vector (array of long), row. Returns query_id, rank, vec_id, score."""
+    """``rows`` and ``queries``: vec_id, vector (array of whole numbers that doubles hold), row. Returns query_id, rank, vec_id, score."""
     usable = "vec_id IS NOT NULL AND vector IS NOT NULL"
     rows, queries = rows.filter(usable), queries.filter(usable)
     n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
@@ -85,7 +111,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     width = max(width or 1, 1)
 
     def dealt(df: DataFrame, own: str, of: int, other: str, others: int) -> DataFrame:
-        at = (F.monotonically_increasing_id() + F.spark_partition_id() * 7919) % of  # rows of a file go round the shards
+        # rows of a file go round the shards; int on both sides, since tasks are picked by a hash that differs for a long
+        at = ((F.monotonically_increasing_id() + F.spark_partition_id() * 7919) % of).cast("int")
         return df.select("vec_id", "vector", "row", at.alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
