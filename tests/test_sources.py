@@ -126,3 +126,22 @@ def test_upsert_rewrites_touched_dates_only(spark, tmp_path):
     assert got == {("a", day(0), "2", 7), ("b", day(0), "1", None), ("c", day(1), "1", None), ("d", day(3), "2", 7), ("e", day(4), "1", None), ("f", day(3), "2", 7)}
     untouched = {f for f in before if f.startswith(("event_date=2024-01-02", "event_date=2024-01-05"))}
     assert len(untouched) == 2 and untouched <= files() and not any(f.startswith("event_date=2024-01-03") for f in files())
+
+
+EVENT_ROWS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+ANOMALY_QUERIES = ["sink_anomalies"]
+
+
+@pytest.mark.parametrize("name", sorted(ANOMALY_QUERIES))
+def test_no_anomalies_give_no_rows(spark, tmp_path, name):
+    """Tables of a time without anomalies are written without rows, and read back as such; then some come."""
+    from vigilspark.catalog import QUERIES
+
+    def events(folder, kind):
+        rows = [(i, T0 + timedelta(minutes=i), 7 * i, kind(i), 10.0 + i, '{"k": 3}') for i in range(60)]
+        spark.createDataFrame(rows, EVENT_ROWS).write.parquet(f"{tmp_path}/{folder}/events.parquet")
+        return QUERIES[name](spark, f"{tmp_path}/{folder}")
+
+    quiet = events("quiet", lambda i: "click")
+    assert quiet.collect() == [] and quiet.columns
+    assert events("loud", lambda i: "error" if i % 3 else "click").count() > 0

@@ -25,6 +25,11 @@ def _work(spark) -> str:
     return f"{shared_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    """A partitioned table read back with the schema of its rows; written without any, it has no file to tell it."""
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 #: State partitions of the fixture streams, as a job's author would fix them at its first start.
 STATE_PARTITIONS = 4
 
@@ -252,8 +257,9 @@ def sink_compacted(spark, sf_dir):
 )
 def sink_anomalies(spark, sf_dir):
     work = _work(spark)
-    writers.write_anomalies(anomalies(spark, sf_dir), f"{work}/anomalies")
-    return spark.read.parquet(f"{work}/anomalies").select("anomaly_id", "score", "severity", "features.window_size")
+    rows = anomalies(spark, sf_dir)
+    writers.write_anomalies(rows, f"{work}/anomalies")
+    return _stored(writers.with_event_date(rows), f"{work}/anomalies").select("anomaly_id", "score", "severity", "features.window_size")
 
 
 @query("sink_alert_messages", sql("SELECT service AS key, anomaly_id, severity FROM anom", "anom"))
