@@ -129,7 +129,7 @@ def test_upsert_rewrites_touched_dates_only(spark, tmp_path):
 
 
 EVENT_ROWS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-ANOMALY_QUERIES = ["sink_anomalies"]
+ANOMALY_QUERIES = ["sink_anomalies", "sink_documents"]
 
 
 @pytest.mark.parametrize("name", sorted(ANOMALY_QUERIES))

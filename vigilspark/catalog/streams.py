@@ -294,8 +294,9 @@ def sink_report_upsert(spark, sf_dir):
 )
 def sink_documents(spark, sf_dir):
     work = _work(spark)
-    writers.write_documents(report_rows(spark, sf_dir), f"{work}/docs")
-    return spark.read.parquet(f"{work}/docs").select("report_id", "content", "filepath")
+    rows = report_rows(spark, sf_dir)
+    writers.write_documents(rows, f"{work}/docs")
+    return _stored(writers.dated_documents(rows), f"{work}/docs").select("report_id", "content", "filepath")
 
 
 @query("sink_feature_csv", sql(f"SELECT {FEATURE_LIST_SQL} FROM feat", "feat"))
