@@ -128,8 +128,18 @@ def test_upsert_rewrites_touched_dates_only(spark, tmp_path):
     assert len(untouched) == 2 and untouched <= files() and not any(f.startswith("event_date=2024-01-03") for f in files())
 
 
+def test_upsert_into_a_table_without_rows(spark, tmp_path):
+    path, schema = str(tmp_path / "reports"), "report_id string, generated_at timestamp, content string"
+    none = spark.createDataFrame([], schema)
+    writers.write_reports(none, path)
+    writers.upsert_reports(none, path)
+    writers.upsert_reports(spark.createDataFrame([("a", T0, "1")], schema), path)
+    writers.upsert_reports(none, path)
+    assert [r["content"] for r in spark.read.parquet(path).collect()] == ["1"]
+
+
 EVENT_ROWS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-ANOMALY_QUERIES = ["sink_anomalies", "sink_documents"]
+ANOMALY_QUERIES = ["sink_anomalies", "sink_documents", "sink_report_upsert"]
 
 
 @pytest.mark.parametrize("name", sorted(ANOMALY_QUERIES))

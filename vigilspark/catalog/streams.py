@@ -283,7 +283,7 @@ def sink_report_upsert(spark, sf_dir):
     writers.write_reports(rows, f"{work}/reports")
     new = rows.where("severity = 'CRITICAL'").withColumn("tokens_used", F.col("tokens_used") + 1)
     writers.upsert_reports(new, f"{work}/reports")
-    return spark.read.parquet(f"{work}/reports").select("report_id", "tokens_used")
+    return _stored(writers.with_event_date(rows, "generated_at"), f"{work}/reports").select("report_id", "tokens_used")
 
 
 @query(

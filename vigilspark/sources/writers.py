@@ -46,8 +46,8 @@ def upsert_reports(new: DataFrame, path: str, key: str = "report_id", time: str
     spark = new.sparkSession
     latest = Window.partitionBy(key).orderBy(F.desc(time), F.xxhash64(*[c for c in new.columns if dict(new.dtypes)[c][:3] != "map"]))
     fresh = materialize(with_event_date(new, time).withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r"))
-    if not children(spark, path):
-        fresh.write.partitionBy("event_date").parquet(path)
+    if not any(name.startswith("event_date=") for name in children(spark, path)):  # no table, or one without rows
+        fresh.write.mode("append").partitionBy("event_date").parquet(path)
         return discard(fresh)
     stored = spark.read.option("mergeSchema", True).parquet(path)
     replaced = stored.select(key, "event_date").join(fresh.select(key), key, "left_semi").select("event_date")
