@@ -139,7 +139,7 @@ def test_upsert_into_a_table_without_rows(spark, tmp_path):
 
 
 EVENT_ROWS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-ANOMALY_QUERIES = ["sink_anomalies", "sink_documents", "sink_report_upsert"]
+ANOMALY_QUERIES = ["sink_anomalies", "sink_documents", "sink_report_upsert", "stream_context"]
 
 
 @pytest.mark.parametrize("name", sorted(ANOMALY_QUERIES))

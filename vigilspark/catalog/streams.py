@@ -47,6 +47,7 @@ def _drain(spark, df: DataFrame, work: str, start, time: str = "time", parts: in
     between so many seconds before the end of a part come with the next one.
     """
     low, high = df.agg(F.unix_micros(F.min(time)), F.unix_micros(F.max(time))).first()
+    low, high = (0, 0) if low is None else (low, high)  # without rows the parts are empty
     width = (high - low) // parts + 1
     session = _stream_session(spark)
     at = F.unix_micros(time)
