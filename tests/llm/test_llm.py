@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from vigilspark.llm import (
@@ -470,6 +471,29 @@ def test_url_sample_is_taken_of_each_class(spark):
     assert len(got) == 330 and all((r.verdict == "block") == (r.page_id >= 300) for r in got)
 
 
+def test_encoder_asks_for_words_of_letters_together(monkeypatch):
+    """Words between punctuation, marks, words that change length in lower case and special tokens: as the library
+    encodes the whole text, with a small cache as well; plain words are not asked for one by one."""
+    content = open(VOCAB).read()
+    library = Tokenizer.from_str(content)
+    rng = random.Random(5)
+    letters = "abXYzéßİΣςµÅ가ᄀ漢अ्क\u0338\u0301'’st,.;:!?()<>|\"#-_=/\\01½\u00ad\u200d😀\u0085\u2028"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(6000)]
+    words += ["don't", "'s", "(it's)", "<|endoftext|>", "<|endoftext|>.", "<|startoftext|", "</w>", "foo</w>,", "(foo),", "fooİ,", "İİ", "'re"] * 3
+    rng.shuffle(words)
+    texts = [" ".join(words[i : i + 25]) for i in range(0, len(words), 25)]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t in texts]
+    assert [*map(binary_output.LibraryEncoder(content).encode, texts)] == want
+    monkeypatch.setattr(binary_output, "WORDS_KEPT", 40)
+    assert [*map(binary_output.LibraryEncoder(content).encode, texts)] == want
+    encoder = binary_output.LibraryEncoder(content)
+    asked = []
+    one_by_one = encoder._ask
+    monkeypatch.setattr(encoder, "_ask", lambda some: asked.extend(some) or one_by_one(some))
+    encoder.encode("some words, (between) marks, some more.")
+    assert sorted(asked) == ["(", ")", ",", "."]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(8)
     vectors = [(i, rng.integers(-9, 9, 12).tolist()) for i in range(300)] + [(500 + i, [3] * 12) for i in range(20)]

@@ -17,7 +17,9 @@ columns are ignored, and an empty table gives an empty manifest.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import sys
 import uuid
@@ -41,13 +43,22 @@ from vigilspark.session import materialize, shared_dir
 FRAME_IDS = 1 << 17
 #: Words kept with their ids in each Python worker.
 WORDS_KEPT = 400_000
+#: Words of letters asked for in one text.
+JOINED = 256
+#: Latin letters between ASCII punctuation. An apostrophe may begin an ending; U+0130 becomes two characters.
+_FRAMED = re.compile("([!-&(-/:-@\\[-`{-~]*)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\\[-`{-~]*)")
 _SKIPPABLE, _SEEKABLE, _CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u4"), ("n", "<u8")])
 
 
 class LibraryEncoder:
     """The ``tokenizers`` library, asked once for each word: its normaliser and splitter never join what white space
-    separates, so the ids of a text are those of its words."""
+    separates, so the ids of a text are those of its words.
+
+    A tokenizer that splits letters from other characters and marks the ends of its pieces is asked for a word and the
+    punctuation around it apart, and for many words of letters at once: each is one piece, so it ends where the next
+    mark is. Where there are more marks than words, the words are asked one by one.
+    """
 
     def __init__(self, content: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,6 +70,14 @@ class LibraryEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._known: dict[str, bytes] = {}
         self._later: dict[str, bytes] = {}
+        rules = json.loads(content)
+        end = rules["model"].get("end_of_word_suffix")
+        pattern = json.dumps(rules.get("pre_tokenizer"))
+        self.splits = bool(end) and r"|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in pattern
+        self._added = [token["content"] for token in rules.get("added_tokens", [])]
+        self._ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        if end:
+            self._ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(end)]] = True
 
     def _ask(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -69,24 +88,55 @@ class LibraryEncoder:
                 ids.byteswap()
         return [ids.tobytes() for ids in out]
 
+    def _ask_letters(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            found = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, dtype=f"<u{self.width}")
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                out += self._ask(some)
+                continue
+            whole, cuts = ids.tobytes(), [0, *(ends * self.width).tolist()]
+            out += [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        letters, others, framed = set(), set(), []
+        for word in words:
+            if self.splits and word.isalpha():
+                letters.add(word)
+            elif self.splits and (parts := _FRAMED.fullmatch(word)) and not any(token in word for token in self._added):
+                before, core, after = parts.groups()
+                framed.append((word, before, core, after))
+                letters.add(core)
+                others.update((before, after))
+            else:
+                others.add(word)
+        known, later = self._known, self._later
+        for asked, ask in ((letters, self._ask_letters), (others - {""}, self._ask)):
+            fresh = list(asked.difference(known).difference(later))
+            (known if len(known) < WORDS_KEPT else later).update(zip(fresh, ask(fresh)))
+        for word, before, core, after in framed:
+            later[word] = b"".join(known[p] if p in known else later[p] for p in (before, core, after) if p)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
             return self._ask([text])[0]
         words = text.split()
-        out = list(map(self._known.get, words))
-        missing = [at for at, ids in enumerate(out) if ids is None]
-        if missing:
-            later = self._later
-            new = list(dict.fromkeys(words[at] for at in missing if words[at] not in later))
-            if len(later) + len(new) > WORDS_KEPT:
+        distinct, later = set(words), self._later
+        new = distinct.difference(self._known).difference(later)
+        if new:
+            if len(later) + 3 * len(new) > WORDS_KEPT:  # a word and its pieces
                 later.clear()
-                new = list(dict.fromkeys(words[at] for at in missing))
-            for word, ids in zip(new, self._ask(new)):
-                (self._known if len(self._known) < WORDS_KEPT else later)[word] = ids
-            for at in missing:
-                out[at] = self._known.get(words[at]) or later.get(words[at], b"")
+                new = distinct.difference(self._known)
+            self._learn(new)
+        out = list(map(self._known.get, words))
+        if None in out:
+            out = [later[word] if ids is None else ids for word, ids in zip(words, out)]
         return b"".join(out)
 
 
