@@ -471,6 +471,34 @@ def test_url_sample_is_taken_of_each_class(spark):
     assert len(got) == 330 and all((r.verdict == "block") == (r.page_id >= 300) for r in got)
 
 
+def test_near_copies_just_below_the_threshold_are_not_all_compared(spark, monkeypatch):
+    """Copies of one text with five words changed in each, 0.71 alike: few of all pairs are looked at, and links among
+    them and to the last, one of them with a word more, are found."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for copy in range(40):
+        at = {60 * part + 5 * rng.randrange(11) + 2 for part in range(5)}
+        texts.append(" ".join(f"x{copy}" if i in at else w for i, w in enumerate(base)))
+    rows = [(i + 7, t, "en", "s", 1) for i, t in enumerate([*texts, texts[20] + " more"])]
+    seen = []
+    links = ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda pairs, *a: seen.append(pairs.count()) or links(pairs, *a))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, COLUMNS)).collect()}
+    group = groups_of(sets_of(rows))
+    assert got == {r[0]: rows[group.index(g)][0] for r, g in zip(rows, group)} and 20 < len(set(group)) <= 40
+    assert sum(seen) < 41 * 40 // 2 // 3
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 60, 900):
+        a, b = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * 2) for _ in range(2))
+        b = np.union1d(b[: n // 6], a[n // 9 :])
+        differ = ngram_join._parities(a) ^ ngram_join._parities(b)
+        assert len(differ) == len(ngram_join.WORDS) and sum(bin(x & (2**64 - 1)).count("1") for x in differ.tolist()) <= len(np.setxor1d(a, b))
+
+
 def test_encoder_asks_for_words_of_letters_together(monkeypatch):
     """Words between punctuation, marks, words that change length in lower case and special tokens: as the library
     encodes the whole text, with a small cache as well; plain words are not asked for one by one."""

@@ -12,8 +12,10 @@ with a fixed-size bitmap (``bitmaps``).
 Equal sets are one node, so copies cost a row each. Groups of near copies are not expanded to pairs: two rounds join
 every node of a posting list with one node of it, and the last round joins only nodes that are not yet known to be
 connected, so no link that joins two groups is missed. That round meets a pair where a run of shared shingles begins
-(an entry knows the one before it) and not at each of them, and tests a node against a group's extremes first. Joins
-on postings are of written tables on both sides, whose hot keys Spark splits. Tables are removed once nothing reads
+(an entry knows the one before it) and not at each of them, and tests a node against a group's extremes first. It also
+compares parities: the shingles of a set are counted in PARITIES classes, one bit each, odd or even. Two sets differ by at
+least as many shingles as they have bits that differ, and similar ones by at most a ninth of both sizes, so holders of
+one passage that stay just under the threshold are not joined with each other one by one. Joins on postings are of written tables on both sides, whose hot keys Spark splits. Tables are removed once nothing reads
 them any more.
 
 Nulls and texts without words have no shingles and are linked with nothing; a text of fewer than ``width`` words is
@@ -24,6 +26,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,9 @@ WIDTH = 5
 SKETCH_BITS = 18
 #: Most classes of the suffix filter, and the count that means as many or more.
 MOST_CLASSES, MANY = 1 << 16, 255
+#: Bits of the parities, and their number of longs.
+PARITY_BITS = 9
+WORDS = range((1 << PARITY_BITS) // 64)
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -82,6 +89,12 @@ def _common(a: bytes, b: bytes) -> int:
     return int(np.minimum(*fold).sum())
 
 
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether each class of shingles holds an odd number of them, 64 classes a long."""
+    odd = np.bincount(bitmaps.slots(shingles, PARITY_BITS), minlength=1 << PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         most = list(map(_common, batch.column("classes_a").to_pylist(), batch.column("classes_b").to_pylist()))
@@ -122,7 +135,8 @@ def _prefixes(width: int, sketch):
 def _nodes(width: int, sketch, shared):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("node", pa.binary()),
-         ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("classes", pa.binary())]
+         ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("classes", pa.binary()),
+         ("parities", pa.list_(pa.int64()))]
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,17 +150,19 @@ def _nodes(width: int, sketch, shared):
                     tokens.append(prefix[at].view(np.int64))
                     places.append(at.astype(np.int32))
                 classes = [_classes(s) if len(t) else None for s, t in zip(sets, tokens)]
+                parities = [_parities(s) if len(t) else None for s, t in zip(sets, tokens)]
                 part = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int32()),
                         pa.array(map(_node, sets), pa.binary()), pa.array(tokens, schema.field("tokens").type),
                         pa.array(places, schema.field("places").type), pa.array(classes, schema.field("classes").type),
+                        pa.array(parities, schema.field("parities").type),
                     ],
                     schema=schema,
                 )
 
-    return scan, "doc_id long, key long, n int, node binary, tokens array<long>, places array<int>, classes binary"
+    return scan, "doc_id long, key long, n int, node binary, tokens array<long>, places array<int>, classes binary, parities array<long>"
 
 
 def _sets(width: int, wanted):
@@ -179,11 +195,18 @@ def _may_match(n: Column, place: Column, m: Column, other: Column) -> Column:
 
 
 def _extremes(entries: DataFrame) -> DataFrame:
-    """Each group of a list: its smallest and largest set, first place, and the entry before, if all have the same."""
+    """Each group of a list: its smallest and largest set, first place, the entry before, if all have the same, and the
+    parities that all of its sets or any of them have."""
     same = (F.min("before") == F.max("before")) & (F.count("before") == F.count(F.lit(1)))
     return entries.groupBy("token", "comp").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("place").alias("start"), F.when(same, F.min("before")).alias("all_before")
-    )
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("place").alias("start"), F.when(same, F.min("before")).alias("all_before"),
+        *[F.bit_and(f"p{i}").alias(f"all{i}") for i in WORDS], *[F.bit_or(f"p{i}").alias(f"any{i}") for i in WORDS],
+    )
+
+
+def _few_apart(differ: list[Column], n: Column, m: Column) -> Column:
+    """Whether two sets may be similar by the parities that differ, a long each: at most (n + m) / 9."""
+    return 9 * reduce(add, map(F.bit_count, differ)).cast("long") <= n + m
 
 
 def _new_run(before: Column, other: Column) -> Column:
@@ -239,7 +262,7 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
     scan, schema = _nodes(width, sketch, shared)
     whole = materialize(rows.mapInArrow(scan, schema))
 
-    first = F.min(F.struct("key", "n", "tokens", "places", "classes")).alias("x")  # one document stands for equal sets
+    first = F.min(F.struct("key", "n", "tokens", "places", "classes", "parities")).alias("x")  # one document stands for equal sets
     reps = materialize(whole.filter(F.size("tokens") > 0).groupBy("node").agg(first).select("node", "x.*"))
     nodes = materialize(whole.select("doc_id", "key", "n", "node"))
     discard(whole)
@@ -265,15 +288,20 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
         apart = postings
 
     # what is not connected yet, by lists with several components
-    groups = materialize(_extremes(apart))
-    several = groups.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
-    left = materialize(apart.join(several, "token", "left_semi"))
+    several = apart.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+    parities = reps.select("node", *[F.col("parities")[i].alias(f"p{i}") for i in WORDS])
+    left = materialize(apart.join(several, "token", "left_semi").join(parities, "node"))
+    groups = materialize(_extremes(left))
     discard(postings)
-    right = left.select("token", F.col("comp").alias("c"), *[F.col(x).alias(f"{x}_2") for x in ("node", "n", "place", "before")])
+    own = [f"p{i}" for i in WORDS]
+    right = left.select("token", F.col("comp").alias("c"), *[F.col(x).alias(f"{x}_2") for x in ("node", "n", "place", "before", *own)])
     with_group = _reaches(F.col("n"), F.col("place"), F.col("low")) & _reaches(F.col("high"), F.col("start"), F.col("n"))
+    apart_all = [(F.col(f"all{i}").bitwiseAND(F.bitwise_not(f"p{i}"))).bitwiseOR(F.col(f"p{i}").bitwiseAND(F.bitwise_not(f"any{i}"))) for i in WORDS]
+    with_group &= _few_apart(apart_all, F.col("n"), F.col("high"))
     cross = left.join(groups.withColumnRenamed("comp", "c"), "token").filter((F.col("comp") < F.col("c")) & with_group & _new_run(F.col("before"), F.col("all_before")))
-    cross = cross.drop("low", "high", "start", "all_before").join(right, ["token", "c"])
-    cross = cross.filter(_may_match(F.col("n"), F.col("place"), F.col("n_2"), F.col("place_2")) & _new_run(F.col("before"), F.col("before_2")))
+    cross = cross.select(*left.columns, "c").join(right, ["token", "c"])
+    with_node = _few_apart([F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_2")) for i in WORDS], F.col("n"), F.col("n_2"))
+    cross = cross.filter(_may_match(F.col("n"), F.col("place"), F.col("n_2"), F.col("place_2")) & with_node & _new_run(F.col("before"), F.col("before_2")))
     pairs = materialize(_pairs(cross.withColumnRenamed("node_2", "other")))
     discard(groups, left)
     return nodes, found.union(_links(pairs, sizes, rows, width))
