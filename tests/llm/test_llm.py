@@ -490,6 +490,23 @@ def test_near_copies_just_below_the_threshold_are_not_all_compared(spark, monkey
     assert sum(seen) < 41 * 40 // 2 // 3
 
 
+def test_short_lists_are_done_before_the_last_round(spark, monkeypatch):
+    """Five holders of a passage, not alike, have all met each other after the second round; six and two near copies
+    still get the right groups from the last one."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    own = lambda n: " ".join(word() for _ in range(n))
+    few, many, near = own(70), own(70), own(15)
+    rows = [(i, f"{few} {own(15)}", "en", "s", 1) for i in range(5)]
+    seen = []
+    extremes = ngram_join._extremes
+    monkeypatch.setattr(ngram_join, "_extremes", lambda entries: seen.append(entries.count()) or extremes(entries))
+    groups = lambda rows: {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert groups(rows) == {i: i for i in range(5)} and seen == [0]
+    rows += [(10 + i, f"{many} {own(15)}", "en", "s", 1) for i in range(9)] + [(30, f"{many} {near}", "en", "s", 1), (31, f"{many} {near} x", "en", "s", 1)]
+    assert groups(rows) == {r[0]: min(r[0], 30) for r in rows} and seen[1] > 0
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(4)
     for n in (1, 5, 60, 900):

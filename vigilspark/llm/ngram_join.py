@@ -9,11 +9,13 @@ The order needs frequencies that are the same everywhere, not exact ones: a sket
 hash slot, which puts boilerplate last whatever the corpus. Shingles that occur in one prefix only are dropped early
 with a fixed-size bitmap (``bitmaps``).
 
-Equal sets are one node, so copies cost a row each. Groups of near copies are not expanded to pairs: two rounds join
-every node of a posting list with one node of it, and the last round joins only nodes that are not yet known to be
-connected, so no link that joins two groups is missed. That round meets a pair where a run of shared shingles begins
-(an entry knows the one before it) and not at each of them, and tests a node against a group's extremes first. It also
-compares parities: the shingles of a set are counted in PARITIES classes, one bit each, odd or even. Two sets differ by at
+Equal sets are one node, so copies cost a row each. Groups of near copies are not expanded to pairs: rounds join every
+node of a posting list with its first few nodes, a few more each round, unless they are known to be connected. A node
+meets those before it, so a list that is not longer than the nodes taken so far has had all its pairs and is left out
+from then on; most lists are short. The last round joins what is left of the long ones, and only nodes that are not yet
+known to be connected, so no link that joins two groups is missed. All rounds meet a pair where a run of shared shingles
+begins (an entry knows the one before it) and not at each of them. The last one tests a node against a group's extremes
+first. It also compares parities: the shingles of a set are counted in PARITIES classes, one bit each, odd or even. Two sets differ by at
 least as many shingles as they have bits that differ, and similar ones by at most a ninth of both sizes, so holders of
 one passage that stay just under the threshold are not joined with each other one by one. Joins on postings are of written tables on both sides, whose hot keys Spark splits. Tables are removed once nothing reads
 them any more.
@@ -44,6 +46,8 @@ WIDTH = 5
 SKETCH_BITS = 18
 #: Most classes of the suffix filter, and the count that means as many or more.
 MOST_CLASSES, MANY = 1 << 16, 255
+#: First nodes of a list that the others have met after each round; the last round takes the pairs of all others.
+CENTRES = (1, 5)
 #: Bits of the parities, and their number of longs.
 PARITY_BITS = 9
 WORDS = range((1 << PARITY_BITS) // 64)
@@ -239,6 +243,14 @@ def _links(pairs: DataFrame, sizes: DataFrame, rows: DataFrame, width: int) -> D
     return found
 
 
+def _centres(entries: DataFrame, met: int, most: int) -> DataFrame:
+    """Of each list, the nodes from number ``met`` to ``most``, in the order of their names; these are hashes."""
+    nth = F.row_number().over(Window.partitionBy("token").orderBy("node"))
+    first = entries.withColumn("nth", nth).filter(F.col("nth") <= most).filter(F.col("nth") > met)
+    named = {"node": "other", "n": "m", "place": "at", "comp": "c", "before": "before_2"}
+    return first.select("token", *[F.col(x).alias(name) for x, name in named.items()])
+
+
 def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return postings.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
@@ -270,27 +282,30 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
     before = F.concat(F.array(F.lit(None).cast("long")), F.slice("tokens", 1, F.size("tokens") - 1))
     entries = reps.select("node", "n", F.explode(F.arrays_zip("tokens", "places", before.alias("before"))).alias("e"))
     entries = entries.select("node", "n", F.col("e.tokens").alias("token"), F.col("e.places").alias("place"), F.col("e.before").alias("before"))
-    often = materialize(entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"))
-    postings = materialize(entries.join(often, "token", "left_semi"))
+    often = materialize(entries.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("length")).filter("length > 1"))
+    postings = materialize(entries.join(often, "token"))
     discard(often)
 
     found = spark.createDataFrame([], "a binary, b binary")
     apart = postings.withColumn("comp", F.col("node"))
-    for turn in range(2):  # every node with one node of each list it stands in
-        centre = F.min(F.struct(F.hash("node", F.lit(turn)), F.col("node").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("comp").alias("c")))
-        centres = materialize(apart.groupBy("token").agg(centre.alias("x")).select("token", "x.other", "x.m", "x.at", "x.c"))
-        near = apart.join(centres, "token").filter((F.col("comp") != F.col("c")) & _may_match(F.col("n"), F.col("place"), F.col("m"), F.col("at")))
+    for met, most in zip((0, *CENTRES), CENTRES):  # every node with some nodes of each list it stands in
+        centres = materialize(_centres(apart, met, most))
+        mine, other = F.col("node") > F.col("other"), F.col("comp") != F.col("c")
+        near = apart.join(centres, "token").filter(
+            mine & other & _may_match(F.col("n"), F.col("place"), F.col("m"), F.col("at")) & _new_run(F.col("before"), F.col("before_2"))
+        )
         pairs = materialize(_pairs(near))
         discard(centres)
         found = found.union(_links(pairs, sizes, rows, width))
-        old, postings = postings, materialize(_labelled(apart.drop("comp"), components(found)))  # once for both readers
+        unmet = apart.filter(F.col("length") > most + 1).drop("comp")  # two nodes at least that haven't met
+        old, postings = postings, materialize(_labelled(unmet, components(found)))  # once for both readers
         discard(old)
         apart = postings
 
     # what is not connected yet, by lists with several components
     several = apart.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
     parities = reps.select("node", *[F.col("parities")[i].alias(f"p{i}") for i in WORDS])
-    left = materialize(apart.join(several, "token", "left_semi").join(parities, "node"))
+    left = materialize(apart.drop("length").join(several, "token", "left_semi").join(parities, "node"))
     groups = materialize(_extremes(left))
     discard(postings)
     own = [f"p{i}" for i in WORDS]
