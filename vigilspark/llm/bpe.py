@@ -64,8 +64,22 @@ class OffsetTable:
         return self.buffer[at[:-1]].tobytes()
 
 
-class Codec:
+class Decoder:
+    """Strings and decimals of all ids: what decoding needs, without the tables of the encoder."""
+
+    def __init__(self, content: str):
+        file = json.loads(content)
+        strings = {**file["model"]["vocab"], **{t["content"]: t["id"] for t in file["added_tokens"]}}
+        table = [b""] * (max(strings.values()) + 1)
+        for t, i in strings.items():
+            table[i] = t.encode()
+        self.tokens = OffsetTable(table)
+        self.decimals = OffsetTable([str(i).encode() for i in range(len(table))])
+
+
+class Codec(Decoder):
     def __init__(self, content: str):
+        super().__init__(content)
         file = json.loads(content)
         model = file["model"]
         self.suffix = model["end_of_word_suffix"] or ""
@@ -108,11 +122,6 @@ class Codec:
         self._fits: dict[tuple[int, int], bool] = {}
         self._words: dict[str, bytes] = {}
         self._later: dict[str, bytes] = {}
-        strings = [b""] * (max(n, *(i + 1 for i in self.special.values())) if self.special else n)
-        for t, i in {**vocab, **self.special}.items():
-            strings[i] = t.encode()
-        self.tokens = OffsetTable(strings)
-        self.decimals = OffsetTable([str(i).encode() for i in range(len(strings))])
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging leaves the tokens a and b side by side: undo their merges, latest first, and look for one
@@ -231,6 +240,7 @@ class Codec:
 
 
 _CODECS: dict[int, Codec] = {}
+_DECODERS: dict[int, Decoder] = {}
 
 
 def codec(content: str) -> Codec:
@@ -242,6 +252,15 @@ def codec(content: str) -> Codec:
     return _CODECS[key]
 
 
+def decoder(content: str) -> Decoder:
+    """One decoder for each worker and file; an encoder's, if there is one."""
+    key = hash(content)
+    if key not in _CODECS and key not in _DECODERS:
+        _DECODERS.clear()
+        _DECODERS[key] = Decoder(content)
+    return _CODECS.get(key) or _DECODERS[key]
+
+
 def vocabulary(spark: SparkSession, path: str):
     """The file's content, broadcast: a vocabulary is a fixed small file and may lie with the driver only."""
     with open(path, encoding="utf-8") as f:
@@ -280,7 +299,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
     content = vocabulary(df.sparkSession, path)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(content.value)
+        c = decoder(content.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

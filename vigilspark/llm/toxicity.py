@@ -52,6 +52,8 @@ FOLDS = 5
 #: N-grams whose ratios each Python worker has at hand, and slots of bounds for the others; neither decides a result.
 AT_HAND = 100_000
 SLOTS = 1 << 22
+#: Distinct words or n-grams that a Python worker gathers before it hands them on, to be summed by Spark.
+GATHERED = 20_000
 #: Intercept without labels of both classes.
 NEVER = -50.0
 #: Intercept, at weight 1, where fold 4 lacks a class: a text scores 0.5 where the root of its margin is 0.5.
@@ -153,21 +155,27 @@ def _labelled_words(labelled):
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each class that hold a word."""
-    for batch in batches:
-        sides: list[Counter] = [Counter(), Counter()]
+    sides: list[Counter] = [Counter(), Counter()]
+    for batch in _parts(batches):
         for words, label in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist()):
             sides[label].update(words.split())
-        yield _counted(sides)
+        if len(sides[0]) + len(sides[1]) >= GATHERED:
+            yield _counted(sides)
+            sides = [Counter(), Counter()]
+    yield _counted(sides)
 
 
 def _ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sides: list[Counter] = [Counter(), Counter()]
+    sides: list[Counter] = [Counter(), Counter()]
+    for batch in _parts(batches, 1000):
         for word, n0, n1 in zip(*(batch.column(c).to_pylist() for c in ("x", "n0", "n1"))):
             for gram in ngrams(word):
                 sides[0][gram] += n0
                 sides[1][gram] += n1
-        yield _counted(sides)
+        if len(sides[0]) >= GATHERED:
+            yield _counted(sides)
+            sides = [Counter(), Counter()]
+    yield _counted(sides)
 
 
 def _counted(sides: list[Counter]) -> pa.RecordBatch:
@@ -246,17 +254,19 @@ def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words: set[str] = set()
-        for part in _parts([batch]):
-            for text in part.column("text").to_pylist():
-                words.update(words_of(text))
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], names=["word"])
+    words: set[str] = set()
+    for batch in _parts(batches):
+        for text in batch.column("text").to_pylist():
+            words.update(words_of(text))
+        if len(words) >= GATHERED:
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], names=["word"])
+            words = set()
+    yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], names=["word"])
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many words of a batch hold an n-gram."""
-    for batch in batches:
+    """How many words of a part hold an n-gram."""
+    for batch in _parts(batches, 3000):
         counts = Counter(g for w in batch.column("word").to_pylist() for g in ngrams(w))
         columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["x", "m"])
@@ -280,7 +290,7 @@ def _pairs(shared, least: float):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact, most = shared.value
-        for batch in batches:
+        for batch in _parts(batches, 1000):
             rows = []
             for word in batch.column("word").to_pylist():
                 part, bound, other = 0.0, 0.0, []
