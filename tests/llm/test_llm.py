@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from vigilspark.llm import (
     binary_output,
+    bitmaps,
     bpe,
     components,
     exact_dedup,
@@ -536,6 +537,41 @@ def test_short_lists_are_done_before_the_last_round(spark, monkeypatch):
     assert groups(rows) == {r[0]: min(r[0], 30) for r in rows} and seen[1] > 0
 
 
+def test_prefixes_spread_over_the_bitmap():
+    """Shingles that the sketch finds rare take as many of the bitmap's slots as others would."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 2**62, 500))) for _ in range(2000)]
+    counts = np.zeros(1 << ngram_join.SKETCH_BITS, dtype=np.int64)
+    for batch in ngram_join._sketch(1)(iter([pa.record_batch({"text": texts})])):
+        counts[batch.column("slot").to_numpy()] += batch.column("n").to_numpy()
+    prefixes = np.concatenate([ngram_join._prefix(s, counts) for s in ngram_join.shingle_sets(texts, 1)])
+    slots = 1 << ngram_join.SKETCH_BITS
+    taken = len(np.unique(bitmaps.slots(prefixes, ngram_join.SKETCH_BITS)))
+    assert taken > 0.95 * slots * (1 - np.exp(-len(prefixes) / slots))
+
+
+def test_lists_of_two_are_not_written(spark, monkeypatch):
+    """Two holders of each passage: one row of each pair that may be similar is written, with numbers as nodes."""
+    rng = random.Random(9)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passages = [own(70) for _ in range(6)]
+    rows = [(i, f"{passages[i // 2]} {own(15)}", "en", "s", 1) for i in range(12)]
+    rows += [(20, f"{passages[0]} {own(1)}", "en", "s", 1), (21, f"{passages[0]} {own(1)}", "en", "s", 1)]
+    seen, write = [], ngram_join.materialize
+
+    def written(df):
+        out = write(df)
+        if {"node", "token", "place"} <= set(out.columns):
+            seen.append((dict(out.dtypes)["node"], out.groupBy("token").count().filter("count = 2").count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", written)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, COLUMNS)).collect()}
+    group = groups_of(sets_of(rows))
+    assert got == {r[0]: rows[group.index(g)][0] for r, g in zip(rows, group)}
+    assert {kind for kind, _, _ in seen} == {"bigint"} and seen[0][1] == 0 < seen[0][2]
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(4)
     for n in (1, 5, 60, 900):

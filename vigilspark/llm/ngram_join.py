@@ -7,12 +7,15 @@ shingles; a set has a class for every four shingles. What passes is verified on
 
 The order needs frequencies that are the same everywhere, not exact ones: a sketch of fixed size counts shingles by
 hash slot, which puts boilerplate last whatever the corpus. Shingles that occur in one prefix only are dropped early
-with a fixed-size bitmap (``bitmaps``).
+with a fixed-size bitmap (``bitmaps``). Sketch and bitmap take different bits of a hash: prefixes crowd where the sketch
+counts little, and would crowd in the bitmap as well.
 
-Equal sets are one node, so copies cost a row each. Groups of near copies are not expanded to pairs: rounds join every
+Equal sets are one node, so copies cost a row each; postings hold a node's number, not its name. Groups of near copies
+are not expanded to pairs: rounds join every
 node of a posting list with its first few nodes, a few more each round, unless they are known to be connected. A node
 meets those before it, so a list that is not longer than the nodes taken so far has had all its pairs and is left out
-from then on; most lists are short. The last round joins what is left of the long ones, and only nodes that are not yet
+from then on; most lists are short. The first round's node comes with the count that tells lists from single entries, so
+lists of two are never written. The last round joins what is left of the long ones, and only nodes that are not yet
 known to be connected, so no link that joins two groups is missed. All rounds meet a pair where a run of shared shingles
 begins (an entry knows the one before it) and not at each of them. The last one tests a node against a group's extremes
 first. It also compares parities: the shingles of a set are counted in PARITIES classes, one bit each, odd or even. Two sets differ by at
@@ -46,11 +49,15 @@ WIDTH = 5
 SKETCH_BITS = 18
 #: Most classes of the suffix filter, and the count that means as many or more.
 MOST_CLASSES, MANY = 1 << 16, 255
-#: First nodes of a list that the others have met after each round; the last round takes the pairs of all others.
+#: Bits of a shingle's hash that tell which occur in several prefixes; fewer bytes to shuffle, and chance hits do no harm.
+SHARED_BITS = 40
+#: First nodes of a list that the others have met after each round, one in the first; the last round takes the pairs of all others.
 CENTRES = (1, 5)
 #: Bits of the parities, and their number of longs.
 PARITY_BITS = 9
 WORDS = range((1 << PARITY_BITS) // 64)
+#: An entry's columns and their names for a node that others meet.
+CENTRE = {"node": "other", "n": "m", "place": "at", "before": "before_2"}
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -72,7 +79,7 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def _node(shingles: np.ndarray) -> bytes:
+def _name(shingles: np.ndarray) -> bytes:
     """Name of a set: equal for equal sets alone."""
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
@@ -83,6 +90,11 @@ def _classes(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount((shingles % most).astype(np.int64), minlength=most), MANY).astype(np.uint8).tobytes()
 
 
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    """Counter of the sketch: the lower bits of a hash, since ``bitmaps`` takes the upper ones."""
+    return (shingles & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+
+
 def _common(a: bytes, b: bytes) -> int:
     """The most shingles that two sets can share by their classes; without a bound, as many as there may be."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -102,13 +114,13 @@ def _parities(shingles: np.ndarray) -> np.ndarray:
 def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         most = list(map(_common, batch.column("classes_a").to_pylist(), batch.column("classes_b").to_pylist()))
-        kept = batch.select(["a", "b", "n_a", "n_b", "key_a", "key_b"])
+        kept = batch.select(["a", "b", "n_a", "n_b", "key_a", "key_b", "name_a", "name_b"])
         yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(most, pa.int32())], names=[*kept.schema.names, "most"])
 
 
 def _prefix(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles in the order rare first, by sketched count and hash."""
-    order = np.lexsort((shingles, counts[bitmaps.slots(shingles, SKETCH_BITS)]))
+    order = np.lexsort((shingles, counts[_counter(shingles)]))
     return shingles[order[: prefix_length(len(shingles))]]
 
 
@@ -118,7 +130,7 @@ def _sketch(width: int):
         for batch in batches:
             for _, texts in grouped(batch.column("text").to_pylist()):
                 sets = shingle_sets(texts, width)
-                counts += np.bincount(bitmaps.slots(np.concatenate(sets), SKETCH_BITS), minlength=len(counts))
+                counts += np.bincount(_counter(np.concatenate(sets)), minlength=len(counts))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["slot", "n"])
 
@@ -131,14 +143,15 @@ def _prefixes(width: int, sketch):
             for _, texts in grouped(batch.column("text").to_pylist()):
                 found = [_prefix(s, sketch.value) for s in shingle_sets(texts, width) if len(s)]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["token"])
+                    upper = np.concatenate(found) >> np.uint64(64 - SHARED_BITS)
+                    yield pa.RecordBatch.from_arrays([pa.array(upper.view(np.int64))], names=["upper"])
 
     return scan
 
 
 def _nodes(width: int, sketch, shared):
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("node", pa.binary()),
+        [("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("name", pa.binary()),
          ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("classes", pa.binary()),
          ("parities", pa.list_(pa.int64()))]
     )
@@ -159,28 +172,28 @@ def _nodes(width: int, sketch, shared):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array(map(_node, sets), pa.binary()), pa.array(tokens, schema.field("tokens").type),
+                        pa.array(map(_name, sets), pa.binary()), pa.array(tokens, schema.field("tokens").type),
                         pa.array(places, schema.field("places").type), pa.array(classes, schema.field("classes").type),
                         pa.array(parities, schema.field("parities").type),
                     ],
                     schema=schema,
                 )
 
-    return scan, "doc_id long, key long, n int, node binary, tokens array<long>, places array<int>, classes binary, parities array<long>"
+    return scan, "doc_id long, key long, n int, name binary, tokens array<long>, places array<int>, classes binary, parities array<long>"
 
 
 def _sets(width: int, wanted):
-    schema = pa.schema([("node", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("name", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.flatnonzero(bitmaps.test(wanted.value, bitmaps.slots(batch.column("key").to_numpy())))
             for _, texts in grouped(batch.column("text").take(pa.array(at)).to_pylist()):
                 sets = [s for s in shingle_sets(texts, width) if len(s)]
-                columns = [pa.array(map(_node, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], schema.field("shingles").type)]
+                columns = [pa.array(map(_name, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], schema.field("shingles").type)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return scan, "node binary, shingles array<long>"
+    return scan, "name binary, shingles array<long>"
 
 
 def _enough(overlap: Column, n: Column, m: Column) -> Column:
@@ -226,29 +239,34 @@ def _pairs(rows: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, sizes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """The pairs that are similar: suffix filter, then whole sets of the documents that are left."""
 
-    def both(df: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
-        for side in ("a", "b"):
-            df = df.join(table.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
-        return df
-
-    some = both(pairs, sizes, "n", "key", "classes")
-    some = some.mapInArrow(_bounds, "a binary, b binary, n_a int, n_b int, key_a long, key_b long, most int")
+    some = pairs
+    for side in ("a", "b"):
+        columns = [F.col(c).alias(f"{c}_{side}") for c in ("n", "key", "name", "classes")]
+        some = some.join(sizes.select(F.col("node").alias(side), *columns), side)
+    some = some.mapInArrow(_bounds, "a long, b long, n_a int, n_b int, key_a long, key_b long, name_a binary, name_b binary, most int")
     some = materialize(some.filter(_enough(F.col("most").cast("long"), F.col("n_a"), F.col("n_b"))).drop("most"))
     keys = some.select(F.explode(F.array("key_a", "key_b")).alias("key"))
     scan, schema = _sets(width, rows.sparkSession.sparkContext.broadcast(bitmaps.pack(bitmaps.gather(keys, "key"))))
     sets = materialize(rows.select("key", "text").mapInArrow(scan, schema))
+    whole = some
+    for side in ("a", "b"):
+        whole = whole.join(sets.select(F.col("name").alias(f"name_{side}"), F.col("shingles").alias(f"shingles_{side}")), f"name_{side}")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    found = materialize(both(some, sets, "shingles").filter(_enough(common, F.col("n_a"), F.col("n_b"))).select("a", "b"))
+    found = materialize(whole.filter(_enough(common, F.col("n_a"), F.col("n_b"))).select("a", "b", "name_a", "name_b"))
     discard(pairs, some, sets)
     return found
 
 
 def _centres(entries: DataFrame, met: int, most: int) -> DataFrame:
-    """Of each list, the nodes from number ``met`` to ``most``, in the order of their names; these are hashes."""
+    """Of each list, the nodes from number ``met`` to ``most``, in the order of their numbers, the same in all lists."""
     nth = F.row_number().over(Window.partitionBy("token").orderBy("node"))
     first = entries.withColumn("nth", nth).filter(F.col("nth") <= most).filter(F.col("nth") > met)
-    named = {"node": "other", "n": "m", "place": "at", "comp": "c", "before": "before_2"}
-    return first.select("token", *[F.col(x).alias(name) for x, name in named.items()])
+    return first.select("token", F.col("comp").alias("c"), *[F.col(x).alias(name) for x, name in CENTRE.items()])
+
+
+def _meets() -> Column:
+    """Whether an entry and a centre of its list may be similar, and their run of shared shingles begins here."""
+    return _may_match(F.col("n"), F.col("place"), F.col("m"), F.col("at")) & _new_run(F.col("before"), F.col("before_2"))
 
 
 def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -256,7 +274,7 @@ def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """Nodes (doc_id, key, n, node; a row for each document) and links (a, b) enough to connect all similar nodes.
+    """Nodes (doc_id, key, n, name; a row for each document) and links (a, b) enough to connect all similar nodes.
 
     Not every link: pairs that are connected already are not compared, so no document's number of links follows.
     """
@@ -268,39 +286,42 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
     slots = rows.select("text").mapInArrow(_sketch(width), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts[slots["slot"]] = slots["n"]  # one row for each slot
     sketch = share(counts)
-    tokens = rows.select("text").mapInArrow(_prefixes(width, sketch), "token long")
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = share(bitmaps.pack(bitmaps.gather(often, "token")))
+    upper = rows.select("text").mapInArrow(_prefixes(width, sketch), "upper long")
+    often = upper.groupBy("upper").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = share(bitmaps.pack(bitmaps.gather(often.select(F.shiftleft("upper", 64 - SHARED_BITS).alias("token")), "token")))
     scan, schema = _nodes(width, sketch, shared)
     whole = materialize(rows.mapInArrow(scan, schema))
 
     first = F.min(F.struct("key", "n", "tokens", "places", "classes", "parities")).alias("x")  # one document stands for equal sets
-    reps = materialize(whole.filter(F.size("tokens") > 0).groupBy("node").agg(first).select("node", "x.*"))
-    nodes = materialize(whole.select("doc_id", "key", "n", "node"))
+    reps = whole.filter(F.size("tokens") > 0).groupBy("name").agg(first)
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("node"), "name", "x.*"))  # written, so the numbers stay
+    nodes = materialize(whole.select("doc_id", "key", "n", "name"))
     discard(whole)
-    sizes = reps.select("node", "n", "key", "classes")
+    sizes = reps.select("node", "name", "n", "key", "classes")
     before = F.concat(F.array(F.lit(None).cast("long")), F.slice("tokens", 1, F.size("tokens") - 1))
     entries = reps.select("node", "n", F.explode(F.arrays_zip("tokens", "places", before.alias("before"))).alias("e"))
     entries = entries.select("node", "n", F.col("e.tokens").alias("token"), F.col("e.places").alias("place"), F.col("e.before").alias("before"))
-    often = materialize(entries.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("length")).filter("length > 1"))
-    postings = materialize(entries.join(often, "token"))
-    discard(often)
-
-    found = spark.createDataFrame([], "a binary, b binary")
-    apart = postings.withColumn("comp", F.col("node"))
-    for met, most in zip((0, *CENTRES), CENTRES):  # every node with some nodes of each list it stands in
-        centres = materialize(_centres(apart, met, most))
-        mine, other = F.col("node") > F.col("other"), F.col("comp") != F.col("c")
-        near = apart.join(centres, "token").filter(
-            mine & other & _may_match(F.col("n"), F.col("place"), F.col("m"), F.col("at")) & _new_run(F.col("before"), F.col("before_2"))
-        )
-        pairs = materialize(_pairs(near))
-        discard(centres)
+    centre = F.struct(*[F.col(x).alias(name) for x, name in CENTRE.items()])
+    lists = entries.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("length"), F.min(centre).alias("x"))
+    lists = materialize(lists.filter("length > 1").select("token", "length", "x.*"))
+    fits = (F.col("node") > F.col("other")) & _meets()
+    postings = entries.join(lists, "token").select(*entries.columns, "length", F.when(fits, F.col("other")).alias("other"))
+    postings = materialize(postings.filter((F.col("length") > CENTRES[0] + 1) | F.col("other").isNotNull()))
+    discard(lists)
+
+    found = spark.createDataFrame([], "a long, b long, name_a binary, name_b binary")
+    pairs = materialize(_pairs(postings.filter("other IS NOT NULL")))
+    for met, most in zip(CENTRES, (*CENTRES[1:], None)):  # every node with some nodes of each list it stands in
         found = found.union(_links(pairs, sizes, rows, width))
-        unmet = apart.filter(F.col("length") > most + 1).drop("comp")  # two nodes at least that haven't met
+        unmet = postings.filter(F.col("length") > met + 1).select(*entries.columns, "length")  # two nodes at least that haven't met
         old, postings = postings, materialize(_labelled(unmet, components(found)))  # once for both readers
         discard(old)
         apart = postings
+        if most:
+            centres = materialize(_centres(apart, met, most))
+            mine, other = F.col("node") > F.col("other"), F.col("comp") != F.col("c")
+            pairs = materialize(_pairs(apart.join(centres, "token").filter(mine & other & _meets())))
+            discard(centres)
 
     # what is not connected yet, by lists with several components
     several = apart.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
@@ -319,14 +340,15 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
     cross = cross.filter(_may_match(F.col("n"), F.col("place"), F.col("n_2"), F.col("place_2")) & with_node & _new_run(F.col("before"), F.col("before_2")))
     pairs = materialize(_pairs(cross.withColumnRenamed("node_2", "other")))
     discard(groups, left)
-    return nodes, found.union(_links(pairs, sizes, rows, width))
+    found = found.union(_links(pairs, sizes, rows, width))
+    return nodes, found.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, key, n_shingles, component_id, kept (one of each component: the smallest id)."""
     nodes, found = links(docs, text, doc_id, width)
-    labels = components(found)
-    rows = materialize(nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("node"))
+    labels = components(found).withColumnRenamed("node", "name")
+    rows = materialize(nodes.join(labels, "name", "left").withColumn("comp", F.coalesce("comp", "name")).drop("name"))
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("first")
     any_ = F.min("key").alias("any")
     groups = materialize(rows.filter("n > 0").groupBy("comp").agg(first, any_))
