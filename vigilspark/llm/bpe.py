@@ -7,7 +7,7 @@ and its end is closed. Whether two tokens can stand side by side - no merge woul
 is looked up in a table of pairs, filled as pairs are met.
 
 A vocabulary file in the ``tokenizers`` JSON format gives vocabulary and merges; its path is a parameter, and each
-worker reads it once (or gets its content, see ``vocabulary``). Supported: BPE with an end-of-word suffix, NFC, lower
+task reads it once (or gets its content, see ``vocabulary``). Supported: BPE with an end-of-word suffix, NFC, lower
 case, white space dropped, the split pattern of that file, and byte symbols. Splitting on white space comes first:
 no token spans it, so words are encoded once each and kept in tables of fixed size.
 
@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilspark.llm import workers
+
 #: Words kept with their ids in each Python worker: the first ones for good, later ones until they are as many.
 WORDS_KEPT = 150_000
 
@@ -244,7 +246,7 @@ _DECODERS: dict[int, Decoder] = {}
 
 
 def codec(content: str) -> Codec:
-    """One codec for each worker and file."""
+    """One codec for each task and file: ``encode`` drops it at the task's end, as its tables grow with the words."""
     key = hash(content)
     if key not in _CODECS:
         _CODECS.clear()
@@ -252,6 +254,10 @@ def codec(content: str) -> Codec:
     return _CODECS[key]
 
 
+def forget() -> None:
+    _CODECS.clear()
+
+
 def decoder(content: str) -> Decoder:
     """One decoder for each worker and file; an encoder's, if there is one."""
     key = hash(content)
@@ -279,16 +285,20 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_
     """Add the column ``ids`` (array of int); the text itself is dropped unless it is to be kept."""
     content = vocabulary(df.sparkSession, path)
 
+    @workers.lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(content.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [c.encode(t) for t in part.column(text).to_pylist()]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                whole = _with(part, [ids], [lists])
-                yield whole if keep_text else whole.drop_columns([text])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    found = [c.encode(t) for t in part.column(text).to_pylist()]
+                    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                    whole = _with(part, [ids], [lists])
+                    yield whole if keep_text else whole.drop_columns([text])
+        finally:
+            forget()  # the worker's next task may decode, or belong to another stage
 
     out = df if keep_text else df.drop(text)
     return df.mapInArrow(scan, _fields(out, f"`{ids}` array<int>"))
@@ -298,6 +308,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
     """Add the decoded ``text`` and ``ids_sha256`` (of the decimal ids, joined by spaces); drops the ids."""
     content = vocabulary(df.sparkSession, path)
 
+    @workers.lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = decoder(content.value)
         for batch in batches:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilspark.llm import bitmaps
+from vigilspark.llm import bitmaps, workers
 from vigilspark.llm.components import components
 from vigilspark.llm.words import Words, grouped
 from vigilspark.session import discard, materialize
@@ -111,6 +111,7 @@ def _parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+@workers.lean
 def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         most = list(map(_common, batch.column("classes_a").to_pylist(), batch.column("classes_b").to_pylist()))
@@ -125,6 +126,7 @@ def _prefix(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _sketch(width: int):
+    @workers.lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
@@ -138,6 +140,7 @@ def _sketch(width: int):
 
 
 def _prefixes(width: int, sketch):
+    @workers.lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in grouped(batch.column("text").to_pylist()):
@@ -156,6 +159,7 @@ def _nodes(width: int, sketch, shared):
          ("parities", pa.list_(pa.int64()))]
     )
 
+    @workers.lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in grouped(batch.column("text").to_pylist()):
@@ -185,6 +189,7 @@ def _nodes(width: int, sketch, shared):
 def _sets(width: int, wanted):
     schema = pa.schema([("name", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
+    @workers.lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.flatnonzero(bitmaps.test(wanted.value, bitmaps.slots(batch.column("key").to_numpy())))

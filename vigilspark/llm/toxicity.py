@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilspark.llm import bitmaps
+from vigilspark.llm import bitmaps, workers
 from vigilspark.session import materialize
 
 D = 0.75
@@ -142,6 +142,7 @@ def estimate(counts: dict[str, tuple[int, int]]) -> Model:
 def _labelled_words(labelled):
     """Distinct words, one space between them, of documents whose id is in the bitmap of labelled ids."""
 
+    @workers.lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = labelled.value
         for batch in _parts(batches):
@@ -153,6 +154,7 @@ def _labelled_words(labelled):
     return scan
 
 
+@workers.lean
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each class that hold a word."""
     sides: list[Counter] = [Counter(), Counter()]
@@ -165,6 +167,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _counted(sides)
 
 
+@workers.lean
 def _ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sides: list[Counter] = [Counter(), Counter()]
     for batch in _parts(batches, 1000):
@@ -253,6 +256,7 @@ def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("x", (p("n1", "d1") - p("n0", "d0")).alias("ratio")), context
 
 
+@workers.lean
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: set[str] = set()
     for batch in _parts(batches):
@@ -264,6 +268,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], names=["word"])
 
 
+@workers.lean
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many words of a part hold an n-gram."""
     for batch in _parts(batches, 3000):
@@ -288,6 +293,7 @@ def _pairs(shared, least: float):
     """A row for each n-gram, without a ratio at hand, of a word that may exceed ``least``; the first row of a word
     has the sum of those at hand."""
 
+    @workers.lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact, most = shared.value
         for batch in _parts(batches, 1000):
@@ -349,6 +355,7 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 50) -> Iterator[pa.Rec
 def _hits(marked):
     """A row for each text and word of it in the bitmap: the text's key and number of words, the word and its count."""
 
+    @workers.lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = marked.value
         for batch in _parts(batches):
